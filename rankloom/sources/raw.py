@@ -46,7 +46,7 @@ def load_raw(
     target = schemas.schema(schemas.ENTITIES[entity])
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in target.fields])
     raw = _read_text(spark, path, text)
-    raw = raw.repartition(partitions) if partitions else raw.repartition()
+    raw = raw.repartition(partitions) if partitions else raw.hint("rebalance")
     typed = [
         F.when(~F.col(f.name).isin(*NULL_TOKENS), F.col(f.name)).try_cast(f.dataType).alias(f.name)
         if not isinstance(f.dataType, T.StringType)
