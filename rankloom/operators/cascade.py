@@ -48,14 +48,16 @@ def impute_by_cascade(
     optional column holding the rung that filled the row.
     """
     finest = list(dict.fromkeys(c for _, keys in cascade for c in keys))
-    hist, _ = ordering.session.measured(ordering.histogram(df, finest, value))
+    hist, size = ordering.session.measured(ordering.histogram(df, finest, value))
     combos = df.filter(F.col(value).isNull()).select(*finest).distinct()
     for i, (_, keys) in enumerate(cascade):
         rolled = hist
         for key in keys:
             rolled = rolled.filter(F.col(key).isNotNull())
         rolled = rolled.groupBy(*keys, value).agg(F.sum("_n").alias("_n"))
-        medians = ordering.quantiles(rolled, list(keys), value, {f"_m{i}": 0.5})
+        medians = ordering.quantiles(
+            rolled, list(keys), value, {f"_m{i}": 0.5}, at_most=size
+        )
         combos = combos.join(medians, list(keys), "left")
     filled = F.coalesce(*[F.col(f"_m{i}") for i in range(len(cascade))])
     named = F.coalesce(
@@ -122,11 +124,13 @@ def settle_groups(
         if dropped:
             raise quality.CheckFailed(f"rung {name!r} drops {dropped}, which the grades rely on")
     finest = list(dict.fromkeys(c for _, keys in cascade for c in keys))
-    pending = df.groupBy(*finest).agg(F.count(F.lit(1)).alias("_rows"))
-    pending, _ = ordering.session.measured(pending)
+    pending, bound = ordering.session.measured(
+        df.groupBy(*finest).agg(F.count(F.lit(1)).alias("_rows"))
+    )
     settled = None
     for i, (name, keys) in enumerate(cascade):
-        keyed = ordering.with_group_stats(pending, list(keys), [F.sum("_rows").alias("_size")])
+        size = F.sum("_rows").alias("_size")
+        keyed = ordering.with_group_stats(pending, list(keys), [size], at_most=bound)
         done = F.lit(True) if i == len(cascade) - 1 else F.col("_size") >= minimum
         blanks = [
             (F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType)).alias(f"_g_{c}")
@@ -137,8 +141,6 @@ def settle_groups(
         )
         settled = here if settled is None else settled.unionByName(here)
         pending = keyed.filter(~done).drop("_size")
-        if i < len(cascade) - 1:
-            pending, _ = ordering.session.measured(pending)
     return settled
 
 
@@ -150,21 +152,28 @@ def query_group(
     name: str = "query_group",
 ) -> tuple[DataFrame, DataFrame]:
     """Search groups: ``(rows with a dense group id, report per rung)``."""
-    settled, _ = ordering.session.measured(settle_groups(df, cascade, minimum, partition))
+    settled, bound = ordering.session.measured(settle_groups(df, cascade, minimum, partition))
     finest = list(dict.fromkeys(c for _, keys in cascade for c in keys))
     group_key = ["_level", *[f"_g_{c}" for c in finest]]
-    ids = ordering.dense_ids(settled, group_key, name)
-    numbered = ordering.attach(settled, ids, group_key)
-    rows = ordering.attach(df, numbered.select(*finest, name), finest)
-    return rows, rung_report(numbered, cascade, minimum, name)
+    ids = ordering.dense_ids(settled, group_key, name, at_most=bound)
+    numbered = ordering.attach(settled, ids, group_key, at_most=bound)
+    numbered = ordering.session.stage(numbered)
+    rows = ordering.attach(df, numbered.select(*finest, name), finest, at_most=bound)
+    return rows, rung_report(numbered, cascade, minimum, name, at_most=bound)
 
 
 def rung_report(
-    numbered: DataFrame, cascade, minimum: int, name: str = "query_group"
+    numbered: DataFrame,
+    cascade,
+    minimum: int,
+    name: str = "query_group",
+    at_most: int | None = None,
 ) -> DataFrame:
     """Per rung: key, rows settled, groups, singletons, groups under the minimum, median size."""
     groups = numbered.groupBy("rung", "_level", name).agg(F.sum("_rows").alias("_size"))
-    medians = ordering.group_median(groups, ["rung"], "_size", "median_size")
+    medians = ordering.group_median(
+        groups, ["rung"], "_size", "median_size", at_most=at_most
+    )
     keys = F.create_map(*[F.lit(x) for n, k in cascade for x in (n, " x ".join(k))])
     counted = groups.groupBy("rung", "_level").agg(
         F.sum("_size").alias("n"),
@@ -205,11 +214,12 @@ def cluster_id(
     keyed = cluster_keys(df, host, lat, lon, capacity)
     key = ["_c_host", "_c_lat", "_c_lon", "_c_cap"]
     sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+    sizes, bound = ordering.session.measured(sizes)
     ids = ordering.running_total(
-        sizes, [], [F.col(c).asc_nulls_first() for c in key], before=name
+        sizes, [], [F.col(c).asc_nulls_first() for c in key], before=name, at_most=bound
     )
     if size is not None:
         ids = ids.withColumnRenamed("_size", size)
     else:
         ids = ids.drop("_size")
-    return ordering.attach(keyed, ids, key).drop(*key)
+    return ordering.attach(keyed, ids, key, at_most=bound).drop(*key)

@@ -96,10 +96,12 @@ def crosscheck_availability(
 _EDGES = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}
 
 
-def _edges(hist: DataFrame, keys: list[str], label: str, prefix: str) -> DataFrame:
+def _edges(
+    hist: DataFrame, keys: list[str], label: str, prefix: str, at_most: int
+) -> DataFrame:
     """Quartile edges per key set from a label histogram, with row counts and a cuttable flag."""
     rolled = hist.groupBy(*keys, label).agg(F.sum("_n").alias("_n"))
-    cuts = ordering.quantiles(rolled, keys, label, _EDGES, rows="_above")
+    cuts = ordering.quantiles(rolled, keys, label, _EDGES, rows="_above", at_most=at_most)
     increasing = (
         (F.col("q0") < F.col("q1"))
         & (F.col("q1") < F.col("q2"))
@@ -131,13 +133,13 @@ def grade_edges(
     if not set(fallback) <= set(partition):
         raise quality.CheckFailed("the fallback must be a coarsening of the partition")
     counts = df.groupBy(*partition, label).agg(F.count(F.lit(1)).alias("_n"))
-    counts, _ = ordering.session.measured(counts)
+    counts, size = ordering.session.measured(counts)
     present = [F.col(c).isNotNull() for c in partition]
     above = counts.filter(F.col(label) != 0.0)
     for condition in present:
         above = above.filter(condition)
-    own = _edges(above, partition, label, "own_")
-    pool = _edges(above, fallback, label, "pool_")
+    own = _edges(above, partition, label, "own_", size)
+    pool = _edges(above, fallback, label, "pool_", size)
     cells = counts.groupBy(*partition).agg(F.sum("_n").alias("n"))
     joined = cells.join(own, partition, "left").join(pool, fallback, "left")
     uses_own = (F.col("own_above") >= min_rows) & F.col("own_cuttable")
@@ -179,7 +181,7 @@ def assign_grades(
     """
     quality.require_columns(df, [label, *partition, *fallback], "rows to grade")
     cells = grade_edges(df, label, partition, fallback, min_rows)
-    cells, _ = ordering.session.measured(cells)
+    cells, bound = ordering.session.measured(cells)
     quality.require(
         df,
         {
@@ -195,7 +197,7 @@ def assign_grades(
         },
     )
     edges = cells.select(*partition, "q1", "q2", "q3")
-    graded = ordering.attach(df, edges, list(partition)).withColumn(
+    graded = ordering.attach(df, edges, list(partition), at_most=bound).withColumn(
         name, grade_from_edges(F.col(label))
     )
     report = cells.select(*partition, "n", "above_atom", "level")

@@ -21,9 +21,16 @@ def middle_values(
     exactly when x is at or below it. So at most three neighbouring order statistics decide the
     answer for every row of the group, and they come out of a histogram.
     """
-    hist = ordering.histogram(df, group, value)
+    hist, size = ordering.session.measured(ordering.histogram(df, group, value))
     placed = ordering.running_total(
-        hist, group, [F.col(value).asc()], "_n", "_before", "_total", hot_rows=hot_rows
+        hist,
+        group,
+        [F.col(value).asc()],
+        "_n",
+        "_before",
+        "_total",
+        hot_rows=hot_rows,
+        at_most=size,
     )
     n = F.col("_total")
     # Positions (0-based) of the lower and upper middle once one row is gone.

@@ -44,14 +44,17 @@ def running_total(
     before: str = "before",
     total: str | None = None,
     hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` (row count when ``None``) over the rows strictly before each row.
 
-    ``total`` names an optional column with the sum over the whole group.
+    ``total`` names an optional column with the sum over the whole group. ``at_most`` is a row
+    count the caller has already measured; a table that small needs no look at its groups.
     """
     limit = session.HOT_ROWS if hot_rows is None else hot_rows
     group = list(group)
-    if largest_group(df, group) > limit:
+    small = at_most is not None and at_most <= limit
+    if not small and largest_group(df, group) > limit:
         return _running_total_in_pieces(df, group, order, weight, before, total)
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     ordered = whole.orderBy(*order)
@@ -109,9 +112,10 @@ def group_rank(
     order: Sequence[Column],
     name: str = "rank",
     hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its group (``row_number`` without the hot task)."""
-    out = running_total(df, group, order, before=name, hot_rows=hot_rows)
+    out = running_total(df, group, order, before=name, hot_rows=hot_rows, at_most=at_most)
     return out.withColumn(name, F.col(name) + 1)
 
 
@@ -134,16 +138,19 @@ def attach(
     how: str = "left",
     salts: int = 32,
     broadcast_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Join a one-row-per-key table back to the rows it describes (null keys match null keys).
 
-    The table is counted first. Small enough: broadcast, and the rows never move. Otherwise both
+    The table is counted first, unless ``at_most`` already bounds its rows. Small enough: broadcast, and the rows never move. Otherwise both
     sides are shuffled on (keys, salt), the table repeated once per salt, so that the rows of a
     hot key spread over ``salts`` tasks.
     """
     limit = session.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     keys = list(keys)
-    stats, rows = session.measured(stats)
+    rows = at_most
+    if rows is None or rows > limit:
+        stats, rows = session.measured(stats)
     extra = [c for c in stats.columns if c not in keys]
     right = stats.select(*[F.col(c).alias(f"_r_{c}") for c in keys], *extra)
     match = same([F.col(c) for c in keys], [F.col(f"_r_{c}") for c in keys])
@@ -157,11 +164,14 @@ def attach(
 
 
 def with_group_stats(
-    df: DataFrame, group: Sequence[str], aggregates: Sequence[Column]
+    df: DataFrame,
+    group: Sequence[str],
+    aggregates: Sequence[Column],
+    at_most: int | None = None,
 ) -> DataFrame:
     """Aggregate per group and put the result on every row (an unordered window without the
-    whole-group task)."""
-    return attach(df, df.groupBy(*group).agg(*aggregates), group)
+    whole-group task). ``at_most`` bounds the rows of ``df``, hence the number of groups."""
+    return attach(df, df.groupBy(*group).agg(*aggregates), group, at_most=at_most)
 
 
 def histogram(
@@ -183,6 +193,7 @@ def quantiles(
     count: str = "_n",
     rows: str | None = None,
     hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, read from a histogram.
 
@@ -190,7 +201,14 @@ def quantiles(
     takes the piecewise route of :func:`running_total` instead of one task's memory.
     """
     placed = running_total(
-        hist, group, [F.col(value).asc()], count, "_before", "_total", hot_rows=hot_rows
+        hist,
+        group,
+        [F.col(value).asc()],
+        count,
+        "_before",
+        "_total",
+        hot_rows=hot_rows,
+        at_most=at_most,
     )
     after = F.col("_before") + F.col(count)
 
@@ -219,14 +237,24 @@ def group_quantiles(
     rows: str | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """:func:`histogram` then :func:`quantiles`."""
+    """:func:`histogram` then :func:`quantiles`. The rows are read once, into the histogram."""
+    hist, size = session.measured(histogram(df, group, value))
     return quantiles(
-        histogram(df, group, value), group, value, probabilities, rows=rows, hot_rows=hot_rows
+        hist, group, value, probabilities, rows=rows, hot_rows=hot_rows, at_most=size
     )
 
 
-def group_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median"):
-    """Exact median per group."""
+def group_median(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    name: str = "median",
+    at_most: int | None = None,
+) -> DataFrame:
+    """Exact median per group; ``at_most`` bounds the rows of ``df``."""
+    if at_most is not None:
+        hist = histogram(df, group, value)
+        return quantiles(hist, group, value, {name: 0.5}, at_most=at_most)
     return group_quantiles(df, group, value, {name: 0.5})
 
 
@@ -243,28 +271,36 @@ def average_rank(
     Worked out once per distinct value and joined back, so a heavy tie is one histogram row.
     Rows with a null value keep a null rank.
     """
+    hist, size = session.measured(histogram(df, group, value))
     placed = running_total(
-        histogram(df, group, value),
+        hist,
         group,
         [F.col(value).asc()],
         "_n",
         "_before",
         "_total",
         hot_rows=hot_rows,
+        at_most=size,
     )
     rank = F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)
     columns = [rank.alias(name)]
     if share is not None:
         columns.append((rank / F.col("_total")).alias(share))
-    return attach(df, placed.select(*group, value, *columns), [*group, value])
+    ranks = placed.select(*group, value, *columns)
+    bound = size if size <= session.BROADCAST_ROWS else None
+    return attach(df, ranks, [*group, value], at_most=bound)
 
 
 def dense_ids(
-    df: DataFrame, keys: Sequence[str], name: str, start: int = 0, hot_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    name: str,
+    start: int = 0,
+    hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """One dense integer id per distinct key combination, numbered in key order."""
     distinct = df.select(*keys).distinct()
     order = [F.col(c).asc_nulls_first() for c in keys]
-    return running_total(distinct, [], order, before=name, hot_rows=hot_rows).withColumn(
-        name, F.col(name) + start
-    )
+    numbered = running_total(distinct, [], order, before=name, hot_rows=hot_rows, at_most=at_most)
+    return numbered.withColumn(name, F.col(name) + start)
