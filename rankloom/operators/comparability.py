@@ -39,7 +39,7 @@ def sampled_pairs(
     any other. Rows are found by (cell, number), a key no value of which is hot.
     """
     numbered = ordering.running_total(
-        df.select(*cell, group, score, truth, *ids),
+        df.select(*dict.fromkeys([*cell, group, score, truth, *ids])),
         cell,
         [F.col(c).asc() for c in ids],
         before="_slot",

@@ -116,8 +116,16 @@ def _edges(
     )
 
 
+def label_counts(df: DataFrame, label: str, partition: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows per (cell, label value): the one pass over the rows that grading needs."""
+    return ordering.session.measured(
+        df.groupBy(*partition, label).agg(F.count(F.lit(1)).alias("_n"))
+    )
+
+
 def grade_edges(
-    df: DataFrame,
+    counts: DataFrame,
+    size: int,
     label: str,
     partition: Sequence[str],
     fallback: Sequence[str],
@@ -125,15 +133,13 @@ def grade_edges(
 ) -> DataFrame:
     """One row per cell: ``n``, ``above_atom``, ``level`` and the three cut points it uses.
 
-    Rows are scanned once, into a histogram of label values per cell; both the cell's own
-    quartiles and those of its fallback pool come out of that histogram. A cell below ``min_rows``
+    ``counts`` and ``size`` come from :func:`label_counts`; both the cell's own quartiles and those
+    of its fallback pool are read off it. A cell below ``min_rows``
     or with repeated edges takes the cut points of the *whole* fallback pool.
     """
     partition, fallback = list(partition), list(fallback)
     if not set(fallback) <= set(partition):
         raise quality.CheckFailed("the fallback must be a coarsening of the partition")
-    counts = df.groupBy(*partition, label).agg(F.count(F.lit(1)).alias("_n"))
-    counts, size = ordering.session.measured(counts)
     present = [F.col(c).isNotNull() for c in partition]
     above = counts.filter(F.col(label) != 0.0)
     for condition in present:
@@ -180,15 +186,17 @@ def assign_grades(
     [0, 1], or a fallback pool that must be used but cannot be cut.
     """
     quality.require_columns(df, [label, *partition, *fallback], "rows to grade")
-    cells = grade_edges(df, label, partition, fallback, min_rows)
-    cells, bound = ordering.session.measured(cells)
+    counts, size = label_counts(df, label, partition)
     quality.require(
-        df,
+        counts,
         {
             f"{label} is null": F.col(label).isNull(),
             f"{label} outside [0, 1]": (F.col(label) < 0) | (F.col(label) > 1),
         },
+        weight="_n",
     )
+    cells = grade_edges(counts, size, label, partition, fallback, min_rows)
+    cells, bound = ordering.session.measured(cells)
     quality.require(
         cells,
         {

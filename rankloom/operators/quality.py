@@ -41,11 +41,20 @@ def violations(
     )
 
 
-def require(df: DataFrame, rules: Mapping[str, Column]) -> None:
-    """Stop when any row breaks any rule; one job for all of them."""
-    broken = violations(df, rules).filter("rows > 0").collect()  # one row per rule
+def require(df: DataFrame, rules: Mapping[str, Column], weight: str | None = None) -> None:
+    """Stop when any row breaks any rule; one job for all of them.
+
+    ``weight`` names a row-count column when ``df`` is already aggregated.
+    """
+    amount = F.lit(1) if weight is None else F.col(weight)
+    sums = [
+        F.coalesce(F.sum(F.when(F.coalesce(rule, F.lit(False)), amount)), F.lit(0)).alias(f"_{i}")
+        for i, rule in enumerate(rules.values())
+    ]
+    counted = df.agg(*sums).first()
+    broken = [f"{name}: {counted[i]} row(s)" for i, name in enumerate(rules) if counted[i]]
     if broken:
-        raise CheckFailed("; ".join(f"{row['rule']}: {row['rows']} row(s)" for row in broken))
+        raise CheckFailed("; ".join(broken))
 
 
 def drop_duplicates_keep_first(
