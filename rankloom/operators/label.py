@@ -102,17 +102,12 @@ def _edges(
     """Quartile edges per key set from a label histogram, with row counts and a cuttable flag."""
     rolled = hist.groupBy(*keys, label).agg(F.sum("_n").alias("_n"))
     cuts = ordering.quantiles(rolled, keys, label, _EDGES, rows="_above", at_most=at_most)
-    increasing = (
-        (F.col("q0") < F.col("q1"))
-        & (F.col("q1") < F.col("q2"))
-        & (F.col("q2") < F.col("q3"))
-        & (F.col("q3") < F.col("q4"))
-    )
-    return cuts.select(
-        *keys,
-        *[F.col(q).alias(f"{prefix}{q}") for q in ("q1", "q2", "q3")],
-        F.col("_above").alias(f"{prefix}above"),
-        increasing.alias(f"{prefix}cuttable"),
+    increasing = "q0 < q1 AND q1 < q2 AND q2 < q3 AND q3 < q4"
+    return cuts.selectExpr(
+        *[f"`{k}`" for k in keys],
+        *[f"{q} AS {prefix}{q}" for q in ("q1", "q2", "q3")],
+        f"_above AS {prefix}above",
+        f"{increasing} AS {prefix}cuttable",
     )
 
 
@@ -148,28 +143,23 @@ def grade_edges(
     pool = _edges(above, fallback, label, "pool_", size)
     cells = counts.groupBy(*partition).agg(F.sum("_n").alias("n"))
     joined = cells.join(own, partition, "left").join(pool, fallback, "left")
-    uses_own = (F.col("own_above") >= min_rows) & F.col("own_cuttable")
-    level = (
-        F.when(F.coalesce(F.col("own_above"), F.lit(0)) == 0, "empty")
-        .when(uses_own, "partition")
-        .otherwise("fallback")
-    )
-    return joined.select(
-        *partition,
+    uses_own = f"(own_above >= {min_rows} AND own_cuttable)"
+    return joined.selectExpr(
+        *[f"`{k}`" for k in partition],
         "n",
-        F.coalesce("own_above", F.lit(0).cast("long")).alias("above_atom"),
-        level.alias("level"),
-        (F.col("own_above") >= min_rows).alias("_large"),
-        F.coalesce("pool_cuttable", F.lit(False)).alias("_pool_cuttable"),
-        *[F.when(uses_own, F.col(f"own_{q}")).otherwise(F.col(f"pool_{q}")).alias(q)
-          for q in ("q1", "q2", "q3")],
+        "coalesce(own_above, 0L) AS above_atom",
+        f"CASE WHEN coalesce(own_above, 0) = 0 THEN 'empty' WHEN {uses_own} THEN 'partition' "
+        "ELSE 'fallback' END AS level",
+        f"own_above >= {min_rows} AS _large",
+        "coalesce(pool_cuttable, false) AS _pool_cuttable",
+        *[f"CASE WHEN {uses_own} THEN own_{q} ELSE pool_{q} END AS {q}" for q in ("q1", "q2", "q3")],
     )
 
 
-def grade_from_edges(label: Column) -> Column:
+def grade_from_edges(label: str) -> Column:
     """0 at the zero atom, else 1-4 by right-closed quartiles ``q1, q2, q3``."""
-    steps = sum(((label > F.col(q)).cast("int") for q in ("q1", "q2", "q3")), F.lit(1))
-    return F.when(label == 0.0, F.lit(0)).otherwise(steps).cast("int")
+    steps = " + ".join(f"CAST(`{label}` > {q} AS INT)" for q in ("q1", "q2", "q3"))
+    return F.expr(f"CASE WHEN `{label}` = 0 THEN 0 ELSE 1 + {steps} END")
 
 
 def assign_grades(
@@ -206,7 +196,7 @@ def assign_grades(
     )
     edges = cells.select(*partition, "q1", "q2", "q3")
     graded = ordering.attach(df, edges, list(partition), at_most=bound).withColumn(
-        name, grade_from_edges(F.col(label))
+        name, grade_from_edges(label)
     )
     report = cells.select(*partition, "n", "above_atom", "level")
     return graded.drop("q1", "q2", "q3"), report

@@ -35,7 +35,7 @@ def _cumulative_discount(k: int) -> Column:
     for position in range(1, k + 1):
         total += 1.0 / math.log2(position + 1)
         values.append(total)
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in values)})")
 
 
 def first_rows(

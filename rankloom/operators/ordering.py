@@ -22,10 +22,11 @@ from rankloom import session
 
 def same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Null-safe equality of two key lists."""
-    condition = F.lit(True)
+    condition = None
     for a, b in zip(left, right, strict=True):
-        condition = condition & a.eqNullSafe(b)
-    return condition
+        equal = a.eqNullSafe(b)
+        condition = equal if condition is None else condition & equal
+    return F.lit(True) if condition is None else condition
 
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
@@ -210,23 +211,21 @@ def quantiles(
         hot_rows=hot_rows,
         at_most=at_most,
     )
-    after = F.col("_before") + F.col(count)
-
-    def at(position: Column) -> Column:
-        inside = (F.col("_before") <= position) & (position < after)
-        return F.max(F.when(inside, F.col(value)))
-
-    picks, outputs = [F.max("_total").alias("_total")], []
+    # Written as SQL text: one expression per pick however many quantiles are asked for.
+    picks, outputs = ["max(_total) AS _total"], []
     for name, p in probabilities.items():
-        exact = F.lit(float(p)) * (F.col("_total") - 1)
-        picks += [at(F.floor(exact)).alias(f"_lo_{name}"), at(F.ceil(exact)).alias(f"_hi_{name}")]
-        part = exact - F.floor(exact)
-        low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        outputs.append((low + (high - low) * part).alias(name))
+        spot = f"({float(p)}D * (_total - 1))"
+        for side, position in (("lo", f"floor({spot})"), ("hi", f"ceil({spot})")):
+            picks.append(
+                f"max(CASE WHEN _before <= {position} AND {position} < _before + `{count}` "
+                f"THEN `{value}` END) AS `_{side}_{name}`"
+            )
+        low, high = f"CAST(`_lo_{name}` AS DOUBLE)", f"CAST(`_hi_{name}` AS DOUBLE)"
+        outputs.append(f"{low} + ({high} - {low}) * ({spot} - floor({spot})) AS `{name}`")
     if rows is not None:
-        outputs.append(F.col("_total").alias(rows))
-    picked = placed.groupBy(*group).agg(*picks) if group else placed.agg(*picks)
-    return picked.select(*group, *outputs)
+        outputs.append(f"_total AS `{rows}`")
+    picked = placed.groupBy(*group).agg(*[F.expr(pick) for pick in picks])
+    return picked.selectExpr(*[f"`{c}`" for c in group], *outputs)
 
 
 def group_quantiles(

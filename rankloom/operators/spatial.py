@@ -116,9 +116,9 @@ def neighbour_offsets(split: int) -> tuple[list[tuple[int, int]], list[tuple[int
 
 
 def _shifted(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets])
-    return cells.withColumn("_step", F.explode(steps)).withColumns(
-        {"_tx": F.col("_cx") + F.col("_step.dx"), "_ty": F.col("_cy") + F.col("_step.dy")}
+    steps = ", ".join(f"named_struct('dx', {a}L, 'dy', {b}L)" for a, b in offsets)
+    return cells.selectExpr("*", f"explode(array({steps})) AS _step").selectExpr(
+        *[f"`{c}`" for c in cells.columns], "_cx + _step.dx AS _tx", "_cy + _step.dy AS _ty"
     )
 
 
