@@ -1,2 +1,374 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Audit jobs on the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankloom.catalog.common import (
+    GRADED_SQL,
+    TIES,
+    TIES_SQL,
+    bootstrap_sql,
+    graded_lines,
+    ndcg_sql,
+    r_sql,
+    rounded,
+    table,
+)
+from rankloom.functions.bins import cut
+from rankloom.operators import audits, label, metrics, split, stats
+
+QUERIES, SQL = {}, {}
+PRICE = "l_extendedprice"
+
+
+def register(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+@register("""
+SELECT o_orderstatus, count(*) AS rows FROM orders GROUP BY ALL UNION ALL SELECT 'total', count(*) FROM orders""")
+def counts_with_total(spark, folder):
+    """Rows per market with a total row."""
+    return audits.counts_with_total(table(spark, folder, "orders"), "o_orderstatus")
+
+
+@register("""
+SELECT l_returnflag, CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS INT) AS lag_days, count(*) AS rows
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""")
+def lag_distribution(spark, folder):
+    """Days between two dates, per market."""
+    joined = table(spark, folder, "lineitem", "l_orderkey", "l_shipdate", "l_returnflag").join(
+        table(spark, folder, "orders", "o_orderkey", "o_orderdate"),
+        F.col("l_orderkey") == F.col("o_orderkey"),
+    )
+    return audits.lag_distribution(
+        joined, "l_returnflag", F.to_date("l_shipdate"), F.to_date("o_orderdate")
+    )
+
+
+_PROFILE = """SELECT '{n}' AS scheme, count(*) AS strata, count(*) FILTER (n = 1) AS singletons,
+  count(*) FILTER (n >= 10) AS large_strata, CAST(coalesce(sum(n) FILTER (n < 5), 0) AS BIGINT) AS rows_in_small,
+  CAST(coalesce(sum(n - c) FILTER (c = 0), 0) AS BIGINT) AS unfillable
+FROM (SELECT count(*) AS n, count(price) AS c FROM b GROUP BY {k})"""
+
+
+@register("""WITH b AS (SELECT *, CASE WHEN p_size > 10 THEN p_retailprice END AS price,
+  CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 ELSE 2 END AS tier FROM part)
+""" + _PROFILE.format(n="raw", k="p_type, p_brand, p_size") + " UNION ALL " + _PROFILE.format(n="tiers", k="p_type, p_brand, tier"))
+def strata_profile(spark, folder):
+    """What a binning scheme does to strata sizes and fillable nulls."""
+    parts = table(spark, folder, "part").withColumns(
+        {
+            "price": F.when(F.col("p_size") > 10, F.col("p_retailprice")),
+            "tier": cut(F.col("p_size"), (0, 10, 30, 50), ("low", "middle", "high")),
+        }
+    )
+    raw = audits.strata_profile(parts, ["p_type", "p_brand", "p_size"], "price")
+    tiers = audits.strata_profile(parts, ["p_type", "p_brand", "tier"], "price")
+    return raw.withColumn("scheme", F.lit("raw")).unionByName(
+        tiers.withColumn("scheme", F.lit("tiers"))
+    )
+
+
+@register("""
+SELECT l_returnflag, count(*) AS n, """ + r_sql("avg(l_discount * 10)") + " AS mean, "
+          + r_sql("avg(CAST(l_discount * 10 = 0 AS INT)) * 100") + " AS at_zero_percent, "
+          + r_sql("avg(CAST(l_discount * 10 = 1 AS INT)) * 100") + " AS at_one_percent FROM lineitem GROUP BY ALL")
+def spike_table(spark, folder):
+    """Mass at the label's two atoms."""
+    lines = table(spark, folder, "lineitem").withColumn("label", F.col("l_discount") * 10)
+    out = audits.spike_table(lines, "l_returnflag", "label")
+    return rounded(out, "mean", "at_zero_percent", "at_one_percent")
+
+
+@register("""
+WITH f AS (SELECT c_custkey, c_mktsegment, CAST(min(o_orderdate) AS DATE) AS first, DATE '1998-06-01' AS t
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1998-06-01' GROUP BY ALL)
+SELECT c_mktsegment, CASE WHEN first IS NULL THEN 'never reviewed' WHEN t - first < 365 THEN 'new this year'
+  ELSE 'established' END AS cohort, count(*) AS n FROM f GROUP BY ALL""")
+def cohorts(spark, folder):
+    """Never, new and established customers."""
+    anchor = F.lit("1998-06-01").cast("date")
+    orders = table(spark, folder, "orders").filter(F.to_date("o_orderdate") < anchor)
+    first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.to_date(F.min("o_orderdate")).alias("first")
+    )
+    out = table(spark, folder, "customer").join(first, "c_custkey", "left")
+    return out.groupBy("c_mktsegment", audits.cohort(F.col("first"), anchor).alias("cohort")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@register("""
+WITH p AS (SELECT 'dormant' AS population, * FROM lineitem WHERE l_discount >= 0.1
+  UNION ALL SELECT 'kept at zero', * FROM lineitem WHERE l_discount = 0
+  UNION ALL SELECT 'all', * FROM lineitem)
+SELECT population, count(*) AS n, """ + r_sql("avg(CAST(l_tax = 0 AS INT)) * 100") + " AS untaxed, "
+          + r_sql("median(l_quantity)") + " AS median_quantity, " + r_sql("median(l_extendedprice)", 4)
+          + " AS median_price FROM p GROUP BY ALL")
+def population_evidence(spark, folder):
+    """Overlapping populations side by side."""
+    out = audits.population_evidence(
+        table(spark, folder, "lineitem"),
+        {"dormant": F.col("l_discount") >= 0.1, "kept at zero": F.col("l_discount") == 0,
+         "all": F.lit(True)},
+        {"quantity": F.col("l_quantity"), "price": F.col(PRICE)},
+        {"untaxed": F.col("l_tax") == 0},
+    )
+    return rounded(rounded(out, "untaxed", "median_quantity"), "median_price", places=4)
+
+
+_SIGNALS = ("l_quantity", "l_extendedprice")
+_LONG = " UNION ALL ".join(f"SELECT l_returnflag AS scope, '{s}' AS signal, {s} AS x, l_discount AS y FROM lineitem" for s in _SIGNALS)
+
+
+@register(f"""
+WITH long AS ({_LONG}), every AS (SELECT * FROM long UNION ALL SELECT 'demeaned', signal,
+    round(x - avg(x) OVER (PARTITION BY scope, signal), 9), round(y - avg(y) OVER (PARTITION BY scope, signal), 9) FROM long
+  UNION ALL SELECT 'pooled', signal, x, y FROM long),
+k AS (SELECT signal, scope, rank() OVER (PARTITION BY signal, scope ORDER BY x) + (count(*) OVER (PARTITION BY signal, scope, x) - 1) / 2.0 AS rx,
+    rank() OVER (PARTITION BY signal, scope ORDER BY y) + (count(*) OVER (PARTITION BY signal, scope, y) - 1) / 2.0 AS ry FROM every)
+SELECT signal, scope, count(*) AS n, {r_sql('corr(rx, ry)', 4)} AS rho FROM k GROUP BY ALL""")
+def correlation_by_market(spark, folder):
+    """Rank correlation per market, market-demeaned and pooled."""
+    out = audits.correlation_by_market(
+        table(spark, folder, "lineitem"), _SIGNALS, "l_discount", "l_returnflag"
+    )
+    return rounded(out, "rho", places=4)
+
+
+@register("""
+WITH c AS (SELECT p_type, p_brand, count(*) AS n, stddev_samp(p_size) AS sd FROM part GROUP BY ALL)
+SELECT """ + r_sql("(SELECT stddev_samp(p_size) FROM part)") + " AS overall_sd, " + r_sql("avg(sd)") + " AS mean_cell_sd, "
+          + r_sql("1 - sum(sd * sd * n) / sum(n) / (SELECT var_samp(p_size) FROM part)") + " AS explained FROM c")
+def variance_explained(spark, folder):
+    """How much of a label's variance the cells explain."""
+    out = audits.variance_explained(table(spark, folder, "part"), ["p_type", "p_brand"], "p_size")
+    return rounded(out, "overall_sd", "mean_cell_sd", "explained")
+
+
+@register("WITH" + GRADED_SQL + """,
+p AS (SELECT l_suppkey, l_discount, grade, max(grade) OVER (PARTITION BY l_suppkey ORDER BY l_discount
+    RANGE BETWEEN UNBOUNDED PRECEDING AND 0.001 PRECEDING) AS above FROM graded)
+SELECT l_suppkey, max(coalesce(above > grade, false)) AS inverted FROM p GROUP BY ALL""")
+def inverted_groups(spark, folder):
+    """Groups whose grades oppose their labels, because the partition cuts across them."""
+    lines = graded_lines(spark, folder, "l_discount")
+    return audits.inverted_groups(lines, ["l_suppkey"], "l_discount", "grade")
+
+
+_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_discount, """ + TIES_SQL + """) - 1 AS b,
+    count(*) OVER (PARTITION BY l_returnflag) AS t FROM lineitem WHERE {w}),
+cut AS (SELECT *, CAST(greatest(ceil(b * {k} / (t - 1.0)) - 1, 0) + {o} AS INT) AS g FROM ranked)"""
+_SCHEME = """SELECT '{n}' AS scheme, """ + ", ".join(
+    r_sql("avg(CAST(g = {i} AS INT)) * 100".replace("{i}", str(i))) + f" AS grade_{i}_percent" for i in range(5)
+) + ", " + r_sql("avg(CAST(g = 0 AS INT)) FILTER (l_tax = 0) * 100") + """ AS cold_in_zero_percent,
+  (SELECT """ + r_sql("sum(CASE WHEN d > 1 THEN n ELSE 0 END) * 100.0 / sum(n)") + """ FROM (SELECT count(*) AS n,
+    count(DISTINCT g) AS d FROM {s} GROUP BY l_returnflag, l_discount)) AS split_labels_percent FROM {s}"""
+
+
+@register("WITH " + _RANKED.format(w="true", k=5, o=0) + ", a AS (SELECT * FROM cut) " + _SCHEME.format(n="quintiles", s="a"))
+def plain_quintiles(spark, folder):
+    """Rank-cut quintiles: identical labels split, the cold cohort buried."""
+    return _scheme(spark, folder, "quintiles")
+
+
+@register("WITH " + _RANKED.format(w="l_discount <> 0", k=4, o=1)
+          + ", a AS (SELECT * FROM cut UNION ALL SELECT *, 0, 0, 0 FROM lineitem WHERE l_discount = 0) "
+          + _SCHEME.format(n="zero_atom_rank", s="a"))
+def zero_atom_rank_cuts(spark, folder):
+    """The zero atom reserved, the rest cut on rank."""
+    return _scheme(spark, folder, "zero_atom_rank")
+
+
+def _scheme(spark, folder, name):
+    graded = audits.grading_scheme(
+        table(spark, folder, "lineitem"), name, ["l_returnflag"], "l_discount", TIES, "g"
+    )
+    out = audits.scheme_summary(graded, ["l_returnflag"], "l_discount", "g", F.col("l_tax") == 0)
+    out = out.withColumn("scheme", F.lit(name))
+    return rounded(out, *[c for c in out.columns if c.endswith("percent")])
+
+
+@register("WITH" + GRADED_SQL + """
+SELECT l_linenumber, grade, """ + r_sql("count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY l_linenumber)")
+          + " AS percent FROM graded GROUP BY l_linenumber, grade")
+def grade_mix(spark, folder):
+    """Grades inside each cohort."""
+    lines = graded_lines(spark, folder)
+    return rounded(audits.grade_mix(lines, "l_linenumber", "grade"), "percent")
+
+
+@register("WITH" + GRADED_SQL + """, g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT grade) AS d, max(grade) AS m FROM graded GROUP BY ALL)
+SELECT count(*) AS groups, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1 AND d = 1) AS zero_variance,
+  """ + r_sql("avg(d) FILTER (n > 1)") + " AS mean_distinct, " + r_sql("avg(CAST(m = 4 AS INT)) * 100") + " AS reaching_top_percent FROM g")
+def group_health(spark, folder):
+    """Groups that can and cannot train a ranker."""
+    out = audits.group_health(graded_lines(spark, folder), ["l_orderkey"], "grade")
+    return rounded(out, "mean_distinct", "reaching_top_percent")
+
+
+_FEATURES = ("l_quantity", "l_extendedprice", "l_tax")
+
+
+@register("WITH g AS (SELECT " + ", ".join(f"var_samp({f}) AS {f}" for f in _FEATURES) + " FROM lineitem GROUP BY l_orderkey) "
+          + " UNION ALL ".join(f"SELECT '{f}' AS feature, {r_sql(f'(SELECT avg({f}) FROM g) / (SELECT var_samp({f}) FROM lineitem)')} AS ratio" for f in _FEATURES))
+def within_variance_ratio(spark, folder):
+    """Which features vary inside a group at all."""
+    out = audits.within_variance_ratio(table(spark, folder, "lineitem"), ["l_orderkey"], _FEATURES)
+    return rounded(out, "ratio")
+
+
+@register("""
+WITH b AS (SELECT l_tax = 0 AS cold, CASE WHEN l_discount > 0 THEN l_discount END AS a, CASE WHEN l_quantity > 5 THEN l_quantity END AS b FROM lineitem)
+SELECT 'a' AS feature, count(*) - count(a) AS nulls, """ + r_sql("(count(*) - count(a)) * 100.0 / count(*)") + """ AS percent,
+  count(*) FILTER (a IS NULL AND NOT cold) AS beyond_cold FROM b
+UNION ALL SELECT 'b', count(*) - count(b), """ + r_sql("(count(*) - count(b)) * 100.0 / count(*)") + """, count(*) FILTER (b IS NULL AND NOT cold) FROM b""")
+def null_report(spark, folder):
+    """Nulls per feature and how many fall outside the cold cohort."""
+    lines = table(spark, folder, "lineitem").withColumns(
+        {
+            "a": F.when(F.col("l_discount") > 0, F.col("l_discount")),
+            "b": F.when(F.col("l_quantity") > 5, F.col("l_quantity")),
+        }
+    )
+    out = audits.null_report(lines, ["a", "b", "l_tax"], F.col("l_tax") == 0)
+    return rounded(out, "percent")
+
+
+_GROUP_RANKS = """k AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY {x}) + (count(*) OVER (PARTITION BY l_suppkey, {x}) - 1) / 2.0 AS rx,
+    rank() OVER (PARTITION BY l_suppkey ORDER BY {y}) + (count(*) OVER (PARTITION BY l_suppkey, {y}) - 1) / 2.0 AS ry FROM {s}),
+r AS (SELECT l_suppkey, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY ALL)"""
+
+
+@register("WITH " + _GROUP_RANKS.format(x="l_quantity", y=PRICE, s="lineitem") + " SELECT count(*) AS groups_scored, "
+          + r_sql("avg(rho)") + " AS mean_rho, " + r_sql("avg(CAST(rho > 0 AS INT))") + " AS share_positive, "
+          + r_sql("avg(CAST(rho <= -0.9999 AS INT))") + " AS share_minus_one FROM r WHERE n > 10 AND rho IS NOT NULL")
+def within_group_spearman(spark, folder):
+    """Rank correlation inside groups, summarised."""
+    per_group = audits.within_group_spearman(
+        table(spark, folder, "lineitem"), ["l_suppkey"], "l_quantity", PRICE
+    )
+    return rounded(audits.spearman_summary(per_group), "mean_rho", "share_positive", "share_minus_one")
+
+
+@register("""
+SELECT count(*) AS groups_scored, CAST(-1.0 AS DOUBLE) AS mean_rho, CAST(0.0 AS DOUBLE) AS share_positive, CAST(1.0 AS DOUBLE) AS share_minus_one
+FROM (SELECT o_custkey, o_orderstatus FROM orders GROUP BY ALL HAVING count(*) > 2 AND count(DISTINCT round(o_totalprice)) > 1)""")
+def label_leak_proof(spark, folder):
+    """A leave-one-out label mean is an exact decreasing function of the label inside a group."""
+    orders = table(spark, folder, "orders").withColumn("label", F.round("o_totalprice"))
+    out = audits.label_leak_proof(
+        orders, ["o_custkey"], ["o_custkey", "o_orderstatus"], "label"
+    )
+    return rounded(out, "mean_rho", "share_positive", "share_minus_one")
+
+
+@register("""
+WITH v AS (SELECT p_partkey, p_type, p_retailprice AS x, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice) AS k,
+  count(*) OVER (PARTITION BY p_type) AS n, list(p_retailprice) OVER (PARTITION BY p_type ORDER BY p_retailprice
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS vs, median(p_retailprice) OVER (PARTITION BY p_type) AS m FROM part),
+g AS (SELECT abs((vs[CAST((n - 2) // 2 AS INT) + 1 + CAST(k <= (n - 2) // 2 + 1 AS INT)]
+  + vs[CAST((n - 1) // 2 AS INT) + 1 + CAST(k <= (n - 1) // 2 + 1 AS INT)]) / 2 - m) AS gap FROM v)
+SELECT """ + r_sql("avg(gap)", 5) + " AS mean_gap, " + r_sql("avg(gap) / (SELECT median(p_retailprice) FROM part) * 100", 5)
+          + " AS percent_of_median FROM g")
+def loo_gap(spark, folder):
+    """How far leaving one out moves a median."""
+    out = audits.loo_gap(table(spark, folder, "part"), ["p_type"], "p_retailprice")
+    return rounded(out, "mean_gap", "percent_of_median", places=5)
+
+
+@register("""
+SELECT CASE WHEN l_quantity <= 5 THEN '1-5' WHEN l_quantity <= 20 THEN '6-20' ELSE '21-50' END AS band, count(*) AS n,
+  """ + r_sql("avg(l_tax)") + " AS mean, " + r_sql("stddev_samp(l_tax)") + " AS sd FROM lineitem GROUP BY ALL")
+def banded_spread(spark, folder):
+    """Spread of a value per evidence band."""
+    band = cut(F.col("l_quantity"), (0, 5, 20, 50), ("1-5", "6-20", "21-50"))
+    return rounded(audits.banded_spread(table(spark, folder, "lineitem"), band, "l_tax"), "mean", "sd")
+
+
+@register("WITH" + GRADED_SQL + "," + ndcg_sql("graded", "l_suppkey", "grade", PRICE, TIES_SQL, prefix="p") + ","
+          + ndcg_sql("graded", "l_suppkey", "grade", "l_quantity", TIES_SQL, prefix="q") + """
+SELECT coalesce(CAST(fold AS VARCHAR), 'population') AS fold, count(a) AS groups, """ + r_sql("avg(a)") + " AS first, "
+          + r_sql("avg(b)") + " AS second, " + r_sql("avg(a - b)") + """ AS difference FROM (
+  SELECT l_suppkey % 5 AS fold, p.ndcg AS a, q.ndcg AS b FROM p_ndcg p JOIN q_ndcg q USING (l_suppkey)) GROUP BY ROLLUP (fold)""")
+def difference_by_fold(spark, folder):
+    """Two baselines per fold and on the whole population."""
+    lines = graded_lines(spark, folder)
+    folds = lines.select("l_suppkey").distinct().withColumn("fold", F.col("l_suppkey") % 5)
+    out = audits.difference_by_fold(
+        metrics.ndcg_at_k(lines, ["l_suppkey"], "grade", PRICE, TIES),
+        metrics.ndcg_at_k(lines, ["l_suppkey"], "grade", "l_quantity", TIES),
+        folds, ["l_suppkey"], "fold",
+    )
+    return rounded(out, "first", "second", "difference")
+
+
+@register("WITH" + GRADED_SQL + "," + ndcg_sql("graded", "l_suppkey", "grade", PRICE, TIES_SQL) + """,
+a AS (SELECT l_returnflag, p_brand FROM graded JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING count(*) FILTER (l_suppkey % 5 = 0) < 80),
+u AS (SELECT l_suppkey, avg(CAST(a.p_brand IS NOT NULL AS INT)) > 0.4 AS absent FROM graded JOIN part ON p_partkey = l_partkey
+  LEFT JOIN a USING (l_returnflag, p_brand) GROUP BY ALL),
+v AS (SELECT absent, l_suppkey, ndcg, size FROM n_ndcg JOIN u USING (l_suppkey)),""" + bootstrap_sql("v", "absent", "ndcg", "l_suppkey", 200)
+          + """
+SELECT absent, count(*) FILTER (v.ndcg IS NOT NULL) AS groups, """ + r_sql("median(size)") + " AS median_size, "
+          + ", ".join(r_sql(f"min(b_ci.{c})") + f" AS {c}" for c in ("ndcg", "ndcg_low", "ndcg_high"))
+          + " FROM v JOIN b_ci USING (absent) GROUP BY absent")
+def coverage_bias(spark, folder):
+    """The metric on groups in thinly covered places against the others."""
+    from rankloom.operators import ordering
+
+    parts = table(spark, folder, "part", "p_partkey", "p_brand").withColumnRenamed(
+        "p_partkey", "l_partkey"
+    )
+    lines = graded_lines(spark, folder).join(parts, "l_partkey").withColumn(
+        "fold", F.col("l_suppkey") % 5
+    )
+    thin = split.geography_coverage(lines, "fold", "l_returnflag", "p_brand").select(
+        "l_returnflag", "p_brand", (F.col("sealed_rows") < 80).alias("thin")
+    )
+    placed = ordering.attach(lines, thin, ["l_returnflag", "p_brand"])
+    flags = placed.groupBy("l_suppkey").agg(
+        (F.avg(F.col("thin").cast("double")) > 0.4).alias("absent")
+    )
+    per_group = metrics.ndcg_at_k(lines, ["l_suppkey"], "grade", PRICE, TIES).join(flags, "l_suppkey")
+    ci = metrics.bootstrap_ci(per_group, ["absent"], ["ndcg"], ["l_suppkey"], iterations=200)
+    sizes = per_group.groupBy("absent").agg(F.count("ndcg").alias("groups"))
+    medians = ordering.group_median(per_group, ["absent"], "size", "median_size")
+    out = sizes.join(medians, "absent").join(ci, "absent")
+    return rounded(out, "median_size", "ndcg", "ndcg_low", "ndcg_high")
+
+
+@register("""
+WITH v AS (SELECT l_linenumber AS config, avg(l_extendedprice) AS oof, avg(l_tax) AS rate, max(l_quantity) - avg(l_quantity) AS leaves
+  FROM lineitem GROUP BY ALL), k AS (SELECT """ + ", ".join(f"rank() OVER (ORDER BY {c}) AS {c}" for c in ("oof", "rate", "leaves")) + """ FROM v)
+SELECT 'leaves' AS b, count(*) AS n, """ + r_sql("corr(oof, leaves)") + " AS r FROM k UNION ALL SELECT 'rate', count(*), "
+          + r_sql("corr(oof, rate)") + " FROM k")
+def hyperparameter_correlation(spark, folder):
+    """Rank correlation of each setting with the outcome over a results table."""
+    results = table(spark, folder, "lineitem").groupBy("l_linenumber").agg(
+        F.avg(PRICE).alias("oof"), F.avg("l_tax").alias("rate"),
+        (F.max("l_quantity") - F.avg("l_quantity")).alias("leaves"),
+    )
+    out = stats.correlation_matrix(results, ["oof", "rate", "leaves"], "spearman", min_periods=3)
+    return rounded(out.filter("a = 'oof'").select("b", "n", "r"), "r")
+
+
+@register("""
+WITH c AS (SELECT l_returnflag, l_linestatus, l_discount AS x FROM lineitem WHERE l_discount <> 0)
+SELECT l_returnflag, l_linestatus, """ + ", ".join(r_sql(f"quantile_cont(x, {p})") + f" AS {n}" for n, p in (("q1", .25), ("q2", .5), ("q3", .75)))
+          + " FROM c GROUP BY ALL")
+def grade_cut_points(spark, folder):
+    """The quartile edges the grades use."""
+    lines = table(spark, folder, "lineitem")
+    counts, size = label.label_counts(lines, "l_discount", ["l_returnflag", "l_linestatus"])
+    out = label.grade_edges(
+        counts, size, "l_discount", ["l_returnflag", "l_linestatus"], ["l_returnflag"]
+    )
+    return rounded(out.select("l_returnflag", "l_linestatus", "q1", "q2", "q3"), "q1", "q2", "q3")
