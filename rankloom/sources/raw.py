@@ -46,6 +46,8 @@ def load_raw(
     target = schemas.schema(schemas.ENTITIES[entity])
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in target.fields])
     raw = _read_text(spark, path, text)
+    if entity == "listings":  # file order, which decides the first of repeated ids
+        raw = raw.withColumn("_row", F.monotonically_increasing_id())
     raw = raw.repartition(partitions) if partitions else raw.hint("rebalance")
     typed = [
         F.when(~F.col(f.name).isin(*NULL_TOKENS), F.col(f.name)).try_cast(f.dataType).alias(f.name)
@@ -53,7 +55,7 @@ def load_raw(
         else F.when(~F.col(f.name).isin(*NULL_TOKENS), F.col(f.name)).alias(f.name)
         for f in target.fields
     ]
-    return raw.select(*typed)
+    return raw.select(*typed, *(["_row"] if "_row" in raw.columns else []))
 
 
 def load_neighbourhoods(spark: SparkSession, path: str) -> DataFrame:
