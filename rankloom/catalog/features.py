@@ -177,9 +177,9 @@ def imputed_prices(spark, folder):
 
 @register("WITH " + GAPS_SQL + """
 SELECT c_mktsegment, count(*) AS n, count(*) FILTER (price IS NULL) AS missing,
-  count(*) FILTER (price IS NULL AND m0 IS NOT NULL) AS nation_segment,
-  count(*) FILTER (price IS NULL AND m0 IS NULL AND m1 IS NOT NULL) AS segment,
-  count(*) FILTER (price IS NULL AND m0 IS NULL AND m1 IS NULL AND m2 IS NOT NULL) AS "all"
+  count(*) FILTER (price IS NULL AND m0 IS NOT NULL) AS filled_nation_segment,
+  count(*) FILTER (price IS NULL AND m0 IS NULL AND m1 IS NOT NULL) AS filled_segment,
+  count(*) FILTER (price IS NULL AND m0 IS NULL AND m1 IS NULL AND m2 IS NOT NULL) AS filled_all
 FROM filled GROUP BY ALL""")
 def imputation_report(spark, folder):
     """Rows filled per rung."""

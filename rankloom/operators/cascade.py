@@ -77,11 +77,11 @@ def impute_report(
     imputed: DataFrame, rung: str, cascade: Sequence[tuple[str, Sequence[str]]],
     value: str, by: Sequence[str],
 ) -> DataFrame:
-    """Per ``by``: rows, missing, rows filled per rung and rows nothing could fill."""
+    """Per ``by``: rows, missing, ``filled_<rung>`` and rows nothing could fill."""
     return imputed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col(rung).isNotNull() | F.col(value).isNull(), 1)).alias("missing"),
-        *[F.count(F.when(F.col(rung) == n, 1)).alias(n) for n, _ in cascade],
+        *[F.count(F.when(F.col(rung) == n, 1)).alias(f"filled_{n}") for n, _ in cascade],
         F.count(F.when(F.col(value).isNull(), 1)).alias("unresolved"),
     )
 

@@ -117,7 +117,9 @@ def neighbour_offsets(split: int) -> tuple[list[tuple[int, int]], list[tuple[int
 
 def _shifted(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     steps = ", ".join(f"named_struct('dx', {a}L, 'dy', {b}L)" for a, b in offsets)
-    return cells.selectExpr("*", f"explode(array({steps})) AS _step").selectExpr(
+    return cells.selectExpr(
+        "*", f"explode(CAST(array({steps}) AS ARRAY<STRUCT<dx: BIGINT, dy: BIGINT>>)) AS _step"
+    ).selectExpr(
         *[f"`{c}`" for c in cells.columns], "_cx + _step.dx AS _tx", "_cy + _step.dy AS _ty"
     )
 

@@ -9,32 +9,33 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions import tails
 from rankloom.functions.bins import cut_ordinal
 from rankloom.operators import ordering
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) else tails.correlation_p(float(a), int(b)) for a, b in zip(r, n)]
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([tails.chi2_upper(float(a), float(b)) for a, b in zip(statistic, dof)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p(statistic: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
     return pd.Series(
         [tails.f_upper(float(a), float(b), float(c)) for a, b, c in zip(statistic, between, within)]
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [tails.student_two_sided(float(a), float(b)) for a, b in zip(statistic, dof)]

@@ -13,7 +13,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("rankloom-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
