@@ -46,12 +46,14 @@ def sampled_pairs(
         total="_size",
         hot_rows=hot_rows,
     ).select(*cell, "_slot", "_size", group, score, truth)
-    numbered, _ = ordering.session.measured(numbered)
-    sizes = numbered.groupBy(*cell).agg(F.max("_size").alias("_size")).filter("_size >= 2")
+    numbered, rows = ordering.session.measured(numbered)
+    sizes, cells = ordering.session.measured(
+        numbered.groupBy(*cell).agg(F.max("_size").alias("_size")).filter("_size >= 2")
+    )
     chunks = -(-draws // chunk)
+    chunked = sizes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     spread = (
-        sizes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        .repartition(*cell, "_chunk")
+        ordering.session.spread(chunked, cells * draws, *cell, "_chunk")
         .withColumn("_within", F.explode(F.sequence(F.lit(0), F.lit(chunk - 1))))
         .withColumn("_draw", F.col("_chunk") * chunk + F.col("_within"))
         .filter(F.col("_draw") < draws)
@@ -72,7 +74,8 @@ def sampled_pairs(
         )
 
     both = ordering.attach(
-        ordering.attach(pairs, side("a"), [*cell, "_a"], salts=1), side("b"), [*cell, "_b"], salts=1
+        ordering.attach(pairs, side("a"), [*cell, "_a"], salts=1, at_most=rows),
+        side("b"), [*cell, "_b"], salts=1, at_most=rows,
     )
     agrees = (F.col("_sa") > F.col("_sb")) == (F.col("_ta") > F.col("_tb"))
     # Equal scores: the reference order is "first drawn wins", which no sampler can repeat; they

@@ -189,8 +189,8 @@ def bootstrap_means(
     numbered = ordering.running_total(
         kept, by, [F.col(c).asc() for c in order], before="_slot", total="_size", hot_rows=hot_rows
     ).select(*by, "_slot", "_size", *values)
-    numbered, _ = ordering.session.measured(numbered)
-    draws = numbered.select(
+    numbered, rows = ordering.session.measured(numbered)
+    draws = ordering.session.spread(numbered, rows * iterations, *by, "_slot").select(
         *by,
         F.col("_slot").alias("_proposer"),
         "_size",
@@ -199,7 +199,8 @@ def bootstrap_means(
         "_slot", draw_index(F.col("_size"), F.lit(seed), F.col("draw"), F.col("_proposer"))
     )
     drawn = ordering.attach(
-        draws.select(*by, "draw", "_slot"), numbered.drop("_size"), [*by, "_slot"], salts=1
+        draws.select(*by, "draw", "_slot"), numbered.drop("_size"), [*by, "_slot"], salts=1,
+        at_most=rows,
     )
     return drawn.groupBy(*by, "draw").agg(*[F.avg(v).alias(v) for v in values])
 

@@ -140,17 +140,20 @@ def attach(
     salts: int = 32,
     broadcast_rows: int | None = None,
     at_most: int | None = None,
+    size: str | None = None,
 ) -> DataFrame:
     """Join a one-row-per-key table back to the rows it describes (null keys match null keys).
 
     The table is counted first, unless ``at_most`` already bounds its rows. Small enough: broadcast, and the rows never move. Otherwise both
-    sides are shuffled on (keys, salt), the table repeated once per salt, so that the rows of a
-    hot key spread over ``salts`` tasks.
+    sides are shuffled on (keys, salt), so that the rows of a hot key spread over ``salts`` tasks.
+    ``size`` names a column of the table with the rows per key: then only keys above ``HOT_ROWS``
+    are salted (there can be at most total / ``HOT_ROWS`` of them, few enough to broadcast);
+    without it the whole table is repeated once per salt.
     """
     limit = session.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     keys = list(keys)
     rows = at_most
-    if rows is None or rows > limit:
+    if rows is None:
         stats, rows = session.measured(stats)
     extra = [c for c in stats.columns if c not in keys]
     right = stats.select(*[F.col(c).alias(f"_r_{c}") for c in keys], *extra)
@@ -158,10 +161,29 @@ def attach(
     kept = df.columns + ([] if how in ("left_semi", "left_anti") else extra)
     if rows <= limit:
         return df.join(F.broadcast(right), match, how).select(*kept)
+    # The hint matters: a repeated table looks as small as its files and would be broadcast.
+    if salts <= 1:
+        return df.join(right.hint("merge"), match, how).select(*kept)
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
-    spread = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, match & (F.col("_salt") == F.col("_r_salt")), how).select(*kept)
+    lot = F.pmod(F.xxhash64(*plain), F.lit(salts))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    if size is None:
+        salted, copies = df.withColumn("_salt", lot), every
+    else:
+        is_hot = F.col(size) > session.HOT_ROWS
+        hot, hot_keys = session.measured(
+            stats.filter(is_hot).select(*[F.col(c).alias(f"_h_{c}") for c in keys])
+        )
+        if not hot_keys:
+            return df.join(right.hint("merge"), match, how).select(*kept)
+        hot = hot.withColumn("_hot", F.lit(True))
+        on_hot = same([F.col(c) for c in keys], [F.col(f"_h_{c}") for c in keys])
+        flagged = df.join(F.broadcast(hot), on_hot, "left")
+        none = F.lit(0).cast("long")
+        salted = flagged.withColumn("_salt", F.when(F.col("_hot"), lot).otherwise(none))
+        copies = F.when(is_hot, every).otherwise(F.array(none))
+    repeated = right.withColumn("_r_salt", F.explode(copies)).hint("merge")
+    return salted.join(repeated, match & (F.col("_salt") == F.col("_r_salt")), how).select(*kept)
 
 
 def with_group_stats(
@@ -172,7 +194,8 @@ def with_group_stats(
 ) -> DataFrame:
     """Aggregate per group and put the result on every row (an unordered window without the
     whole-group task). ``at_most`` bounds the rows of ``df``, hence the number of groups."""
-    return attach(df, df.groupBy(*group).agg(*aggregates), group, at_most=at_most)
+    stats = df.groupBy(*group).agg(*aggregates, F.count(F.lit(1)).alias("_group_rows"))
+    return attach(df, stats, group, at_most=at_most, size="_group_rows").drop("_group_rows")
 
 
 def histogram(
@@ -285,9 +308,10 @@ def average_rank(
     columns = [rank.alias(name)]
     if share is not None:
         columns.append((rank / F.col("_total")).alias(share))
-    ranks = placed.select(*group, value, *columns)
-    bound = size if size <= session.BROADCAST_ROWS else None
-    return attach(df, ranks, [*group, value], at_most=bound)
+    ranks = placed.select(*group, value, *columns, "_n")
+    if size > session.BROADCAST_ROWS:
+        ranks = session.stage(ranks)
+    return attach(df, ranks, [*group, value], at_most=size, size="_n").drop("_n")
 
 
 def dense_ids(

@@ -154,8 +154,9 @@ def density(
     ).withColumns(
         {"_cx": F.floor(F.col("_x") / F.lit(side)), "_cy": F.floor(F.col("_y") / F.lit(side))}
     )
-    points, _ = ordering.session.measured(points.drop("_ref"))
+    points, rows = ordering.session.measured(points.drop("_ref"))
     inside, edge = neighbour_offsets(split)
+    points = ordering.session.spread(points, rows * len(edge), market, lat, lon)
 
     cells = points.groupBy(market, "_cx", "_cy").agg(F.sum("_here").alias("_in_cell"))
     source = cells.select(
@@ -191,7 +192,8 @@ def density(
         .agg(F.sum("_there").alias("_ring"))
     )
     near = ordering.attach(
-        ordering.attach(points, whole, [market, "_cx", "_cy"]), ring, [market, lat, lon]
+        ordering.attach(points, whole, [market, "_cx", "_cy"], at_most=rows), ring,
+        [market, lat, lon], at_most=rows,
     )
     total = F.coalesce("_whole", F.lit(0)) + F.coalesce("_ring", F.lit(0)) - 1
     counted = near.select(market, lat, lon, total.cast("long").alias(name))

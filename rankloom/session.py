@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 200_000
+#: Rows one task should produce when a small table is about to be multiplied.
+TASK_ROWS = 2_000_000
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -53,3 +55,13 @@ def measured(df: DataFrame) -> tuple[DataFrame, int]:
     """
     kept = stage(df)
     return kept, kept.count()
+
+
+def spread(df: DataFrame, rows_out: int, *columns: str) -> DataFrame:
+    """Distribute a small table over enough tasks to produce ``rows_out`` rows from it.
+
+    A staged table of a few thousand rows is a single file; exploding it as it stands would be the
+    work of a single task.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, rows_out // TASK_ROWS)
+    return df.repartition(tasks, *columns)

@@ -65,6 +65,16 @@ def test_average_rank_matches_hand_count_and_keeps_nulls(spark):
     assert out == {1: (1.0, 1 / 3), 2: (2.5, 2.5 / 3), 3: (2.5, 2.5 / 3), 4: (None, None)}
 
 
+def test_only_hot_keys_are_salted(skewed, monkeypatch):
+    stats = skewed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
+    small = ordering.attach(skewed, stats, ["g"])
+    assert same(small, ordering.attach(skewed, stats, ["g"], broadcast_rows=0, size="n"))
+    monkeypatch.setattr(ordering.session, "HOT_ROWS", 200)
+    hot = ordering.attach(skewed, stats, ["g"], broadcast_rows=0, size="n")
+    assert same(small, hot)
+    assert "SortMergeJoin" in hot._jdf.queryExecution().executedPlan().toString()
+
+
 def test_salted_join_equals_broadcast_join_and_matches_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (3, "y"), (4, "x")], "id int, k string")
     stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
