@@ -312,8 +312,8 @@ def difference_by_fold(spark, folder):
 
 
 @register("WITH" + GRADED_SQL + "," + ndcg_sql("graded", "l_suppkey", "grade", PRICE, TIES_SQL) + """,
-a AS (SELECT l_returnflag, p_brand FROM graded JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING count(*) FILTER (l_suppkey % 5 = 0) < 80),
-u AS (SELECT l_suppkey, avg(CAST(a.p_brand IS NOT NULL AS INT)) > 0.4 AS absent FROM graded JOIN part ON p_partkey = l_partkey
+a AS (SELECT l_returnflag, p_brand FROM graded JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING count(*) FILTER (l_suppkey % 5 = 0) / count(*) < 0.2),
+u AS (SELECT l_suppkey, avg(CAST(a.p_brand IS NOT NULL AS INT)) > 0.5 AS absent FROM graded JOIN part ON p_partkey = l_partkey
   LEFT JOIN a USING (l_returnflag, p_brand) GROUP BY ALL),
 v AS (SELECT absent, l_suppkey, ndcg, size FROM n_ndcg JOIN u USING (l_suppkey)),""" + bootstrap_sql("v", "absent", "ndcg", "l_suppkey", 200)
           + """
@@ -331,11 +331,11 @@ def coverage_bias(spark, folder):
         "fold", F.col("l_suppkey") % 5
     )
     thin = split.geography_coverage(lines, "fold", "l_returnflag", "p_brand").select(
-        "l_returnflag", "p_brand", (F.col("sealed_rows") < 80).alias("thin")
+        "l_returnflag", "p_brand", (F.col("sealed_share") < 0.2).alias("thin")
     )
     placed = ordering.attach(lines, thin, ["l_returnflag", "p_brand"])
     flags = placed.groupBy("l_suppkey").agg(
-        (F.avg(F.col("thin").cast("double")) > 0.4).alias("absent")
+        (F.avg(F.col("thin").cast("double")) > 0.5).alias("absent")
     )
     per_group = metrics.ndcg_at_k(lines, ["l_suppkey"], "grade", PRICE, TIES).join(flags, "l_suppkey")
     ci = metrics.bootstrap_ci(per_group, ["absent"], ["ndcg"], ["l_suppkey"], iterations=200)
