@@ -79,7 +79,7 @@ def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
     key, live = np.zeros(count, np.int64), np.ones(count, bool)
     for step in range(depth):
         at = np.zeros(count, np.int64)
-        at[: count - step] = symbols[step:]
+        at[: max(0, count - step)] = symbols[step:]
         at[~live] = 0
         key = (key << bits) | at
         live &= at > 0
