@@ -7,12 +7,15 @@
    filtering stays exact however coarse the cells become.
 3. Seeds: classes sharing one of a few minimum hashes are each compared with one hub of that group.
    This ties up large groups of near copies with one comparison per class instead of one per pair.
-4. Candidates: the prefix of a class has ``|x| - ceil(t |x|) + REPEATS`` shingles, so a linked pair
-   shares at least ``REPEATS`` prefix shingles. Classes are joined on them when they are still in
-   different components, and pass the length and positional filters; the suffix filter bounds the
-   symmetric difference by the parities of the shingles in 512 cells.
-5. Pairs left are verified on their whole sets, once each, and components follow by alternating star
-   contraction.
+4. Postings: the prefix of a class has ``|x| - ceil(t |x|) + REPEATS`` shingles, so a linked pair
+   shares at least ``REPEATS`` prefix shingles. A few times, every shingle's classes are compared
+   with one hub, another each time: families of near copies grow together at a cost in proportion
+   to the postings.
+5. Candidates: classes still in different components are joined on their prefix shingles under the
+   length, positional and suffix filters. The suffix filter bounds the symmetric difference by the
+   parities of the shingles in 512 cells.
+6. Pairs left by the filters are verified on their whole sets, and components follow by alternating
+   star contraction.
 
 Two classes that are already connected need no further comparison, which loses no component: every
 linked pair is either compared or lies within one component. The largest component at a shingle is
@@ -35,7 +38,9 @@ from rankloom.llm import common
 #: number for each.
 CELLS = 1 << 16
 SEEDS = 4
-REPEATS = 3
+REPEATS = 2
+#: Times each prefix shingle's classes are compared with a hub before all remaining pairs are formed.
+HUB_ROUNDS = 2
 #: 64-bit words of the suffix filter's parities, and of the filter that picks texts to verify.
 PARITY_WORDS = 8
 PICK_WORDS = 1 << 15
@@ -221,7 +226,6 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = session.stage(large)
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         edges = session.stage(small.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -284,36 +288,68 @@ class Join:
             .where(long_enough("n", "n_b", self.numerator, self.denominator))
             .select(F.col("id").alias("a"), "b").distinct())
 
-    def candidates(self, roots: DataFrame) -> DataFrame:
-        """Pairs of classes in different components that pass every filter."""
-        rooted = self.classes.join(roots, F.col("id") == F.col("node"), "left").select(
-            "h1", "h2", "id", "n", F.coalesce("root", "id").alias("root"))
+    def postings(self) -> DataFrame:
+        """``gram, id, n, place`` of all prefix shingles that at least two classes have."""
         heads = prefixes(self.hashed, self.width, self.numerator, self.denominator, self.commonness())
-        heads = rooted.join(heads.groupBy("h1", "h2").agg(F.first("prefix").alias("prefix")), ["h1", "h2"])
-        posts = heads.select("id", "n", "root", F.posexplode("prefix").alias("place", "gram"))
-        posts = posts.repartition(F.col("gram"))
+        heads = self.classes.select("h1", "h2", "id", "n").join(
+            heads.groupBy("h1", "h2").agg(F.first("prefix").alias("prefix")), ["h1", "h2"])
+        posts = heads.select("id", "n", F.posexplode("prefix").alias("place", "gram")).repartition(F.col("gram"))
+        held = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("gram")
+        return session.stage(posts.join(held, "gram").select("gram", "id", "n", "place"))
+
+    def rooted(self, posts: DataFrame, roots: DataFrame) -> DataFrame:
+        return posts.join(roots, F.col("id") == F.col("node"), "left").select(
+            "gram", "id", "n", "place", F.coalesce("root", "id").alias("root"))
+
+    def near(self, a: str, b: str) -> str:
+        """The length and positional filters on two postings of one shingle."""
+        least = alpha(f"n_{a}", f"n_{b}", self.numerator, self.denominator)
+        return (f"{long_enough(f'n_{a}', f'n_{b}', self.numerator, self.denominator)} AND "
+                f"least(p_{a}, p_{b}) + 1 + least(n_{a} - p_{a} - 1, n_{b} - p_{b} - 1) >= {least}")
+
+    def suffix(self) -> str:
+        """The suffix filter: parities of shared cells differ no more often than two linked sets may."""
+        least = alpha("n_a", "n_b", self.numerator, self.denominator)
+        apart = " + ".join(f"bit_count(f_a[{w}] ^ f_b[{w}])" for w in range(PARITY_WORDS))
+        return f"{apart} <= n_a + n_b - 2 * {least}"
+
+    def hub_pairs(self, posts: DataFrame, roots: DataFrame, nth: int) -> DataFrame:
+        """Each posting's class beside the hub of its shingle, where they are in different components."""
+        every = self.rooted(posts, roots)
+        hubs = every.groupBy("gram").agg(
+            F.min_by(F.struct("id", "n", "place", "root"), F.xxhash64("gram", "id", F.lit(nth))).alias("hub"),
+            (F.min("root") < F.max("root")).alias("open")).where("open")
+        met = every.join(hubs, "gram").where("root <> hub.root").select(
+            F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"),
+            F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.place").alias("p_b"))
+        pairs = met.where(self.near("a", "b")).select("a", "b", "n_a", "n_b").distinct()
+        p = self.classes.select(F.col("id").alias("a"), F.col("parity").alias("f_a"))
+        q = self.classes.select(F.col("id").alias("b"), F.col("parity").alias("f_b"))
+        return session.stage(pairs.join(p, "a").join(q, "b").where(self.suffix())
+                             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def candidates(self, posts: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of classes in different components that pass every filter."""
+        every = self.rooted(posts, roots).repartition(F.col("gram"))
         # The component that holds most of a shingle's classes is joined with the others only.
-        held = posts.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("held"))
+        held = every.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("held"))
         most = (held.groupBy("gram").agg(F.max_by("root", F.struct("held", "root")).alias("most"), F.count(F.lit(1)).alias("kinds"))
                 .where("kinds > 1").select("gram", "most"))
-        posts = posts.join(most, "gram")
-        x = posts.where("root <> most").select(
-            "gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("place").alias("p_a"))
-        y = posts.select(
-            "gram", "most", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"), F.col("place").alias("p_b"))
-        least = alpha("n_a", "n_b", self.numerator, self.denominator)
-        met = x.join(y, "gram").where("r_a <> r_b AND (r_b = most OR a < b)").where(
-            long_enough("n_a", "n_b", self.numerator, self.denominator)).where(
-            f"least(p_a, p_b) + 1 + least(n_a - p_a - 1, n_b - p_b - 1) >= {least}")
+        every = every.join(most, "gram").join(self.classes.select("id", "parity"), "id")
+        every = session.stage(every.select("gram", "most", "id", "n", "place", "root", "parity"))
+        x = every.where("root <> most").select(
+            "gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("place").alias("p_a"),
+            F.col("parity").alias("f_a"))
+        y = every.select(
+            "gram", "most", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"), F.col("place").alias("p_b"),
+            F.col("parity").alias("f_b"))
+        met = x.join(y, (x["gram"] == y["gram"]) & F.expr(
+            f"r_a <> r_b AND (r_b = most OR a < b) AND {self.near('a', 'b')} AND {self.suffix()}"))
         # A pair shares as many prefix shingles as rows meet here; short sets share all they have.
-        pairs = (met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("low"),
-                            F.expr(least).alias("need"), (F.col("n_a") + F.col("n_b")).alias("both"))
-                 .groupBy("a", "b", "need", "both").agg(F.count(F.lit(1)).alias("shared"))
-                 .where(f"shared >= least({REPEATS}, need)"))
-        p = self.classes.select(F.col("id").alias("a"), F.col("parity").alias("f_a"))
-        q = self.classes.select(F.col("id").alias("b"), F.col("parity").alias("f_b"))
-        apart = "aggregate(zip_with(f_a, f_b, (s, t) -> bit_count(s ^ t)), 0, (x, y) -> x + y)"
-        return session.stage(pairs.join(p, "a").join(q, "b").where(f"{apart} <= both - 2 * need").select("a", "b"))
+        need = F.expr(f"least({REPEATS}, {alpha('n_a', 'n_b', self.numerator, self.denominator)})")
+        return session.stage(
+            met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"))
+            .groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("a", "b"))
 
 
 def linked(docs: DataFrame, key: str = "doc_id", width: int = 3, numerator: int = 9, denominator: int = 10) -> DataFrame:
@@ -339,10 +375,11 @@ def plain_key(docs: DataFrame, key: str):
 
 def _linked(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     join = Join(docs, width, numerator, denominator)
-    links = join.verified(join.seeds())
-    roots = components(join.spark, links)
-    more = join.verified(join.candidates(roots))
-    roots = components(join.spark, links.union(more))
+    roots = components(join.spark, join.verified(join.seeds()))
+    posts = join.postings()
+    for nth in range(HUB_ROUNDS + 1):
+        more = join.verified(join.hub_pairs(posts, roots, nth) if nth < HUB_ROUNDS else join.candidates(posts, roots))
+        roots = components(join.spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     classes = join.classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("root", "id").alias("root"))
     rows = join.signed.where("cell IS NULL").select("key", "text_hash", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
