@@ -38,9 +38,11 @@ from rankloom.llm import common
 #: number for each.
 CELLS = 1 << 16
 SEEDS = 4
-REPEATS = 2
+REPEATS = 4
 #: Times each prefix shingle's classes are compared with a hub before all remaining pairs are formed.
 HUB_ROUNDS = 2
+#: Shingles of a set up to which the suffix filter alone tells chance meetings from near copies.
+SUFFIX_REACH = 900
 #: 64-bit words of the suffix filter's parities, and of the filter that picks texts to verify.
 PARITY_WORDS = 8
 PICK_WORDS = 1 << 15
@@ -322,7 +324,9 @@ class Join:
         met = every.join(hubs, "gram").where("root <> hub.root").select(
             F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"),
             F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.place").alias("p_b"))
-        pairs = met.where(self.near("a", "b")).select("a", "b", "n_a", "n_b").distinct()
+        # Long sets meet by chance and the suffix filter cannot see it: they have to meet repeatedly.
+        pairs = (met.where(self.near("a", "b")).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
+                 .where(f"met >= 2 OR n_a + n_b <= {2 * SUFFIX_REACH}"))
         p = self.classes.select(F.col("id").alias("a"), F.col("parity").alias("f_a"))
         q = self.classes.select(F.col("id").alias("b"), F.col("parity").alias("f_b"))
         return session.stage(pairs.join(p, "a").join(q, "b").where(self.suffix())
