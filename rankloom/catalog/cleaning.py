@@ -141,9 +141,9 @@ def read_through_cache(spark, folder):
 
 
 @register("""
-SELECT c_custkey, substr(sha256('pepper:' || c_custkey), 1, 12) AS id_hash,
-  substr(sha256('pepper:' || c_custkey), 1, 12) AS id_hash_from_double,
-  CASE WHEN c_nationkey > 4 THEN substr(sha256('pepper:' || c_nationkey), 1, 12) END AS nation_hash
+SELECT c_custkey, sha256('pepper:' || c_custkey) AS id_hash,
+  sha256('pepper:' || c_custkey) AS id_hash_from_double,
+  CASE WHEN c_nationkey > 4 THEN sha256('pepper:' || c_nationkey) END AS nation_hash
 FROM customer""")
 def salted_hash_columns(spark, folder):
     """Digest of a key, the same key widened to double, and a nullable key."""
@@ -338,13 +338,15 @@ def text_record_cost(spark, folder):
 
 
 @register("""
-SELECT doc_id, length(substr(text, 1, 5120)) AS kept, md5(substr(text, 1, 5120)) AS digest
-FROM documents""")
+SELECT doc_id, CAST(n AS INT) AS piece, length(substr(text, n * 5120 + 1, 5120)) AS kept, md5(substr(text, n * 5120 + 1, 5120)) AS digest
+FROM (SELECT *, unnest(range(0, greatest(1, (length(text) + 5119) // 5120))) AS n FROM documents)""")
 def truncated_documents(spark, folder):
-    """The service's length limit (the operator's own definition, not a shortcut)."""
-    cut = parsing.truncate_document(F.col("text"))
-    return table(spark, folder, "documents").select(
-        "doc_id", F.length(cut).cast("long").alias("kept"), F.md5(cut).alias("digest")
+    """Whole documents in pieces of the service's length limit."""
+    pieces = table(spark, folder, "documents").select(
+        "doc_id", F.posexplode(parsing.document_pieces(F.col("text"))).alias("piece", "cut")
+    )
+    return pieces.select(
+        "doc_id", "piece", F.length("cut").cast("long").alias("kept"), F.md5("cut").alias("digest")
     )
 
 

@@ -498,7 +498,7 @@ def review_ages(spark, folder):
 
 def document_items(spark, folder):
     """Documents as lists of words, the item lists the amenity operators work on."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 0)
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
     return table(spark, folder, "documents", "doc_id", "text", "source").select(
         "doc_id", "source", words.alias("items")
     )
@@ -506,7 +506,7 @@ def document_items(spark, folder):
 
 WORD_BUCKETS = {"tion": "tion|ment", "th": "th", "vowels": "ea|ou|au", "er": "er|en"}
 WORDS_SQL = """
-words AS (SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'),
+words AS (SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'),
   lambda w: length(w) > 0)) AS item FROM documents)"""
 BUCKET_CASE = """CASE WHEN contains(item, 'tion') OR contains(item, 'ment') THEN 'tion'
   WHEN contains(item, 'th') THEN 'th' WHEN contains(item, 'ea') OR contains(item, 'ou')
@@ -572,7 +572,7 @@ def variance_vocabulary(spark, folder):
 
 
 @register("""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'),
   lambda w: length(w) > 0) AS items FROM documents)
 SELECT doc_id, CAST(len(items) AS BIGINT) AS amenity_count,
   CAST(list_contains(items, 'the') AS BIGINT) AS amenity_has_the,
@@ -622,10 +622,11 @@ def aggregated_sentiment(spark, folder):
 
 
 @register("""
-SELECT conv_id, turn, md5(substr(text, 1, 5120)) AS digest FROM (SELECT *, row_number() OVER (
+SELECT conv_id, turn, CAST(n AS INT) AS piece, md5(substr(text, n * 5120 + 1, 5120)) AS digest
+FROM (SELECT *, unnest(range(0, greatest(1, (length(text) + 5119) // 5120))) AS n FROM (SELECT *, row_number() OVER (
     PARTITION BY conv_id ORDER BY turn DESC, text) AS rn FROM conversations
   WHERE text IS NOT NULL AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant'))
-WHERE rn <= 2""")
+WHERE rn <= 2)""")
 def latest_documents(spark, folder):
     """The two latest turns of every conversation that holds an answer."""
     turns = table(spark, folder, "conversations")
@@ -633,7 +634,7 @@ def latest_documents(spark, folder):
         turns, turns.filter("role = 'assistant'"), "conv_id", "text",
         [F.desc("turn"), F.asc("text")], 2,
     )
-    return chosen.select("conv_id", "turn", F.md5("text").alias("digest"))
+    return chosen.select("conv_id", "turn", "piece", F.md5("text").alias("digest"))
 
 
 @register("""

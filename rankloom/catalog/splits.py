@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.common import GRADED_SQL, graded_lines, r_sql, rounded, table
+from rankloom.catalog.common import GRADED_SQL, draws_sql, graded_lines, r_sql, rounded, table
 from rankloom.functions.bins import GROUP_SIZE_LABELS
 from rankloom.operators import split
 
@@ -55,7 +55,29 @@ def _folds(spark, folder):
     return split.assign_folds(linked_orders(spark, folder))
 
 
-@register()
+_SIZE_BAND = ("CASE WHEN rows <= 10 THEN '<10' WHEN rows <= 30 THEN '10-30' WHEN rows <= 100 THEN '30-100' "
+              "WHEN rows <= 400 THEN '100-400' ELSE '400+' END")
+#: Folds dealt to and fro within each component's main stratum, from a drawn start.
+FOLDS_SQL = GRAPH_SQL + f""",
+g AS (SELECT query_group, component, count(*) AS rows, min(o_orderstatus) AS city
+  FROM linked JOIN comp USING (query_group) GROUP BY ALL),
+c AS (SELECT component, city || '|' || {_SIZE_BAND} AS cell, count(*) AS gg, sum(rows) AS r FROM g GROUP BY ALL),
+s AS (SELECT component, r, cell FROM (SELECT component, cell, sum(r) OVER (PARTITION BY component) AS r,
+    row_number() OVER (PARTITION BY component ORDER BY gg DESC, cell DESC) AS rn FROM c) WHERE rn = 1),
+t AS (SELECT component, cell, row_number() OVER (PARTITION BY cell ORDER BY r DESC,
+    {draws_sql("0", "component")}, component) - 1 AS turn FROM s),
+chosen AS (SELECT component, ((CASE WHEN (turn // 5) % 2 = 1 THEN 4 - turn % 5 ELSE turn % 5 END)
+    + {draws_sql("0", "'start'", "cell")} % 5) % 5 AS fold FROM t)"""
+
+
+@register("WITH " + FOLDS_SQL + """,
+sized AS (SELECT fold, query_group, component, rows FROM g JOIN chosen USING (component)),
+held AS (SELECT fold, count(DISTINCT cluster_id) AS clusters FROM linked JOIN sized USING (query_group) GROUP BY ALL)
+SELECT CAST(fold AS BIGINT) AS fold, CAST(sum(rows) AS BIGINT) AS rows, """
+          + r_sql("sum(rows) / (SELECT sum(rows) FROM g)") + """ AS row_share, count(*) AS groups,
+  count(DISTINCT component) AS components, any_value(clusters) AS clusters, """
+          + r_sql("quantile_cont(rows, 0.5)") + """ AS median_group_size
+FROM sized JOIN held USING (fold) GROUP BY fold""")
 def assigned_folds(spark, folder):
     """Fold report: rows, groups, components, clusters per fold."""
     return rounded(_folds(spark, folder)[1], "row_share", "median_group_size")

@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HASH_LENGTH = 12
-
 
 def canonical_key(column: Column, data_type: T.DataType) -> Column:
     """The text that gets hashed: an integral number reads the same whatever its type."""
@@ -24,11 +22,11 @@ def canonical_key(column: Column, data_type: T.DataType) -> Column:
 
 
 def salted_hash(column: Column, salt: str, data_type: T.DataType | None = None) -> Column:
-    """First 12 hex digits of SHA-256 over ``salt:key``; null stays null, a blank salt is refused."""
+    """SHA-256 over ``salt:key`` in hex, whole; null stays null, a blank salt is refused."""
     if not salt or not salt.strip():
         raise ValueError("an empty salt would leave public ids open to a dictionary attack")
     key = canonical_key(column, data_type or T.StringType())
-    digest = F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), key), 256), 1, HASH_LENGTH)
+    digest = F.sha2(F.concat(F.lit(f"{salt}:"), key), 256)
     return F.when(column.isNotNull(), digest)
 
 

@@ -142,9 +142,10 @@ def text_records(text: Column, per_record: int = CHARS_PER_RECORD) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(F.length(text) / F.lit(per_record)))
 
 
-def truncate_document(text: Column, limit: int = MAX_CHARS_PER_DOCUMENT) -> Column:
-    """The part of a document the sentiment service accepts."""
-    return F.substring(text, 1, limit)
+def document_pieces(text: Column, limit: int = MAX_CHARS_PER_DOCUMENT) -> Column:
+    """The whole document as consecutive pieces the sentiment service accepts; an empty text is one piece."""
+    last = F.greatest(F.lit(0), F.ceil(F.length(text) / limit).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda n: F.substring(text, n * limit + 1, F.lit(limit)))
 
 
 def label_gain(grade: Column, exponential: bool = True) -> Column:

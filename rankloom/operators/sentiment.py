@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.parsing import text_records, truncate_document
+from rankloom.functions.parsing import document_pieces, text_records
 from rankloom.operators import ordering
 
 MAX_DOCUMENTS_PER_REQUEST = 10
@@ -22,12 +22,13 @@ def select_documents(
     order: Sequence[Column],
     per_item: int,
 ) -> DataFrame:
-    """The latest ``per_item`` non-null documents of every item in ``items``, cut to length."""
+    """The latest ``per_item`` non-null documents of every item in ``items``, in pieces numbered by ``piece``."""
     wanted = documents.filter(F.col(text).isNotNull()).join(
         items.select(key).distinct(), key, "left_semi"
     )
     latest = ordering.top_k(wanted, [key], order, per_item, "_latest").drop("_latest")
-    return latest.withColumn(text, truncate_document(F.col(text)))
+    kept = [c for c in latest.columns if c != text]
+    return latest.select(*kept, F.posexplode(document_pieces(F.col(text))).alias("piece", text))
 
 
 def records_needed(documents: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:

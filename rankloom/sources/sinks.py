@@ -58,7 +58,7 @@ def table_digest(df: DataFrame) -> DataFrame:
     row = F.xxhash64(*columns).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("_sum")).select(
         "rows",
-        F.substring(F.sha2(F.concat_ws(":", "rows", "_sum"), 256), 1, 12).alias("digest"),
+        F.sha2(F.concat_ws(":", "rows", "_sum"), 256).alias("digest"),
     )
 
 

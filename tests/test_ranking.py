@@ -187,10 +187,9 @@ def components(spark, n=30):
     return spark.createDataFrame(data, "id int, query_group int, cluster_id string, city string")
 
 
-@pytest.mark.parametrize("limit", [split.GREEDY_COMPONENTS, 6])
-def test_folds_keep_units_whole_and_balanced(spark, limit):
+def test_folds_keep_units_whole_and_balanced(spark):
     df = components(spark)
-    out, report_table = split.assign_folds(df, folds=4, greedy_limit=limit)
+    out, report_table = split.assign_folds(df, folds=4)
     fold = {}
     for r in out.collect():
         fold.setdefault(r.query_group, set()).add(r.fold)
@@ -198,10 +197,9 @@ def test_folds_keep_units_whole_and_balanced(spark, limit):
     assert all(len(f) == 1 for f in fold.values()) and fold[0] == fold[1]
     report_rows = report_table.collect()
     assert len(report_rows) == 4 and sum(r.rows for r in report_rows) == df.count()
-    if limit > 6:
-        assert max(r.row_share for r in report_rows) < 0.4
-        again, _ = split.assign_folds(df.repartition(5), folds=4)
-        assert {r.id: r.fold for r in again.collect()} == {r.id: r.fold for r in out.collect()}
+    assert max(r.row_share for r in report_rows) < 0.4
+    again, _ = split.assign_folds(df.repartition(5), folds=4)
+    assert {r.id: r.fold for r in again.collect()} == {r.id: r.fold for r in out.collect()}
 
 
 def test_too_few_components(spark):
