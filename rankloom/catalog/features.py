@@ -504,7 +504,9 @@ def document_items(spark, folder):
     )
 
 
-WORD_BUCKETS = {"tion": "tion|ment", "th": "th", "vowels": "ea|ou|au", "er": "er|en"}
+WORD_BUCKETS = {
+    "tion": ("tion", "ment"), "th": ("th",), "vowels": ("ea", "ou", "au"), "er": ("er", "en"),
+}
 WORDS_SQL = """
 words AS (SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'),
   lambda w: length(w) > 0)) AS item FROM documents)"""
@@ -513,7 +515,8 @@ BUCKET_CASE = """CASE WHEN contains(item, 'tion') OR contains(item, 'ment') THEN
   OR contains(item, 'au') THEN 'vowels' WHEN contains(item, 'er') OR contains(item, 'en') THEN 'er' END"""
 
 
-@register("WITH " + WORDS_SQL + f""", b AS (SELECT doc_id, {BUCKET_CASE} AS bucket FROM words)
+@register("WITH " + WORDS_SQL + f""", b AS (SELECT doc_id, {BUCKET_CASE} AS bucket FROM words
+  UNION ALL SELECT doc_id, NULL FROM documents)
 SELECT doc_id, count(*) FILTER (bucket = 'tion') AS tion, count(*) FILTER (bucket = 'th') AS th,
   count(*) FILTER (bucket = 'vowels') AS vowels, count(*) FILTER (bucket = 'er') AS er
 FROM b GROUP BY ALL""")

@@ -300,28 +300,22 @@ def seed_summary(spark, folder):
     return rounded(out, "ndcg_mean", "ndcg_sd", "ndcg_min", "ndcg_max")
 
 
-CELL_DRAWS = 4_000
-_SIDE = draws_sql("0", "'{s}'", "draw") + " % n"
-
-
-@register("WITH" + GRADED_SQL + f""",
-cells2 AS (SELECT l_linenumber || '|f' || l_returnflag AS cell, l_suppkey, {PRICE} AS score, grade,
-    row_number() OVER w - 1 AS slot, count(*) OVER (PARTITION BY l_linenumber, l_returnflag) AS n
-  FROM graded WINDOW w AS (PARTITION BY l_linenumber, l_returnflag ORDER BY {TIES_SQL})),
-drawn AS (SELECT cell, {_SIDE.format(s='l')} AS a, {_SIDE.format(s='r')} AS b
-  FROM (SELECT DISTINCT cell, n FROM cells2 WHERE n >= 2) CROSS JOIN
-    (SELECT unnest(range(0, {CELL_DRAWS})) AS draw)),
-pairs AS (SELECT DISTINCT cell, least(a, b) AS a, greatest(a, b) AS b FROM drawn WHERE a <> b),
-judged AS (SELECT p.cell, x.l_suppkey = y.l_suppkey AS same,
-    (x.score > y.score) = (x.grade > y.grade) AS agrees
-  FROM pairs p JOIN cells2 x ON x.cell = p.cell AND x.slot = p.a
-  JOIN cells2 y ON y.cell = p.cell AND y.slot = p.b WHERE x.grade <> y.grade)
-SELECT cell, """ + r_sql("""CASE WHEN count(*) FILTER (same) >= 10 THEN
-    avg(CAST(agrees AS INT)) FILTER (same) END""") + " AS within, " + r_sql("""
-  CASE WHEN count(*) FILTER (NOT same) >= 10 THEN avg(CAST(agrees AS INT)) FILTER (NOT same) END""")
-          + " AS cross_ FROM judged GROUP BY ALL")
+ACCURACY_SQL = "WITH" + GRADED_SQL + f""",
+celled AS (SELECT l_linenumber || '|f' || l_returnflag AS cell, l_suppkey, {PRICE} AS score, grade FROM graded),
+judged AS (SELECT x.cell, x.l_suppkey = y.l_suppkey AS same, count(*) AS n,
+    sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) AS hits
+  FROM celled x JOIN celled y ON x.cell = y.cell AND x.grade > y.grade GROUP BY ALL),
+accuracy AS (SELECT cell,
+    CASE WHEN sum(n) FILTER (same) >= 10 THEN CAST(sum(hits) FILTER (same) AS DOUBLE) / sum(n) FILTER (same) END AS within,
+    CASE WHEN sum(n) FILTER (NOT same) >= 10
+      THEN CAST(sum(hits) FILTER (NOT same) AS DOUBLE) / sum(n) FILTER (NOT same) END AS cross_
+  FROM (SELECT DISTINCT cell FROM celled) LEFT JOIN judged USING (cell) GROUP BY cell)"""
+
+
+@register(ACCURACY_SQL + "SELECT cell, " + r_sql("within") + " AS within, " + r_sql("cross_")
+          + " AS cross_ FROM accuracy")
 def pair_accuracy(spark, folder):
-    """Share of sampled discordant pairs ordered correctly, within and across groups, per cell."""
+    """Share of all pairs with different grades ordered correctly, within and across groups, per cell."""
     return rounded(
         _accuracy(spark, folder).withColumnRenamed("cross", "cross_"), "within", "cross_"
     )
@@ -330,13 +324,18 @@ def pair_accuracy(spark, folder):
 def _accuracy(spark, folder):
     lines = graded_lines(spark, folder)
     celled = comparability.evaluation_cells(lines, "l_linenumber", "l_returnflag")
-    pairs = comparability.sampled_pairs(
-        celled, ["cell"], "l_suppkey", PRICE, "grade", TIES, draws=CELL_DRAWS
-    )
-    return comparability.pair_accuracy(pairs, ["cell"], min_pairs=10)
-
-
-@register()
+    return comparability.pair_accuracy(celled, ["cell"], "l_suppkey", PRICE, "grade", min_pairs=10)
+
+
+@register(ACCURACY_SQL + """,
+sides AS (SELECT 'within' AS pairs, cell, within AS estimate FROM accuracy
+  UNION ALL SELECT 'cross', cell, cross_ FROM accuracy
+  UNION ALL SELECT 'difference', cell, cross_ - within FROM accuracy),"""
+          + bootstrap_sql("sides", "pairs", "estimate", "cell", 500) + """
+SELECT pairs, count(s.estimate) AS cells, """ + ", ".join(
+    r_sql(f"min(b_ci.{c})") + f" AS {n}" for c, n in (
+        ("estimate", "estimate"), ("estimate_low", "low"), ("estimate_high", "high")))
+          + " FROM sides s JOIN b_ci USING (pairs) GROUP BY pairs HAVING count(s.estimate) > 0")
 def comparability_table(spark, folder):
     """Within against cross accuracy and the paired difference over cells."""
     out = comparability.comparability(_accuracy(spark, folder), ["cell"], iterations=500)

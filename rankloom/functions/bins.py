@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The capacity tiers of the search key, as right-closed edges.
 CAPACITY_EDGES = (0, 2, 4, 7, 100)
 CAPACITY_LABELS = ("1-2", "3-4", "5-7", "8+")
+# Party sizes offered in the open tier.
+OPEN_TIER_SIZES = (8, 10, 12, 16)
 
 # Group-size bands used by the split and by the metric breakdown.
 GROUP_SIZE_EDGES = (0, 10, 30, 100, 400, float("inf"))
@@ -53,18 +55,13 @@ def capacity_tier(accommodates: Column) -> Column:
     return cut(accommodates, CAPACITY_EDGES, CAPACITY_LABELS)
 
 
-def guests_to_tier(guests: int) -> str:
-    """Tier of one party size; outside the tiers is an error."""
-    for low, high, label in zip(CAPACITY_EDGES, CAPACITY_EDGES[1:], CAPACITY_LABELS):
-        if low < guests <= high:
-            return label
-    raise ValueError(f"{guests} guests is outside the capacity tiers {CAPACITY_LABELS}")
+def party_sizes(spark: SparkSession) -> DataFrame:
+    """``(tier, guests)``: the party sizes a search form offers, each with its tier.
 
-
-def tier_guest_choices() -> dict[str, list[int]]:
-    """Party sizes to offer per tier; the open top tier gets a spread."""
-    spans = zip(CAPACITY_LABELS, CAPACITY_EDGES, CAPACITY_EDGES[1:])
-    choices = {label: list(range(low + 1, high + 1)) for label, low, high in spans}
-    first = CAPACITY_EDGES[-2] + 1
-    choices[CAPACITY_LABELS[-1]] = [first + step for step in (0, 2, 4, 8)]
-    return choices
+    Closed tiers offer every size they hold, the open one ``OPEN_TIER_SIZES``. Joining searches to
+    this table, or :func:`capacity_tier`, resolves a batch; a size outside the tiers has none.
+    """
+    largest = CAPACITY_EDGES[-2]
+    sizes = F.array(*[F.lit(n) for n in [*range(1, largest + 1), *OPEN_TIER_SIZES]])
+    offered = spark.range(1).select(F.explode(sizes).alias("guests"))
+    return offered.select(capacity_tier(F.col("guests")).alias("tier"), "guests")

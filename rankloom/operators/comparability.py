@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.hashing import draw_index
 from rankloom.operators import metrics, ordering
 
-DEFAULT_DRAWS = 60_000
 MIN_PAIRS = 200
+GRADES = (0, 1, 2, 3, 4)
 
 
 def evaluation_cells(df: DataFrame, universe: str, fold: str, name: str = "cell") -> DataFrame:
@@ -21,79 +20,94 @@ def evaluation_cells(df: DataFrame, universe: str, fold: str, name: str = "cell"
     )
 
 
-def sampled_pairs(
+def pair_counts(
     df: DataFrame,
-    cell: Sequence[str],
-    group: str,
+    by: Sequence[str],
     score: str,
     truth: str,
-    ids: Sequence[str],
-    draws: int = DEFAULT_DRAWS,
-    seed: int = 0,
-    chunk: int = 1_000,
+    grades: Sequence[float] = GRADES,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Distinct random pairs per cell whose truths differ, with ``same_group`` and ``agrees``.
+    """Per ``by``: ``pairs`` of rows whose truths differ, and ``doubled``, twice the number of pairs
+    that the scores order like the truths (a tie in the score is half a pair).
 
-    A fixed number of pairs is drawn whatever the cell's size, so a hot cell costs no more than
-    any other. Rows are found by (cell, number), a key no value of which is hot.
+    No pair is formed. Rows collapse to counts per (``by``, score); for each grade the rows of lower
+    grades with a lower score are a running total over those counts. Rows without a score or a truth
+    take part in no pair; a truth outside ``grades`` stops the run.
     """
-    numbered = ordering.running_total(
-        df.select(*dict.fromkeys([*cell, group, score, truth, *ids])),
-        cell,
-        [F.col(c).asc() for c in ids],
-        before="_slot",
-        total="_size",
-        hot_rows=hot_rows,
-    ).select(*cell, "_slot", "_size", group, score, truth)
-    numbered, rows = ordering.session.measured(numbered)
-    sizes, cells = ordering.session.measured(
-        numbered.groupBy(*cell).agg(F.max("_size").alias("_size")).filter("_size >= 2")
+    known = F.when(F.col(truth).isin(*grades), F.col(truth)).otherwise(
+        F.raise_error(F.concat(F.lit("grade outside the scale: "), F.col(truth).cast("string")))
+    )
+    present = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    counted = (
+        present.select(*by, F.col(score).alias("_score"), known.alias("_truth"))
+        .groupBy(*by, "_score")
+        .agg(*[F.count(F.when(F.col("_truth") == g, 1)).alias(f"_n{i}") for i, g in enumerate(grades)])
     )
-    chunks = -(-draws // chunk)
-    chunked = sizes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    spread = (
-        ordering.session.spread(chunked, cells * draws, *cell, "_chunk")
-        .withColumn("_within", F.explode(F.sequence(F.lit(0), F.lit(chunk - 1))))
-        .withColumn("_draw", F.col("_chunk") * chunk + F.col("_within"))
-        .filter(F.col("_draw") < draws)
+    rising = [f"_n{i}" for i, _ in sorted(enumerate(grades), key=lambda pair: pair[1])]
+    sides = [
+        F.struct(
+            F.lit(i).alias("_grade"), F.col(rising[i]).alias("_higher"),
+            sum((F.col(n) for n in rising[1:i]), F.col(rising[0])).alias("_lower"),
+        )
+        for i in range(1, len(rising))
+    ]
+    long = counted.select(*by, "_score", F.explode(F.array(*sides)).alias("_s")).select(
+        *by, "_score", "_s.*"
     )
-    left = draw_index(F.col("_size"), F.lit(seed), F.lit("l"), F.col("_draw"))
-    right = draw_index(F.col("_size"), F.lit(seed), F.lit("r"), F.col("_draw"))
-    # The verdict on a pair does not depend on which side came first.
-    pairs = (
-        spread.select(*cell, F.least(left, right).alias("_a"), F.greatest(left, right).alias("_b"))
-        .filter(F.col("_a") != F.col("_b"))
-        .distinct()
+    long, rows = ordering.session.measured(long.filter("_higher + _lower > 0"))
+    placed = ordering.running_total(
+        long, [*by, "_grade"], [F.col("_score").asc()], "_lower", "_below", "_all",
+        hot_rows=hot_rows, at_most=rows,
     )
 
-    def side(tag: str) -> DataFrame:
-        return numbered.select(
-            *cell, F.col("_slot").alias(f"_{tag}"), F.col(group).alias(f"_g{tag}"),
-            F.col(score).alias(f"_s{tag}"), F.col(truth).alias(f"_t{tag}"),
-        )
+    def product(count):
+        return F.col("_higher").cast("decimal(19,0)") * count.cast("decimal(19,0)")
 
-    both = ordering.attach(
-        ordering.attach(pairs, side("a"), [*cell, "_a"], salts=1, at_most=rows),
-        side("b"), [*cell, "_b"], salts=1, at_most=rows,
+    return placed.groupBy(*by).agg(
+        F.sum(product(F.col("_all"))).cast("decimal(38,0)").alias("pairs"),
+        F.sum(product(2 * F.col("_below") + F.col("_lower"))).cast("decimal(38,0)").alias("doubled"),
     )
-    agrees = (F.col("_sa") > F.col("_sb")) == (F.col("_ta") > F.col("_tb"))
-    # Equal scores: the reference order is "first drawn wins", which no sampler can repeat; they
-    # are read with the lower-numbered row as the first.
-    return both.filter(F.col("_ta") != F.col("_tb")).select(
-        *cell, (F.col("_ga") == F.col("_gb")).alias("same_group"), agrees.alias("agrees")
+
+
+def pair_accuracy(
+    df: DataFrame,
+    cell: Sequence[str],
+    group: str,
+    score: str,
+    truth: str,
+    grades: Sequence[float] = GRADES,
+    min_pairs: int = MIN_PAIRS,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Per cell: ``within`` and ``cross`` accuracy over all pairs, null below ``min_pairs`` pairs.
+
+    Pairs across groups are all pairs of the cell less those within a group.
+    """
+    every = pair_counts(df, cell, score, truth, grades, hot_rows)
+    inside = pair_counts(df, [*cell, group], score, truth, grades, hot_rows)
+    tagged = every.withColumn("_inside", F.lit(False)).unionByName(
+        inside.select(*cell, "pairs", "doubled", F.lit(True).alias("_inside"))
     )
 
+    def total(name, side):
+        return F.sum(F.when(side, F.col(name)).otherwise(0)).cast("decimal(38,0)")
 
-def pair_accuracy(pairs: DataFrame, cell: Sequence[str], min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """Per cell: ``within`` and ``cross`` accuracy, null where fewer than ``min_pairs`` pairs."""
-    same = F.col("same_group")
+    own = F.col("_inside")
+    sums = tagged.groupBy(*cell).agg(
+        total("pairs", own).alias("_pairs_in"), total("doubled", own).alias("_hits_in"),
+        total("pairs", ~own).alias("_pairs"), total("doubled", ~own).alias("_hits"),
+    )
 
-    def share(side):
-        hits = F.avg(F.when(side, F.col("agrees").cast("double")))
-        return F.when(F.count(F.when(side, 1)) >= min_pairs, hits)
+    def share(hits, pairs):
+        enough = (pairs > 0) & (pairs >= min_pairs)
+        return F.when(enough, hits.cast("double") / (2 * pairs.cast("double")))
 
-    return pairs.groupBy(*cell).agg(share(same).alias("within"), share(~same).alias("cross"))
+    return sums.select(
+        *cell,
+        share(F.col("_hits_in"), F.col("_pairs_in")).alias("within"),
+        share(F.col("_hits") - F.col("_hits_in"), F.col("_pairs") - F.col("_pairs_in")).alias("cross"),
+    )
 
 
 def comparability(

@@ -55,17 +55,16 @@ def test_dates_flags_and_tenure(spark):
 @pytest.mark.parametrize("guests, tier", [(1, "1-2"), (2, "1-2"), (3, "3-4"), (4, "3-4"), (5, "5-7"), (7, "5-7"), (8, "8+"), (16, "8+")])
 def test_capacity_tier(spark, guests, tier):
     df = spark.createDataFrame([(guests,)], "a int")
-    assert df.select(bins.capacity_tier(F.col("a"))).first()[0] == tier == bins.guests_to_tier(guests)
+    assert df.select(bins.capacity_tier(F.col("a"))).first()[0] == tier
 
 
 def test_capacity_outside_and_choices(spark):
     df = spark.createDataFrame([(0,), (101,), (None,)], "a int")
     assert [r[0] for r in df.select(bins.capacity_tier(F.col("a"))).collect()] == [None] * 3
-    with pytest.raises(ValueError):
-        bins.guests_to_tier(0)
-    choices = bins.tier_guest_choices()
-    assert choices["1-2"] == [1, 2] and choices["5-7"] == [5, 6, 7] and choices["8+"] == [8, 10, 12, 16]
-    assert all(bins.guests_to_tier(g) == tier for tier, gs in choices.items() for g in gs)
+    choices = {}
+    for row in bins.party_sizes(spark).collect():
+        choices.setdefault(row.tier, []).append(row.guests)
+    assert choices == {"1-2": [1, 2], "3-4": [3, 4], "5-7": [5, 6, 7], "8+": [8, 10, 12, 16]}
 
 
 def test_hash_is_stable_across_types_and_keeps_null(spark):

@@ -113,15 +113,33 @@ def test_seed_summary_flags_zero_spread(spark):
     assert row.deterministic and row.seeds == 3 and row.ndcg_sd == 0.0
 
 
-def test_pair_sampling(spark):
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_pair_accuracy_equals_all_pairs(spark, hot_rows):
+    data = [(i, f"c{i % 2}", f"g{i % 3}", i * 7 % 5, None if i == 11 else float(i * 11 % 6)) for i in range(40)]
+    data += [(90, "lone", "g0", 2, 1.0)]
+    df = spark.createDataFrame(data, "id int, cell string, g string, grade int, score double")
+    out = rows(comparability.pair_accuracy(df, ["cell"], "g", "score", "grade", min_pairs=1, hot_rows=hot_rows), "cell")
+    for cell in ("c0", "c1"):
+        judged = {True: [], False: []}
+        for x in data:
+            for y in data:
+                if x[1] == y[1] == cell and x[3] > y[3] and None not in (x[4], y[4]):
+                    judged[x[2] == y[2]].append((x[4] > y[4]) + (x[4] == y[4]) / 2)
+        for side, name in ((True, "within"), (False, "cross")):
+            assert out[cell][name] == pytest.approx(sum(judged[side]) / len(judged[side]))
+    assert out["lone"]["within"] is None and out["lone"]["cross"] is None
+
+
+def test_pair_accuracy_thresholds_and_unknown_grades(spark):
     df = many(spark, groups=6, size=30, noise=0.01).withColumn("cell", F.lit("c"))
-    pairs = comparability.sampled_pairs(df, ["cell"], "g", "score", "grade", ["id"], draws=4000)
-    acc = comparability.pair_accuracy(pairs, ["cell"]).first()
+    per_cell = comparability.pair_accuracy(df, ["cell"], "g", "score", "grade")
+    acc = per_cell.first()
     assert acc["within"] > 0.99 and acc["cross"] > 0.99
-    few = comparability.pair_accuracy(pairs, ["cell"], min_pairs=10**6).first()
+    few = comparability.pair_accuracy(df, ["cell"], "g", "score", "grade", min_pairs=10**6).first()
     assert few["within"] is None and few["cross"] is None
-    table = rows(comparability.comparability(comparability.pair_accuracy(pairs, ["cell"]), ["cell"], 20), "pairs")
-    assert set(table) == {"within", "cross", "difference"}
+    assert set(rows(comparability.comparability(per_cell, ["cell"], 20), "pairs")) == {"within", "cross", "difference"}
+    with pytest.raises(Exception, match="grade outside the scale"):
+        comparability.pair_accuracy(df, ["cell"], "g", "score", "grade", grades=(0, 1)).collect()
 
 
 def test_positions_and_displacement(spark):
