@@ -273,12 +273,15 @@ def ranks_of(spark, folder):
 WITH p AS (SELECT p_partkey, p_brand, p_size, p_partkey % 5 AS grade, p_retailprice, p_partkey % 7 AS reviews, CAST(p_partkey % 11 AS DOUBLE) AS rating FROM part),
 b AS (SELECT *, 0.5 * (rank() OVER (PARTITION BY p_brand ORDER BY rating) + (count(*) OVER (PARTITION BY p_brand, rating) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand)
   - 0.5 * (rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand) AS pr FROM p),"""
-          + ",".join(ndcg_sql("b", "p_brand", "grade", c, "p_partkey", prefix=n) for n, c in (("e", "p_size"), ("v", "reviews"), ("w", "pr"))) + """
+          + ",".join(ndcg_sql("b", "p_brand", "grade", c, "p_partkey", prefix=n) for n, c in (("e", "p_size"), ("v", "reviews"), ("w", "pr"))) + """,
+chance AS (SELECT p_brand, CASE WHEN min(grade) < max(grade) THEN avg(gain) * sum(1 / log2(ir + 1)) FILTER (ir <= 10)
+    / sum(gain / log2(ir + 1)) FILTER (ir <= 10) END AS random FROM e_ranked GROUP BY ALL)
 SELECT p_brand, e.size AS n_listings, """ + r_sql("e.ndcg") + " AS endpoint, " + r_sql("v.ndcg") + " AS reviews, " + r_sql("w.ndcg")
-          + """ AS price_rating, (SELECT count(*) FROM p WHERE p.p_brand = e.p_brand AND grade >= 3) AS n_relevant
-FROM e_ndcg e JOIN v_ndcg v USING (p_brand) JOIN w_ndcg w USING (p_brand)""")
+          + " AS price_rating, " + r_sql("chance.random") + """ AS random, (SELECT count(*) FROM p WHERE p.p_brand = e.p_brand AND grade >= 3) AS n_relevant
+FROM e_ndcg e JOIN v_ndcg v USING (p_brand) JOIN w_ndcg w USING (p_brand)
+  JOIN chance USING (p_brand)""")
 def query_quality(spark, folder):
-    """Per request: NDCG of the scores and of both baselines."""
+    """Per request: NDCG of the scores, of both baselines and expected of a random order."""
     parts = table(spark, folder, "part").withColumns(
         {
             "grade": (F.col("p_partkey") % 5).cast("int"),
@@ -288,9 +291,8 @@ def query_quality(spark, folder):
     )
     out = scoring.query_quality(
         parts, "p_brand", "p_partkey", "grade", "p_size", "p_retailprice", "rating", "n_reviews",
-        draws=20,
     )
-    return rounded(out.drop("random"), "endpoint", "reviews", "price_rating")
+    return rounded(out, "endpoint", "reviews", "price_rating", "random")
 
 
 @register("WITH " + _RANKED_PARTS + """,
