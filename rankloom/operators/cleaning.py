@@ -68,7 +68,10 @@ def clean_listings(df: DataFrame, city: str | Column) -> DataFrame:
     read = ["amenities", "bathrooms", "bathrooms_text", "id", "latitude", "longitude", "price"]
     quality.require_columns(df, [*dropped, *read, *FLAGS], "listings")
 
-    order = [F.col("_row")] if "_row" in df.columns else [F.col("last_scraped"), F.col("name")]
+    # Without row numbers every column takes part, so that only equal rows are interchangeable.
+    first = ["last_scraped", "name"]
+    others = sorted(set(df.columns) - {*first, "id"})
+    order = [F.col(c) for c in (["_row"] if "_row" in df.columns else [*first, *others])]
     out = quality.drop_duplicates_keep_first(df, ["id"], order)
     typed = {c: parsing.parse_date(F.col(c)) for c in DATES}
     typed |= {c: parsing.parse_flag(F.col(c)) for c in FLAGS}

@@ -104,7 +104,7 @@ def test_processed_listings_are_typed_and_anonymous(spark, snapshot, table):
     assert kinds["price"] == "double" and kinds["amenities"] == "array<string>" and kinds["first_review"] == "date"
     assert kinds["id"] == "string" and "host_name" not in kinds and "license" not in kinds
     row = listings.filter("city = 'athens'").orderBy("id").first()
-    assert len(row.id) == 12 and row.user_tenure_months == 40 and row.name == 'A "quoted"\nname' and row.bathrooms == 1.5
+    assert len(row.id) == 64 and row.user_tenure_months == 40 and row.name == 'A "quoted"\nname' and row.bathrooms == 1.5
     assert set(schemas.ALL_NULL) & set(kinds) == set()
 
 
