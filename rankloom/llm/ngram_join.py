@@ -14,8 +14,9 @@
 5. Candidates: classes still in different components are joined on their prefix shingles under the
    length, positional and suffix filters. The suffix filter bounds the symmetric difference by the
    parities of the shingles in 512 cells.
-6. Pairs left by the filters are verified on their whole sets, and components follow by alternating
-   star contraction.
+6. Pairs left pass the suffix filter again, now over parities whose cells grow with the set, so that
+   long sets that meet by chance are told apart without reading them. The rest are verified on their
+   whole sets, and components follow by alternating star contraction.
 
 Two classes that are already connected need no further comparison, which loses no component: every
 linked pair is either compared or lies within one component. The largest component at a shingle is
@@ -108,6 +109,22 @@ class Shingles:
         packed = np.packbits(bits.astype(np.uint8).reshape(len(self.counts), 64 * PARITY_WORDS), axis=1)
         return np.ascontiguousarray(packed).view(np.int64)
 
+    def wide_parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same over two to four cells a shingle, a power of two; empty where ``parities`` has as many.
+
+        Words of a set, and each set's first word. Cells are the low bits of one hash, so the two halves
+        of a set's words, one xor the other, are its parities over half as many cells.
+        """
+        wanted = np.maximum(2 * self.counts, 1)
+        cells = np.int64(1) << np.ceil(np.log2(wanted)).astype(np.int64)
+        cells = np.where(cells > 64 * PARITY_WORDS, cells, 0)
+        start = np.concatenate([[0], np.cumsum(cells)])
+        held = cells[self.owner] > 0
+        owner = self.owner[held]
+        low = common.mix(self.values[held] + np.uint64(101)) & (cells[owner] - 1).astype(np.uint64)
+        bits = np.bincount(start[owner] + low.astype(np.int64), minlength=start[-1]) & 1
+        return np.packbits(bits.astype(np.uint8)).view(np.int64), start // 64
+
 
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
@@ -121,7 +138,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """One row per document (``cell`` null), and rows (``cell``, ``n``) counting words by cell."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["key", "text_hash", "n", "h1", "h2", "minima", "parity", "cell"]
+        names = ["key", "text_hash", "n", "h1", "h2", "minima", "parity", "wide", "cell"]
         for batch in batches:
             for piece in common.slices(batch, "text"):
                 sets = Shingles(piece.column("text"), width)
@@ -130,19 +147,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("key"), piece.column("text_hash"), pa.array(sets.counts, pa.int64()),
                      pa.array(h1), pa.array(h2), _rows(sets.minima(SEEDS)), _rows(sets.parities()),
+                     _lists(*sets.wide_parities()),
                      pa.nulls(piece.num_rows, pa.int32())], names)
         used = np.flatnonzero(cells)
         if len(used):
             none = pa.nulls(len(used), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(used), kind), none, pa.array(cells[used]), none, none,
-                 pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.list_(pa.int64())),
-                 pa.array(used, pa.int32())], names)
+                 *[pa.nulls(len(used), pa.list_(pa.int64()))] * 3, pa.array(used, pa.int32())], names)
 
     simple = docs.schema["key"].dataType.simpleString()
     kind = pa.int64() if simple == "bigint" else pa.string()
     return docs.mapInArrow(work, f"key {simple}, text_hash long, n long, h1 long, h2 long, "
-                                 "minima array<long>, parity array<long>, cell int")
+                                 "minima array<long>, parity array<long>, wide array<long>, cell int")
 
 
 def prefixes(docs: DataFrame, width: int, numerator: int, denominator: int, commonness) -> DataFrame:
@@ -250,7 +267,7 @@ class Join:
         self.classes = session.stage(
             of_docs.groupBy("h1", "h2").agg(
                 F.min("text_hash").alias("text_hash"), F.first("n").alias("n"),
-                F.first("minima").alias("minima"), F.first("parity").alias("parity"))
+                F.first("minima").alias("minima"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
             .withColumn("id", F.monotonically_increasing_id()))
 
     def commonness(self):
@@ -259,24 +276,41 @@ class Join:
             counts[cell] = n  # at most CELLS rows
         return self.spark.sparkContext.broadcast(counts)
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """The ones of ``pairs(a, b)`` that the suffix filter over wide parities lets through."""
+        def halved(x: str, y: str) -> str:
+            half = f"slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y}))"
+            return f"CASE WHEN size({x}) > size({y}) THEN zip_with({half}, (u, v) -> u ^ v) ELSE {x} END"
+
+        least = alpha("n_a", "n_b", self.numerator, self.denominator)
+        apart = f"zip_with({halved('w_a', 'w_b')}, {halved('w_b', 'w_a')}, (u, v) -> bit_count(u ^ v))"
+        known = "least(size(w_a), size(w_b)) > 0 AND greatest(size(w_a), size(w_b)) <= 2 * least(size(w_a), size(w_b))"
+        p = self.classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("w_a"))
+        q = self.classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("w_b"))
+        return session.stage(pairs.join(p, "a").join(q, "b").where(
+            f"CASE WHEN {known} THEN aggregate({apart}, 0, (s, c) -> s + c) <= n_a + n_b - 2 * {least} ELSE true END")
+            .select("a", "b"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of ``pairs(a, b)``: sets are fetched for the classes that occur, compared once."""
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = session.stage(wanted.join(self.classes, "id").select("id", "h1", "h2", "text_hash", "n"))
+        """The linked ones of ``pairs(a, b)``: whole sets travel once to their class, once to each ``b`` they meet."""
+        pairs = self.plausible(pairs)
+        wanted = pairs.select(F.col("a").alias("id"), "b").union(pairs.select("b", "b")).distinct()
+        wanted = session.stage(wanted.join(self.classes, "id").select("id", "b", "h1", "h2", "text_hash", "n"))
         bit = F.expr(f"pmod(text_hash, {PICK_WORDS * 64})")
         # A hash is read as unsigned by the tasks; for a power of two pmod gives the same cell.
         words = np.zeros(PICK_WORDS, np.uint64)
         for word, bits in (wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
                            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))"))).collect()):
             words[word] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)  # at most PICK_WORDS rows
-        sets = picked_sets(self.hashed, self.width, self.spark.sparkContext.broadcast(words))
-        sets = (sets.join(wanted.select("id", "h1", "h2", "n"), ["h1", "h2"]).dropDuplicates(["id"])
-                .select("id", "n", "shingles"))
-        sets = session.stage(sets)
-        left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-        right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+        if not words.any():
+            return pairs
+        sets = picked_sets(self.hashed, self.width, self.spark.sparkContext.broadcast(words)).dropDuplicates(["h1", "h2"])
+        left = sets.join(wanted.where("id <> b"), ["h1", "h2"]).select(
+            F.col("id").alias("a"), "b", F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+        right = sets.join(wanted.where("id = b"), ["h1", "h2"]).select(
+            "b", F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
         shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-        compared = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+        compared = left.join(right, "b").withColumn("shared", shared)
         return session.stage(compared.where(
             f"{self.denominator} * shared >= {self.numerator} * (n_a + n_b - shared)").select("a", "b"))
 
@@ -296,7 +330,10 @@ class Join:
         heads = self.classes.select("h1", "h2", "id", "n").join(
             heads.groupBy("h1", "h2").agg(F.first("prefix").alias("prefix")), ["h1", "h2"])
         posts = heads.select("id", "n", F.posexplode("prefix").alias("place", "gram")).repartition(F.col("gram"))
-        held = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("gram")
+        # A class has a shingle once. All columns are read on both sides, so that one exchange serves both.
+        held = (posts.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("n"),
+                                          F.min("place").alias("place"))
+                .where("low < high AND n > 0 AND place >= 0").select("gram"))
         return session.stage(posts.join(held, "gram").select("gram", "id", "n", "place"))
 
     def rooted(self, posts: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,36 @@ def test_join_against_brute_force(spark, monkeypatch, seed, width, numerator):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_wide_parities_bound_the_difference():
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(4000)]
+    near = [w if rng.random() < 0.99 else w + "x" for w in words]
+    other = [f"v{n}" for n in range(2100)]
+    texts = [" ".join(t) for t in (words, near, other, words[:1200], words[:20], [])]
+    sets = ngram_join.Shingles(pa.array(texts), 3)
+    flat, first = sets.wide_parities()
+    parts = [flat[first[n] : first[n + 1]] for n in range(len(texts))]
+    assert [len(p) for p in parts[4:]] == [0, 0]
+    assert all(64 * len(p) >= 2 * sets.counts[n] for n, p in enumerate(parts[:4]))
+    held = [set(sets.values[sets.first[n] : sets.first[n + 1]].tolist()) for n in range(len(texts))]
+    for x, y in ((0, 1), (0, 2), (1, 2), (2, 3), (0, 3)):
+        a, b = sorted((parts[x], parts[y]), key=len)
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in a ^ b)
+        assert 0.4 * min(len(held[x] ^ held[y]), 64 * len(a)) <= apart <= len(held[x] ^ held[y])
+
+
+def test_long_sets_of_unlike_sizes(spark):
+    """Sets whose wide parities differ in length, linked and not, against brute force."""
+    rng = random.Random(8)
+    base = [f"w{n}" for n in range(1050)]
+    texts = [" ".join(base), " ".join(base[:960]), " ".join(base[:900]), " ".join(f"u{n}" for n in range(1000)),
+             " ".join(w if rng.random() < 0.9 else w + "x" for w in base)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(documents(spark, texts)).collect()}
+    assert got == {0: (1048, 0), 1: (958, 0), 2: (898, 0), 3: (998, 3), 4: (1048, 4)}
+
+
 def test_deduplicated_leaves_one_of_each_component(spark):
     texts = near_copies(3)
     want = brute_join(list(enumerate(texts)), 5, 8, 10)
