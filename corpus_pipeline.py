@@ -3,7 +3,7 @@
 1. language      texts whose language cannot be told go
 2. near_copies   one document of each group of near copies stays (five words, Jaccard 0.8 or more)
 3. benchmark     benchmark passages are cut out; a document of nothing else goes
-4. mixing        sources are taken to their target weights, block by block
+4. mixing        sources are taken to their target weights, document by document
 5. sharding      every row gets its place: region, rack, shard and slot
 """
 
@@ -32,7 +32,7 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, whole=True)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,13 +145,17 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
-         share: float = SHARE, block: int = BLOCK, shards: int = SHARDS, seed: str = "0") -> DataFrame:
+         share: float = SHARE, block: int = BLOCK, shards: int = SHARDS, seed: str = "0", whole: bool = False) -> DataFrame:
     """What the mix takes of every document: ``id, h, source, size, source_size, target, pieces``.
 
     ``pieces`` lists the runs of words taken: ``copy`` (which pass over the source), ``start`` and
     ``words`` within the document, ``shard``, and ``spot``, the hashed place inside the shard. A source
     takes its target to within a block; no word is taken more than PASSES times.
 
+    With ``whole`` a block owns the documents that begin in it, and blocks are taken as they lie (the
+    documents already lie in a hashed order). A pass then takes a document from its first word to its
+    last; only the one document of a source in which its target is reached is cut, at that word.
+
     Documents without words (null or empty texts) are listed with no pieces; a null source is a source
     of its own, last in order; equal rows are laid one behind the other; an empty table gives no rows.
     Ties of the hashed order are settled by id and size. Reruns agree: only digests decide.
@@ -161,6 +165,10 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", weights:
     aims = session.stage(targets(totals, weights, share))
     blocks = (aims.withColumn("blocks", F.expr(f"CAST(ceil(source_size / {block}) AS BIGINT)"))
               .withColumn("quota", F.expr(f"coalesce(least({PASSES} * blocks, CAST(round(target * blocks / nullif(source_size, 0)) AS BIGINT)), 0L)")))
+    if whole:
+        blocks = (blocks.withColumn("goal", F.expr("CAST(round(target) AS BIGINT)"))
+                  .withColumn("quota", F.expr(f"coalesce(CAST(goal DIV nullif(source_size, 0) AS BIGINT) * blocks"
+                                              f" + CAST(ceil(goal % nullif(source_size, 0) / {block}) AS BIGINT), 0L)")))
     cuts = split_quotas(blocks.select("source", "quota"), shards, seed)
     multiplier = F.expr("element_at(filter(array(" + ", ".join(f"{p}L" for p in PRIMES) + "), p -> blocks = 0 OR blocks % p <> 0), 1)")
     offset = F.expr(f"CAST(floor({unit(f"'{seed}'", "'offset'", 'source')} * blocks) AS BIGINT)")
@@ -185,7 +193,15 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", weights:
               'words', least((b + 1) * {block}, at + size) - greatest(b * {block}, at),
               'shard', size(filter(cuts, e -> e <= t.turn)),
               'spot', xxhash64('{seed}', source, t.turn))))))""")
-    joined = laid.join(blocks.select("source", "source_size", "target", "blocks", "quota", "by", "shift", "cuts"), "source")
+    if whole:
+        pieces = F.expr(f"""
+            filter(transform(transform(sequence(0, {PASSES - 1}), c -> named_struct('copy', c,
+                'turn', c * blocks + CAST(floor(at / {block}) AS BIGINT))), t -> named_struct('copy', t.copy,
+                  'start', 0L,
+                  'words', least(size, goal - t.copy * source_size - at),
+                  'shard', size(filter(cuts, e -> e <= t.turn)),
+                  'spot', xxhash64('{seed}', source, t.turn))), p -> p.words > 0)""")
+    joined = laid.join(blocks, "source")
     return joined.select("id", "h", "source", "size", "source_size", "target", pieces.alias("pieces"))
 
 
@@ -200,17 +216,22 @@ def shard_pieces(planned: DataFrame, partitions: int) -> DataFrame:
     return every.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = "0", **how) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = "0", shards: int = SHARDS,
+          **how) -> DataFrame:
     """The mix as documents, in the columns of ``docs``: each document once per pass that takes any of it.
 
-    A pass that takes the whole document returns its text as it is; one that takes some blocks of it
-    returns those words in order, joined by blanks, and ``n_chars`` follows. Documents without words
-    count nothing and stay once. Equal rows are matched with their places one by one.
+    A pass that takes the whole document returns its text as it is; one that takes some words of it
+    returns those with what stood before each, and ``n_chars`` follows. With ``whole`` (see ``plan``)
+    texts have no gaps and at most one document of a source is cut. Documents without words count
+    nothing and stay once. Equal rows are matched with their places one by one. Rows come in the order
+    of the tree's shards and, inside a shard, of its shuffled spots; a document of several pieces goes
+    by its first.
     """
-    planned = plan(docs, key, source, seed=seed, **how)
+    planned = plan(docs, key, source, shards=shards, seed=seed, **how)
     copies = F.expr(f"""
         filter(transform(sequence(0, {PASSES - 1}), c -> named_struct('copy', c,
-          'parts', array_sort(transform(filter(pieces, p -> p.copy = c), p -> named_struct('start', p.start, 'words', p.words))))),
+          'parts', array_sort(transform(filter(pieces, p -> p.copy = c),
+              p -> named_struct('start', p.start, 'words', p.words, 'shard', p.shard, 'spot', p.spot))))),
           c -> size(c.parts) > 0)""")
     places = planned.select(F.col("h").alias("__h"), F.col("size").alias("__size"), copies.alias("__copies"))
     nth = F.row_number().over(Window.partitionBy("__h").orderBy("__size", "__copies"))
@@ -221,12 +242,21 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: st
     hashed = hashed.withColumn("__nth", F.row_number().over(Window.partitionBy("__h").orderBy(*ordered)))
     # The place is compared by two inequalities, so that rows and places meet on the hash alone.
     met = hashed.join(places, "__h").where("__nth >= __place AND __nth <= __place")
-    rows = met.withColumn("__copy", F.explode(F.expr(
-        "IF(__size = 0, array(named_struct('copy', 0, 'parts', cast(array() as array<struct<start:bigint,words:bigint>>))), __copies)")))
-    whole = F.expr("__size = 0 OR aggregate(__copy.parts, 0L, (n, p) -> n + p.words) = __size")
-    part = F.expr(r"""array_join(flatten(transform(__copy.parts, p -> slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0),
-        CAST(p.start AS INT) + 1, CAST(p.words AS INT)))), ' ')""")
+    # A document without words has no place in the tree and gets one by its hash.
+    rows = met.withColumn("__copy", F.explode(F.expr(f"""
+        IF(__size = 0, array(named_struct('copy', 0, 'parts', array(named_struct('start', 0L, 'words', 0L,
+            'shard', CAST(__h % {shards} AS INT), 'spot', xxhash64('{seed}', __h))))), __copies)""")))
+    whole = F.expr("aggregate(__copy.parts, 0L, (n, p) -> n + p.words) = __size")
+    part = F.expr(r"""array_join(flatten(transform(__copy.parts, p -> slice(
+        regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), CAST(p.start AS INT) + 1, CAST(p.words AS INT)))), '')""")
+    part = F.when(F.expr("__copy.parts[0].start = 0"), part).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", ""))
     values = {"text": F.when(whole, F.col("text")).otherwise(part)}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(part).cast(docs.schema["n_chars"].dataType))
+    # A partition is an even range of one shard's spots, so that none needs to be sampled for.
+    per = max(1, docs.count() // (shards * SUMMED_ROWS))
+    first, spot = "__copy.parts[0].shard", "__copy.parts[0].spot"
+    rows = rows.repartitionById(shards * per, F.expr(
+        f"CAST({first} * {per} + least({per - 1}, floor(({spot} / 18446744073709551616D + 0.5D) * {per})) AS INT)"))
+    rows = rows.sortWithinPartitions(F.expr(first), F.expr(spot), "__copy.copy", "__h", "__nth")
     return rows.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))

@@ -396,6 +396,32 @@ def test_pieces_of_a_shard_are_disjoint(spark):
     assert set(seen.values()) == {1}
 
 
+def test_pipeline_mix_leaves_no_holes(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    sources = [rng.choice("abc") for _ in range(150)]  # c has a third of all and weighs little: not even one pass is taken of it
+    texts = ["".join(f"w{rng.randint(0, 99)}" + rng.choice([" ", "\n", "\n\n"]) for _ in range(rng.randint(0, 500))) for _ in range(150)]
+    df = documents(spark, texts, sources)
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    sizes, taken, cut = Counter(), Counter(), Counter()
+    for source, text in zip(sources, texts):
+        sizes[source] += len(text.split())
+    for r in got:
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        taken[r.source] += len(r.text.split())
+        cut[r.source] += r.text != texts[r.doc_id]
+    assert max(cut.values()) <= 1
+    want = brute_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes) and want["c"] < sizes["c"]
+    # Rows lie by shard and spot, and every copy in the shard the tree dealt it to.
+    planned = mixing.plan(df, whole=True).select("id", F.explode("pieces").alias("p")).select("id", "p.*").collect()
+    places = {(p.id, p.words): (p.shard, p.spot) for p in sorted(planned, key=lambda p: p.copy) if p.copy == 1}
+    once = {p.id: (p.shard, p.spot) for p in planned if p.copy == 0 and p.id not in {k for k, _ in places}}
+    order = [once[r.doc_id] for r in got if r.doc_id in once]
+    assert len(order) > 20 and order == sorted(order)
+
+
 # -- pipeline --------------------------------------------------------------------------------------
 
 
