@@ -39,6 +39,30 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+ARTICLE = "<p>The text of the page, which is long enough to be read.</p>"
+TEXT = "The text of the page, which is long enough to be read."
+LONG = "A sentence of the article, with a comma. " * 20
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<body style='overflow:hidden'><main class='overflow-hidden'>{ARTICLE}</main></body>", TEXT),
+    (f"<article data-state='hidden'>{ARTICLE}<div hidden><p>Not, seen.</p></div><p style='display: none'>Nor, this.</p></article>", TEXT),
+    *((f"<div class='{c}'><div>{ARTICLE}</div></div><div class='site-footer'>F</div>", TEXT)
+      for c in ("with-sidebar", "no-sidebar", "has-header", "elementor-widget-container", "nav-closed", "sidebar entry-content")),
+    (f"<div class='header'><main>{ARTICLE}</main></div>", TEXT),
+    (f"<div class='modal'><article>{ARTICLE}</article></div>", TEXT),
+    (f"<form id=aspnetForm><input type=hidden name=__VIEWSTATE><nav><input><a href=x>M</a></nav><div>{ARTICLE}</div></form>", TEXT),
+    (f"<article>{ARTICLE}</article><form>Name <input> Mail <input> <button>Send</button></form>", TEXT),
+    (f"<article>{ARTICLE}</article><div class='related'><article><p>Another one, a teaser.</p></article></div>", TEXT),
+    (f"<article>{ARTICLE}<div class='post-comments'><p>First, second, third!</p></div></article>", TEXT),
+    (f"<div>Home</div><div class='widget'><p>{LONG}</p></div><div>Imprint</div>", LONG.strip()),
+    (f"<main><p>{LONG}</p></main><div class='comments'><p>{LONG * 9}</p></div>", LONG.strip()),
+    ("<nav>Here and there</nav><footer>All rights reserved</footer>", ""),
+])
+def test_containers_of_the_text_are_not_set_aside(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages_keep_every_row(spark):
     html = "<article><p>Hello, world.</p></article>"
     rows = [(1, "u", html), (1, "u", html), (None, None, None), (3, "v", ""), (4, "w", "<p>" + "long, " * 40_000 + "</p>")]
