@@ -1,7 +1,8 @@
 """Mixing sources to target weights: exact block quotas dealt to shards by a splitting tree.
 
 Each source's documents are laid end to end in a hashed order and cut into blocks of ``block``
-words. A source's target becomes a number of blocks, its quota. A binary tree over the output
+words. A source's target becomes a number of blocks, its quota, of which the last is taken only up to
+the word at which the target is reached. A binary tree over the output
 shards deals the quotas: at every node the left half of the shards gets its exact share of blocks,
 and how many come from each source is a multivariate-hypergeometric draw (source by source, each a
 hypergeometric draw conditioned on the ones before, by inversion around its mode). A source's
@@ -150,7 +151,7 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", weights:
 
     ``pieces`` lists the runs of words taken: ``copy`` (which pass over the source), ``start`` and
     ``words`` within the document, ``shard``, and ``spot``, the hashed place inside the shard. A source
-    takes its target to within a block; no word is taken more than PASSES times.
+    takes its target to within a word; no word is taken more than PASSES times.
 
     With ``whole`` a block owns the documents that begin in it, and blocks are taken as they lie (the
     documents already lie in a hashed order). A pass then takes a document from its first word to its
@@ -164,15 +165,25 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", weights:
     totals = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     aims = session.stage(targets(totals, weights, share))
     blocks = (aims.withColumn("blocks", F.expr(f"CAST(ceil(source_size / {block}) AS BIGINT)"))
-              .withColumn("quota", F.expr(f"coalesce(least({PASSES} * blocks, CAST(round(target * blocks / nullif(source_size, 0)) AS BIGINT)), 0L)")))
-    if whole:
-        blocks = (blocks.withColumn("goal", F.expr("CAST(round(target) AS BIGINT)"))
-                  .withColumn("quota", F.expr(f"coalesce(CAST(goal DIV nullif(source_size, 0) AS BIGINT) * blocks"
-                                              f" + CAST(ceil(goal % nullif(source_size, 0) / {block}) AS BIGINT), 0L)")))
-    cuts = split_quotas(blocks.select("source", "quota"), shards, seed)
+              .withColumn("goal", F.expr("coalesce(CAST(round(target) AS BIGINT), 0L)")))
     multiplier = F.expr("element_at(filter(array(" + ", ".join(f"{p}L" for p in PRIMES) + "), p -> blocks = 0 OR blocks % p <> 0), 1)")
     offset = F.expr(f"CAST(floor({unit(f"'{seed}'", "'offset'", 'source')} * blocks) AS BIGINT)")
-    blocks = session.stage(blocks.withColumn("by", multiplier).withColumn("shift", offset).join(cuts, "source"))
+    blocks = blocks.withColumn("by", F.lit(1).cast("long") if whole else multiplier).withColumn("shift", F.lit(0).cast("long") if whole else offset)
+    # The source's last block as it lies is the only shorter one: `short` words at turn `odd` of a pass.
+    # `rest` words are wanted of the last pass that takes any but not all.
+    blocks = (blocks.withColumn("rest", F.expr("coalesce(goal % nullif(source_size, 0), 0L)"))
+              .withColumn("odd", F.expr("coalesce(((blocks - 1) * by + shift) % nullif(blocks, 0), 0L)"))
+              .withColumn("short", F.expr(f"source_size - (blocks - 1) * {block}"))
+              .withColumn("early", F.expr(f"least(rest, odd * {block})"))
+              .withColumn("middle", F.expr("least(rest - early, short)"))
+              .withColumn("late", F.expr("rest - early - middle"))
+              .withColumn("quota", F.expr(f"coalesce(CAST(goal DIV nullif(source_size, 0) AS BIGINT) * blocks, 0L)"
+                                          f" + CAST(ceil(early / {block}) + IF(middle > 0, 1, 0) + ceil(late / {block}) AS BIGINT)"))
+              .withColumn("final", F.expr(f"CASE WHEN late > 0 THEN (late - 1) % {block} + 1 WHEN middle > 0 THEN middle"
+                                          f" WHEN early > 0 THEN (early - 1) % {block} + 1 ELSE CAST({block} AS BIGINT) END")))
+    cuts = split_quotas(blocks.select("source", "quota"), shards, seed)
+    blocks = blocks.select("source", "source_size", "target", "blocks", "goal", "by", "shift", "quota", "final")
+    blocks = session.stage(blocks.join(cuts, "source"))
 
     ranges = max(1, docs.count() // SUMMED_ROWS)
     ranged = docs.withColumn("range", F.expr(f"CAST(floor(h / 1152921504606846976D * {ranges}) AS INT)"))
@@ -185,14 +196,14 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", weights:
     # Blocks a document lies in, once per pass in which the source's quota reaches them.
     pieces = F.expr(f"""
         IF(size = 0, cast(array() as array<struct<copy:int,start:bigint,words:bigint,shard:int,spot:bigint>>),
-        flatten(transform(sequence(CAST(floor(at / {block}) AS BIGINT), CAST(floor((at + size - 1) / {block}) AS BIGINT)), b ->
+        filter(flatten(transform(sequence(CAST(floor(at / {block}) AS BIGINT), CAST(floor((at + size - 1) / {block}) AS BIGINT)), b ->
           transform(filter(transform(sequence(0, {PASSES - 1}), c -> named_struct('copy', c,
               'turn', c * blocks + (b * by + shift) % blocks)), t -> t.turn < quota), t ->
             named_struct('copy', t.copy,
               'start', greatest(b * {block} - at, 0L),
-              'words', least((b + 1) * {block}, at + size) - greatest(b * {block}, at),
+              'words', least(b * {block} + IF(t.turn = quota - 1, final, {block}L), at + size) - greatest(b * {block}, at),
               'shard', size(filter(cuts, e -> e <= t.turn)),
-              'spot', xxhash64('{seed}', source, t.turn))))))""")
+              'spot', xxhash64('{seed}', source, t.turn))))), p -> p.words > 0))""")
     if whole:
         pieces = F.expr(f"""
             filter(transform(transform(sequence(0, {PASSES - 1}), c -> named_struct('copy', c,

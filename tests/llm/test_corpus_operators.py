@@ -341,6 +341,21 @@ def test_targets_and_taken_words(spark):
     assert set(per_shard) == set(range(mixing.SHARDS))
 
 
+def test_small_sources_reach_their_targets(spark):
+    rng = random.Random(3)
+    sources = [f"s{n % 60:02}" for n in range(180)]
+    texts = [" ".join(["w"] * rng.choice([0, 1, 5, 20, 90])) for _ in range(180)]
+    sizes, taken = Counter(), Counter()
+    for s, t in zip(sources, texts):
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    for r in mixing.plan(documents(spark, texts, sources)).select("id", "pieces").collect():
+        words = Counter((p.copy, w) for p in r.pieces for w in range(p.start, p.start + p.words))
+        assert set(words.values()) <= {1} and all(p.words > 0 for p in r.pieces)
+        taken[sources[r.id]] += len(words)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
 def test_quotas_are_split_exactly(spark):
     quotas = spark.createDataFrame([("=a", 1000), ("=b", 37), ("=c", 0), ("~", 411)], "source string, quota long")
     got = {r.source: r.cuts for r in mixing.split_quotas(quotas, 16, "s").collect()}
