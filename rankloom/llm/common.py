@@ -6,6 +6,7 @@ every separator the operators use is ASCII, so no byte of a longer character can
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once inside a task; one longer text is still taken whole.
 SLICE_BYTES = 1 << 21
+#: Bytes hashed at once.
+PIECE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,18 +73,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _ODD), np.full(size, _INVERSE)
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, one for each byte of a piece and one more."""
+    up, down = np.full(PIECE_BYTES + 1, _ODD), np.full(PIECE_BYTES + 1, _INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least ``size`` of each."""
-    return _powers(max(1 << 16, 1 << int(size).bit_length()))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,16 +89,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per byte range, equal for equal ranges wherever they lie."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
+    """One 64-bit hash per byte range, equal for equal ranges wherever they lie.
+
+    Ranges ascend and do not overlap. Bytes are worked on in pieces, so what is held beside ``data``
+    does not grow with it; a range over several pieces adds up what each of them holds of it.
+    """
+    value = np.zeros(len(starts), np.uint64)
+    up, down = powers()
+    for base in range(0, len(data) if len(starts) else 0, PIECE_BYTES):
+        piece = data[base : base + PIECE_BYTES]
+        low = int(np.searchsorted(ends, base, side="right"))
+        high = int(np.searchsorted(starts, base + len(piece), side="left"))
+        if low >= high:
+            continue
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+        first = np.maximum(starts[low:high] - base, 0)
+        held = (total[np.minimum(ends[low:high] - base, len(piece))] - total[first]) * down[first]
+        if starts[low] < base:  # the one range that began in an earlier piece
+            held[:1] *= np.uint64(pow(int(_ODD), int(base - starts[low]), 1 << 64))
+        value[low:high] += held
     return mix(value + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def released(work):
+    """``work`` of a ``mapInArrow``, giving freed memory back to the system when its task ends.
+
+    Python workers outlive their tasks and hold on to what they freed, beside the executor's own memory.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 @dataclass
 class Words:
     """Words of several texts: byte ranges, the text each belongs to, and each text's first word."""

@@ -26,31 +26,44 @@ from rankloom.llm import common
 WIDTH = 10
 #: Words of the benchmark sent to the executors at once (about 24 bytes each).
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Every so many positions of a shard keep their place in the suffix array.
 SAMPLING = 8
 
 
 class Wavelet:
-    """Wavelet matrix: ``rank`` counts a symbol before a position, ``access`` reads one."""
+    """Wavelet matrix: ``rank`` counts a symbol before a position, ``access`` reads one.
+
+    A level is a bit per position in 64-bit words, and the number of ones before each word.
+    """
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.levels, self.zeros = [], []
         for bit in range(bits - 1, -1, -1):
-            ones = (symbols >> bit) & 1
-            before = np.zeros(len(symbols) + 1, np.int32)
-            np.cumsum(ones, out=before[1:])
-            self.levels.append(before)
+            ones = ((symbols >> bit) & 1).astype(bool)
+            words = np.zeros(len(ones) // 64 + 1, np.uint64)
+            packed = np.packbits(ones, bitorder="little")
+            words.view(np.uint8)[: len(packed)] = packed
+            before = np.zeros(len(words) + 1, np.int32)
+            np.cumsum(np.bitwise_count(words), out=before[1:])
+            self.levels.append((words, before))
             self.zeros.append(len(symbols) - int(before[-1]))
-            symbols = np.concatenate([symbols[ones == 0], symbols[ones == 1]])
+            symbols = np.concatenate([symbols[~ones], symbols[ones]])
         self.bits = bits
 
+    @staticmethod
+    def ones_before(level: tuple[np.ndarray, np.ndarray], position: np.ndarray) -> np.ndarray:
+        words, before = level
+        word = position >> 6
+        below = (np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1)
+        return before[word] + np.bitwise_count(words[word] & below)
+
     def rank(self, symbol: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Occurrences of ``symbol`` before ``position``, for arrays of both."""
         low, high = np.zeros(len(position), np.int64), position
-        for bit, before, zeros in zip(range(self.bits - 1, -1, -1), self.levels, self.zeros):
+        for bit, level, zeros in zip(range(self.bits - 1, -1, -1), self.levels, self.zeros):
             one = ((symbol >> bit) & 1).astype(bool)
-            at_low, at_high = before[low], before[high]
+            at_low, at_high = self.ones_before(level, low), self.ones_before(level, high)
             low = np.where(one, zeros + at_low, low - at_low)
             high = np.where(one, zeros + at_high, high - at_high)
         return high - low
@@ -58,9 +71,9 @@ class Wavelet:
     def access(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(symbol, rank of that symbol before position)``."""
         symbol, low = np.zeros(len(position), np.int64), np.zeros(len(position), np.int64)
-        for before, zeros in zip(self.levels, self.zeros):
-            at, at_low = before[position], before[low]
-            one = before[position + 1] > at
+        for level, zeros in zip(self.levels, self.zeros):
+            at, at_low = self.ones_before(level, position), self.ones_before(level, low)
+            one = (level[0][position >> 6] >> (position & 63).astype(np.uint64)) & np.uint64(1) > 0
             symbol = symbol * 2 + one
             position = np.where(one, zeros + at, position - at)
             low = np.where(one, zeros + at_low, low - at_low)
@@ -194,11 +207,11 @@ def scan(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
     documents = batch.num_rows
     counts = np.diff(words.first)
     owner = words.owner()
-    symbols = np.zeros(len(owner), np.int64)
+    symbols = np.zeros(len(owner), np.int32)
     if len(phrases.vocabulary) and len(owner):
         hashes = words.hashes()
         at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
-        symbols = np.where(phrases.vocabulary[at] == hashes, at + 1, 0)
+        symbols = np.where(phrases.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
     # One separator for each run of foreign words and one behind every document.
     keep = symbols > 0
     keep[1:] |= symbols[:-1] > 0
@@ -263,7 +276,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFram
                     [*piece.columns, *found.columns],
                     [*piece.schema.names, *("__" + n for n in found.schema.names)])
 
-    return docs.mapInArrow(work, f"{kinds}, {FOUND}")
+    return docs.mapInArrow(common.released(work), f"{kinds}, {FOUND}")
 
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:

@@ -111,7 +111,7 @@ def counts(labelled: DataFrame) -> DataFrame:
                 [pa.array([name] * len(used), pa.string()), pa.array(np.where(used == CELLS, -1, used), pa.int32()),
                  pa.array(held[used], pa.int64())], ["lang", "cell", "n"])
 
-    return (labelled.select("lang", "text").mapInArrow(work, "lang string, cell int, n long")
+    return (labelled.select("lang", "text").mapInArrow(common.released(work), "lang string, cell int, n long")
             .groupBy("lang", "cell").agg(F.sum("n").alias("n")))
 
 
@@ -150,7 +150,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                     [*piece.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
                     [*piece.schema.names, "__lang", "__score"])
 
-    return docs.mapInArrow(work, f"{kinds}, __lang string, __score double")
+    return docs.mapInArrow(common.released(work), f"{kinds}, __lang string, __score double")
 
 
 def training_rows(docs: DataFrame, held: Column) -> DataFrame:

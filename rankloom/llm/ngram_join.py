@@ -158,7 +158,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     simple = docs.schema["key"].dataType.simpleString()
     kind = pa.int64() if simple == "bigint" else pa.string()
-    return docs.mapInArrow(work, f"key {simple}, text_hash long, n long, h1 long, h2 long, "
+    return docs.mapInArrow(common.released(work), f"key {simple}, text_hash long, n long, h1 long, h2 long, "
                                  "minima array<long>, parity array<long>, wide array<long>, cell int")
 
 
@@ -195,7 +195,7 @@ def prefixes(docs: DataFrame, width: int, numerator: int, denominator: int, comm
                      _lists(sets.values[chosen].view(np.int64), np.concatenate([[0], np.cumsum(take[keep])]))],
                     ["h1", "h2", "prefix"])
 
-    return docs.select("text").mapInArrow(work, "h1 long, h2 long, prefix array<long>")
+    return docs.select("text").mapInArrow(common.released(work), "h1 long, h2 long, prefix array<long>")
 
 
 def picked_sets(docs: DataFrame, width: int, picks) -> DataFrame:
@@ -220,7 +220,7 @@ def picked_sets(docs: DataFrame, width: int, picks) -> DataFrame:
                     ["h1", "h2", "shingles"])
                 yield whole.take(pa.array(keep, pa.int64()))
 
-    return docs.select("text", "text_hash").mapInArrow(work, "h1 long, h2 long, shingles array<long>")
+    return docs.select("text", "text_hash").mapInArrow(common.released(work), "h1 long, h2 long, shingles array<long>")
 
 
 def alpha(a: str, b: str, numerator: int, denominator: int) -> str:
@@ -267,8 +267,12 @@ class Join:
         self.classes = session.stage(
             of_docs.groupBy("h1", "h2").agg(
                 F.min("text_hash").alias("text_hash"), F.first("n").alias("n"),
-                F.first("minima").alias("minima"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
+                F.first("minima").alias("minima"), F.first("parity").alias("parity"))
             .withColumn("id", F.monotonically_increasing_id()))
+        # Many times as wide as a class, and read for the few pairs that are left: a table of its own.
+        self.wide = session.stage(
+            self.classes.select("id", "h1", "h2", "n").join(
+                of_docs.groupBy("h1", "h2").agg(F.first("wide").alias("wide")), ["h1", "h2"]).select("id", "n", "wide"))
 
     def commonness(self):
         counts = np.zeros(CELLS, np.int64)
@@ -285,8 +289,8 @@ class Join:
         least = alpha("n_a", "n_b", self.numerator, self.denominator)
         apart = f"zip_with({halved('w_a', 'w_b')}, {halved('w_b', 'w_a')}, (u, v) -> bit_count(u ^ v))"
         known = "least(size(w_a), size(w_b)) > 0 AND greatest(size(w_a), size(w_b)) <= 2 * least(size(w_a), size(w_b))"
-        p = self.classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("w_a"))
-        q = self.classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("w_b"))
+        p = self.wide.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("w_a"))
+        q = self.wide.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("w_b"))
         return session.stage(pairs.join(p, "a").join(q, "b").where(
             f"CASE WHEN {known} THEN aggregate({apart}, 0, (s, c) -> s + c) <= n_a + n_b - 2 * {least} ELSE true END")
             .select("a", "b"))
