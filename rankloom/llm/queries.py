@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import (
-    chunks, common, decontaminate, html_text, language, mixing, ngram_join, personal_data, secret_scan,
-    shard_tree, toxicity)
+    chunks, common, conversations, decontaminate, html_text, language, merkle, mixing, ngram_join, personal_data,
+    secret_scan, shard_tree, simhash, sql, toxicity)
 
 
 def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,8 +66,36 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.linked(common.table(spark, folder, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = common.table(spark, folder, "conversations")
+    found, edits = conversations.repair(conversations.damaged(rows))
+    every = rows.select(F.col("conv_id").alias("conv")).distinct()
+    for part in (found, conversations.digested(edits)):
+        kept = [c for c in part.columns if c != "conv"]
+        every = every.join(conversations.other(part), conversations.same_conv(), "left").select(*every.columns, *kept)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select(
+        F.col("conv").alias("conv_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(common.table(spark, folder, "documents")).drop("source")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_hash_tree, op3_chunk_fingerprints, op4_toxicity, op5_secrets,
-    op6_personal_data, op7_fm_index, op8_language, op9_ngram_join, op10_mixing)}
-
-SQL: dict[str, str] = {}
+    op6_personal_data, op7_fm_index, op8_language, op9_ngram_join, op10_mixing,
+    op11_simhash, op12_conversation_repair, op13_merkle_manifest)}
+
+#: Hashes of other engines, models and random draws have no SQL; the tests hold those against brute force.
+SQL: dict[str, str] = {
+    "op7_fm_index": sql.contamination(),
+    "op9_ngram_join": sql.ngram_links(),
+    "op13_merkle_manifest": sql.manifest(),
+}
