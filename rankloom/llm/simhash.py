@@ -5,10 +5,9 @@
 2. The numbers of ones in the four quarters of a fingerprint are its cell: 17**4 = 83,521 cells at
    most, however large the table is. Their counts cut the space of cells into boxes of about
    ``TILE_ROWS`` classes; a single cell with more is dealt over several tiles by a hash.
-3. Bits that differ change population counts by as much at most. A class is sent only to the tiles
-   whose box its counts reach within the radius, once for each such pair of tiles, so tile pairs
-   whose population counts differ beyond the radius never meet, and a task never holds more than two
-   tiles.
+3. Bits that differ change population counts by as much at most, so tile pairs whose boxes are further
+   apart than the radius never meet. A tile travels as one row, to each tile it has to meet; a task holds
+   two tiles.
 4. A pair of tiles is compared in blocks by exclusive-or and bit counts, again skipping blocks that are
    too far apart by the counts of their bytes. What links two classes that are not yet tied is kept, so a
    tile pair yields fewer links than it has classes.
@@ -48,15 +47,14 @@ def fingerprints(column: pa.Array, width: int = WIDTH) -> np.ndarray:
     counts = np.diff(words.first)
     grams = np.where(counts > 0, np.maximum(1, counts - width + 1), 0)
     votes = np.zeros((len(counts), 64), np.int64)
-    # All words again, one blank behind each: a shingle is one range of this.
-    sizes = words.ends - words.starts
-    line = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
-    nth = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(nth)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    line[np.arange(len(nth)) + nth] = words.data[words.starts[nth] + inside]
-    begin = np.cumsum(sizes + 1) - sizes - 1
+    # Words with the blank behind each, if any, as one: a shingle is one range of this.
+    inside = common.BLANK_SEPARATED[1][words.data]
+    behind = np.zeros(len(inside), bool)
+    behind[1:] = inside[:-1] & ~inside[1:]
+    text = np.where(inside, words.data, np.uint8(0x20))[inside | behind].tobytes()
+    sizes, apart = words.ends - words.starts, np.append(behind, False)[words.ends]
+    begin = np.cumsum(sizes + apart) - sizes - apart
     end = begin + sizes
-    text = line.tobytes()
     owner = np.repeat(np.arange(len(counts)), grams)
     first = words.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams)
     last = first + np.minimum(width, counts[owner]) - 1
@@ -123,32 +121,27 @@ class Tiles:
         self.tiles = np.array(tiles, np.int64)
         self.first = np.cumsum(self.tiles) - self.tiles
 
-    def gaps(self, cells: np.ndarray) -> np.ndarray:
-        """Least difference of population counts between each cell and anything in each box."""
-        at = digits(cells).astype(np.int16)[:, None, :]
-        return np.maximum(0, np.maximum(self.low - at, at - self.high)).sum(axis=2)
-
-    def dealt(self, cells: np.ndarray, lots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(row, own tile, other tile)`` for each tile that a row of these cells and lots has to meet."""
+    def homes(self, cells: np.ndarray, lots: np.ndarray) -> np.ndarray:
+        """The tile of each class: the box around its cell (boxes are disjoint), and a lot among the box's tiles."""
         known, which = np.unique(cells, return_inverse=True)
-        homes, reached = np.zeros(len(known), np.int64), []
+        boxes = np.zeros(len(known), np.int64)
         step = max(1, (1 << 20) // max(1, len(self.tiles)))
         for begin in range(0, len(known), step):
-            gap = self.gaps(known[begin : begin + step])
-            # Boxes are bounds of their cells and may overlap: the first one around a cell is its own,
-            # which is the same for every row of the cell.
-            homes[begin : begin + step] = np.argmin(gap, axis=1)
-            reached += [np.flatnonzero(row <= radius) for row in gap]
-        others = [np.concatenate([self.first[b] + np.arange(self.tiles[b]) for b in boxes]) for boxes in reached]
-        sizes = np.array([len(o) for o in others], np.int64)
-        home = homes[which]
-        own = self.first[home] + lots % self.tiles[home]
-        repeats = sizes[which]
-        row = np.repeat(np.arange(len(cells)), repeats)
-        flat = np.concatenate(others) if others else np.zeros(0, np.int64)
-        start = (np.cumsum(sizes) - sizes)[which]
-        spot = np.arange(len(row)) - np.repeat(np.cumsum(repeats) - repeats, repeats) + np.repeat(start, repeats)
-        return row, own[row], flat[spot]
+            place = digits(known[begin : begin + step])
+            boxes[begin : begin + step] = np.argmin(self.gaps(place, place), axis=1)
+        home = boxes[which]
+        return self.first[home] + lots % self.tiles[home]
+
+    def gaps(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least difference of population counts between anything within each of these bounds and in each box."""
+        low, high = low.astype(np.int16)[:, None, :], high.astype(np.int16)[:, None, :]
+        return np.maximum(0, np.maximum(self.low - high, low - self.high)).sum(axis=2)
+
+    def met(self, tile: int, radius: int) -> np.ndarray:
+        """The tiles that ``tile`` has to be compared with, itself included."""
+        box = int(np.searchsorted(self.first, tile, side="right")) - 1
+        near = np.flatnonzero(self.gaps(self.low[box : box + 1], self.high[box : box + 1])[0] <= radius)
+        return np.concatenate([self.first[b] + np.arange(self.tiles[b]) for b in near])
 
 
 def _blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,25 +196,33 @@ def links(classes: DataFrame, radius: int, rows: int) -> DataFrame:
     tiles = spark.sparkContext.broadcast(Tiles(
         np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64), rows))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            lots = (common.mix(fp.view(np.uint64)) >> np.uint64(1)).astype(np.int64)
-            row, own, other = tiles.value.dealt(batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64), lots, radius)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(own, other), pa.int32()), pa.array(np.maximum(own, other), pa.int32()),
-                 pa.array(own, pa.int32()), pa.array(fp[row])], ["a", "b", "own", "fp"])
+            fp = batch.column("fp")
+            lots = (common.mix(fp.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            home = tiles.value.homes(batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64), lots)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), fp], ["tile", "fp"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.column("tile").to_pylist():
+                other = tiles.value.met(tile, radius)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(other), tile), pa.int32()), pa.array(np.minimum(tile, other), pa.int32()),
+                     pa.array(np.maximum(tile, other), pa.int32())], ["own", "a", "b"])
 
     def compare(group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        own, one, other = (group.column(c).to_numpy() for c in ("own", "a", "b"))
-        first, second = own == one, own == other
-        alone = bool(len(own)) and one[0] == other[0]
-        found = ties(fp[first], None if alone else fp[second], radius)
+        held = {own: np.array(fp, np.int64).view(np.uint64) for own, fp in zip(
+            group.column("own").to_pylist(), group.column("fps").to_pylist())}
+        one, other = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        found = ties(held[one], None if one == other else held[other], radius)
         return pa.table([pa.array(x.view(np.int64)) for x in found], names=["a", "b"])
 
-    dealt = classes.select("fp", F.expr(cell()).alias("cell")).mapInArrow(
-        common.released(deal), "a int, b int, own int, fp long")
+    placed = classes.select("fp", F.expr(cell()).alias("cell")).mapInArrow(common.released(place), "tile int, fp long")
+    # A tile holds about ``rows`` classes.
+    held = session.stage(placed.groupBy("tile").agg(F.collect_list("fp").alias("fps")))
+    sides = held.select("tile").mapInArrow(pair, "own int, a int, b int")
+    dealt = sides.join(held, F.col("own") == F.col("tile")).select("a", "b", "own", "fps")
     return dealt.groupBy("a", "b").applyInArrow(compare, "a long, b long")
 
 
