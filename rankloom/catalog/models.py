@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from rankloom import session
 from rankloom.catalog.common import (
     GRADED_SQL,
     TIES,
@@ -84,6 +86,72 @@ def ranker_cross_validation(spark, folder):
     return oof.select("p_partkey", "fold", rnd("score").alias("score"))
 
 
+STUMP = replace(PARTS, numeric=("p_size", "key_mod"), categorical=(), rounds=1, depth=1)
+_PART_GRADES = """
+edges AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS q1, quantile_cont(p_retailprice, 0.5) AS q2,
+    quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY ALL),
+parts AS (SELECT part.*, p_partkey % 100 AS key_mod,
+    CAST(p_retailprice > q1 AS INT) + CAST(p_retailprice > q2 AS INT) + CAST(p_retailprice > q3 AS INT) AS grade
+  FROM part JOIN edges USING (p_type))"""
+
+
+@register("WITH" + _PART_GRADES + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rk FROM parts),
+i AS (SELECT p_brand, sum((pow(2, grade) - 1) / log2(ir + 1)) AS ideal FROM (SELECT *, row_number() OVER (
+    PARTITION BY p_brand ORDER BY grade DESC) AS ir FROM parts) WHERE ir <= 30 GROUP BY ALL),
+p AS (SELECT a.p_brand, a.rk AS ra, b.rk AS rb, CASE WHEN a.grade > b.grade THEN 1 ELSE -1 END AS sg,
+    abs(pow(2, a.grade) - pow(2, b.grade)) * abs(1 / log2(a.rk + 1) - 1 / log2(b.rk + 1)) / ideal AS d
+  FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.rk <= 30 AND b.rk > a.rk AND a.grade <> b.grade JOIN i ON i.p_brand = a.p_brand),
+t AS (SELECT p_brand, rk, sum(g) AS g, sum(h) AS h FROM (SELECT p_brand, ra AS rk, sg * d / 2 AS g, d / 4 AS h FROM p
+  UNION ALL SELECT p_brand, rb, -sg * d / 2, d / 4 FROM p) GROUP BY ALL HAVING sum(h) > 1e-12),
+x AS (SELECT p_size, key_mod, g, h FROM r JOIN t USING (p_brand, rk)),
+v AS (SELECT 'p_size' AS feature, CAST(p_size AS DOUBLE) AS v, g, h FROM x UNION ALL SELECT 'key_mod', key_mod, g, h FROM x),
+d AS (SELECT feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM v GROUP BY ALL),
+c AS (SELECT feature, (v + lead(v) OVER up) / 2 AS threshold, sum(g) OVER up AS gl, sum(h) OVER up AS hl, sum(n) OVER up AS nl,
+    sum(g) OVER every AS g, sum(h) OVER every AS h, sum(n) OVER every AS n
+  FROM d WINDOW up AS (PARTITION BY feature ORDER BY v), every AS (PARTITION BY feature))
+SELECT feature, threshold, """ + r_sql("gl / hl") + " AS left_value, " + r_sql("(g - gl) / (h - hl)") + """ AS right_value
+FROM c WHERE threshold IS NOT NULL AND nl >= 5 AND n - nl >= 5 ORDER BY gl * gl / hl + (g - gl) * (g - gl) / (h - hl) DESC LIMIT 1""")
+def boosted_stump(spark, folder):
+    """One boosted tree of one split: of all splits of all features the one with the largest Newton gain."""
+    nodes = ranker.fit(graded_parts(spark, folder), STUMP).nodes(spark)
+    value = {side: F.max(F.when(F.col("node") == n, F.col("value"))) for side, n in (("left", 2), ("right", 3))}
+    return nodes.agg(
+        F.max("feature").alias("feature"), F.max("threshold").alias("threshold"),
+        rnd(value["left"]).alias("left_value"), rnd(value["right"]).alias("right_value"))
+
+
+SERVED = replace(PARTS, numeric=("p_size", "key_mod"), categorical=("p_type",), rounds=2)
+
+
+@register("""
+WITH asked AS (SELECT p_brand, CASE WHEN p_partkey % 401 = 0 THEN 'NEW ' || p_type ELSE p_type END AS p_type FROM part),
+known AS (SELECT DISTINCT p_type FROM part WHERE CAST(right(p_brand, 1) AS INT) % 3 <> 0),
+facts AS (SELECT p_brand, count(*) AS n, min(p_type) FILTER (p_type NOT IN (SELECT p_type FROM known)) AS odd FROM asked GROUP BY ALL)
+SELECT p_brand, 'new_level: p_type = ' || odd AS reason, CASE WHEN odd IS NULL THEN n ELSE 0 END AS ranked,
+  CASE WHEN odd IS NULL THEN n ELSE 0 END AS same_score, CASE WHEN odd IS NULL THEN n ELSE 0 END AS last_rank FROM facts""")
+def stored_ranker(spark, folder):
+    """A ranker is fitted, written and read back; it then scores every brand's parts as one request.
+
+    A request with a level that training did not have is refused. The rest are scored by the model in memory
+    and by the one read back, and all scores have to be the same.
+    """
+    parts = graded_parts(spark, folder)
+    fitted = ranker.fit(parts.filter("CAST(right(p_brand, 1) AS INT) % 3 <> 0"), SERVED)
+    path = f"{session.stage_root(spark)}/rankloom/model-{uuid.uuid4().hex}"
+    fitted.save(path)
+    odd = F.when(F.col("p_partkey") % 401 == 0, F.concat(F.lit("NEW "), "p_type")).otherwise(F.col("p_type"))
+    requests = parts.select("p_brand", "p_partkey", "p_size", "key_mod", odd.alias("p_type"))
+    ranked, refused = scoring.score_requests(
+        ranker.RankModel.load(spark, path), requests, "p_brand", "p_partkey")
+    before = fitted.score(requests, "before").select("p_partkey", "before")
+    scored = ranked.join(before, "p_partkey").groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("ranked"), F.count_if(F.col("score") == F.col("before")).alias("same_score"),
+        F.max("rank").alias("last_rank"))
+    every = parts.select("p_brand").distinct().join(refused, "p_brand", "left").join(scored, "p_brand", "left")
+    return every.select("p_brand", "reason", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ranked", "same_score", "last_rank")))
+
+
 @register()
 def ranker_search(spark, folder):
     """Two configurations compared on the same out-of-fold groups."""
@@ -198,8 +266,8 @@ def unseen_levels(spark, folder):
 _REQUEST_SQL = """per_id AS (SELECT l_suppkey, CASE WHEN l_quantity > 1 OR l_tax > 0 THEN l_orderkey END AS id, count(*) AS n FROM lineitem GROUP BY ALL),
 facts AS (SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (id IS NULL), 0) AS BIGINT) AS no_id,
     count(*) FILTER (id IS NOT NULL AND n > 1) AS repeated FROM per_id GROUP BY ALL),
-problems AS (SELECT l_suppkey, CASE WHEN rows > 640 THEN rows || ' candidates exceed the 640 per-request cap'
-    WHEN no_id > 0 THEN no_id || ' candidate(s) carry no id' WHEN repeated > 0 THEN 'ids must be unique within one request' END AS reason FROM facts)"""
+problems AS (SELECT l_suppkey, CASE WHEN rows > 640 THEN 'too_many: ' || rows || ' rows, 640 allowed'
+    WHEN no_id > 0 THEN 'no_id: ' || no_id || ' rows' WHEN repeated > 0 THEN 'repeated_id: ' || repeated || ' ids' END AS reason FROM facts)"""
 
 
 def _requests(spark, folder):
@@ -214,9 +282,8 @@ def request_problems(spark, folder):
 
 
 @register("""
-WITH c AS (SELECT l_suppkey, l_partkey AS id, min(l_extendedprice) AS price, sum(l_quantity) AS score FROM lineitem GROUP BY ALL),
-k AS (SELECT l_suppkey FROM c GROUP BY ALL HAVING count(*) <= 5000)
-SELECT l_suppkey, id, score, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, id) AS rank FROM c SEMI JOIN k USING (l_suppkey)""")
+WITH c AS (SELECT l_suppkey, l_partkey AS id, sum(l_quantity) AS score FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, id, score, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, id) AS rank FROM c""")
 def ranked_requests(spark, folder):
     """Contract-checked candidate sets, scored and ordered."""
     candidates = table(spark, folder, "lineitem").groupBy(

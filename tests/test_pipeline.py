@@ -5,6 +5,7 @@ import datetime
 import gzip
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,7 +166,7 @@ def test_protocol_end_to_end(spark, table):
     levels = scoring.serving_levels(table, settings.categorical)
     odd = candidates.filter("request = 0").withColumn("room_type", F.lit("Houseboat")).withColumn("request", F.lit(10**6).cast("long"))
     kept, rejects = scoring.reject(candidates.unionByName(odd), "request", "id", levels, settings.numeric, settings.categorical)
-    assert [r.reason for r in rejects.collect()] == ["room_type carries unseen level Houseboat"]
+    assert [r.reason for r in rejects.collect()] == ["new_level: room_type = Houseboat"]
     ranked = scoring.rank_scored(fitted.score(kept), "request", "id")
     assert ranked.count() == table.count()
     blank = scoring.blank_columns(kept)
@@ -222,9 +223,65 @@ def test_gradients_are_the_same_in_pieces(spark):
     assert all(abs(r.s) < 1e-9 for r in total)
 
 
+def ranked_rows(spark):
+    source = random.Random(4)
+    rows = [(i, i // 12, i % 3, source.randrange(5), source.random(), f"level {min(i % 50, source.randrange(60))}", None if i % 9 == 0 else f"x{i}")
+            for i in range(600)]
+    return spark.createDataFrame(rows, "id int, query_group int, fold int, grade int, x double, kind string, name string")
+
+
+def test_saved_model_scores_the_same(spark, tmp_path):
+    df = ranked_rows(spark)
+    settings = ranker.Settings(numeric=("x",), categorical=("kind", "name"), rounds=3, depth=3, min_rows=5, max_bins=16)
+    for own in (settings, replace(settings, feature_share=0.5)):
+        model = ranker.fit(df.filter("fold <> 0"), own, df.filter("fold = 0"))
+        model.save(str(tmp_path / "model"))
+        model.save(str(tmp_path / "model"))  # replaces what is there
+        read = ranker.RankModel.load(spark.newSession(), str(tmp_path / "model"))
+        assert read.settings == own and read.curve == model.curve and len(read.trees) == model.best_round
+        pick = lambda m: sorted((r.id, r.score) for r in m.score(df).collect())
+        assert pick(read) == pick(model) and len({s for _, s in pick(read)}) > 3
+    odd = df.withColumn("kind", F.when(F.col("id") == 7, "never seen").otherwise(F.col("kind"))).drop("name")
+    ranked, refused = scoring.score_requests(read, odd, "query_group", "id")
+    unseen = [r.query_group for r in refused.collect()]
+    assert 0 in unseen and ranked.filter(F.col("query_group").isin(unseen)).isEmpty()
+    assert ranked.count() == 600 - 12 * len(unseen)
+
+
+def test_levels_beyond_the_bins_share_a_code(spark):
+    df = ranked_rows(spark)
+    settings = ranker.Settings(categorical=("kind", "name"), max_bins=16)
+    levels, codes = ranker.learned_levels(df, settings)
+    assert codes == {"kind": 16, "name": 16}  # as many as bins, of 50 and 533 levels
+    assert levels.filter("column = 'name'").count() == 533 and levels.filter("column = 'name' AND code > 1").count() == 14
+    most = {r.level for r in df.groupBy(F.col("kind").alias("level")).count().orderBy(F.desc("count"), "level").limit(14).collect()}
+    assert {r.level for r in levels.filter("column = 'kind' AND code > 1").collect()} == most
+    vectors = ranker.encoded(df.withColumn("kind", F.lit("new")), settings, levels, codes).select("_features").distinct().collect()
+    assert {v[0][0] for v in vectors} == {1.0} and {v[0][1] for v in vectors} >= {0.0, 1.0}
+
+
+def test_rounds_move_and_write_no_features(spark):
+    df = ranked_rows(spark)
+    for c in range(30):
+        df = df.withColumn(f"f{c}", F.rand(c))
+    rows = ranker.matrix(df, ranker.Settings(numeric=tuple(f"f{c}" for c in range(30))))
+    scores = ranker.session.stage_bucketed(rows.table.select("row", F.rand(1).alias("score")), "row", rows.buckets)
+    assert scores.columns == ["row", "score"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows.scored(scores, "_features")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    narrow = rows.scored(scores, "grade")._jdf.queryExecution().executedPlan().toString()
+    assert "_features" not in narrow
+
+
 def test_search_configs_and_acceptance(spark):
     configs = ranker.sample_configs(5, seed=1)
     assert configs[0] == {} and len(configs) == 5 and configs == ranker.sample_configs(5, seed=1)
+    assert ranker.sample_configs(9, seed=1)[:5] == configs and ranker.sample_configs(5, seed=2)[1:] != configs[1:]
+    assert all(5 <= c["min_rows"] <= 100 and 0.05 <= c["step"] <= 0.5 and c["depth"] in (4, 5, 6, 7) for c in configs[1:])
     with pytest.raises(ValueError):
         ranker.sample_configs(0)
     schema = "config int, status string, vs_default double, vs_low double"
