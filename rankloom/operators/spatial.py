@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import session
 from rankloom.functions.geo import east_km, haversine_km, north_km
 from rankloom.operators import ordering, quality
 from rankloom.operators.neighbourhood import NEIGHBOURHOOD_KEY
@@ -14,6 +15,10 @@ from rankloom.sources.schemas import ANCHORS
 
 DISTANCE_PRECISION = 2
 DENSITY_RADIUS_KM = 1.0
+#: Distinct points of a cell that is compared point by point.
+LEAF_POINTS = 32
+#: Cells are cut no further: a thousandth of a millionth of the radius.
+DEEPEST = 30
 
 
 def nearest_anchor(
@@ -101,27 +106,73 @@ def centroid_distance(
     return out.withColumn(name, rounded).drop("_lat", "_lon", "_n")
 
 
-def neighbour_offsets(split: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Cell offsets around a cell of side ``radius / split``: wholly inside, and to be checked."""
-    inside, edge = [], []
-    for dx in range(-split - 1, split + 2):
-        for dy in range(-split - 1, split + 2):
-            farthest = (abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2
-            nearest = max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2
-            if farthest <= split * split:
-                inside.append((dx, dy))
-            elif nearest <= split * split:
-                edge.append((dx, dy))
-    return inside, edge
-
-
-def _shifted(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    steps = ", ".join(f"named_struct('dx', {a}L, 'dy', {b}L)" for a, b in offsets)
-    return cells.selectExpr(
-        "*", f"explode(CAST(array({steps}) AS ARRAY<STRUCT<dx: BIGINT, dy: BIGINT>>)) AS _step"
-    ).selectExpr(
-        *[f"`{c}`" for c in cells.columns], "_cx + _step.dx AS _tx", "_cy + _step.dy AS _ty"
-    )
+def cells_of(points: DataFrame, market: str, level: int) -> DataFrame:
+    """Cells of side ``radius / 2 ** level`` with their distinct points and the rows at them."""
+    return points.groupBy(market, *cell_at(level)).agg(
+        F.count(F.lit(1)).alias("_points"), F.sum("_here").alias("_rows"))
+
+
+def cell_at(level: int | str) -> list[Column]:
+    """The cell of a point at a level. Coordinates are scaled by powers of two, so cells nest exactly."""
+    scale = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else F.col(level))
+    return [F.floor(F.col(u) * scale).alias(c) for u, c in (("_u", "_cx"), ("_v", "_cy"))]
+
+
+def _sides(cells: DataFrame, market: str) -> tuple[DataFrame, DataFrame]:
+    """Cells as targets (``_t``) and as sources (``_s``) of a pair."""
+    target = cells.select(
+        F.col(market).alias("_m"), F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty"),
+        F.col("_points").alias("_t_points"))
+    source = cells.select(
+        F.col(market).alias("_sm"), F.col("_cx").alias("_sx"), F.col("_cy").alias("_sy"),
+        F.col("_points").alias("_s_points"), F.col("_rows").alias("_s_rows"))
+    return target, source
+
+
+def _judged(pairs: DataFrame, level: int, leaf_points: int) -> DataFrame:
+    """Pairs of cells with what becomes of them: all within the radius, few enough to compare, or to be cut.
+
+    Pairs with nothing within the radius are gone. Cells are half-open, so two points differ by more than
+    the cells between theirs and by less than one cell more on each side.
+    """
+    dx, dy = F.abs(F.col("_tx") - F.col("_sx")), F.abs(F.col("_ty") - F.col("_sy"))
+    zero = F.lit(0).cast("long")
+    nearest = F.pow(F.greatest(dx - 1, zero), F.lit(2)) + F.pow(F.greatest(dy - 1, zero), F.lit(2))
+    farthest = F.pow(dx + 1, F.lit(2)) + F.pow(dy + 1, F.lit(2))
+    few = (F.col("_t_points") <= leaf_points) & (F.col("_s_points") <= leaf_points)
+    fate = F.when(farthest <= 4**level, "whole").when(few | F.lit(level >= DEEPEST), "leaf").otherwise("cut")
+    return session.stage(pairs.filter(nearest < 4**level).select(
+        "_m", F.lit(level).alias("_level"), "_tx", "_ty", "_sx", "_sy", "_s_rows", fate.alias("_fate")))
+
+
+def cell_pairs(points: DataFrame, market: str, leaf_points: int) -> list[DataFrame]:
+    """Every pair of places within the radius is in exactly one pair of cells: a table per level.
+
+    Both cells of a pair are cut into quarters until one lies within the radius of all of the other or
+    both hold at most ``leaf_points`` points. Where points are sparse the first level does; a dense
+    place is cut as often as it takes, and only there.
+    """
+    target, source = _sides(cells_of(points, market, 0), market)
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    around = (target.withColumn("_dx", steps).withColumn("_dy", steps))
+    pairs = around.join(
+        source, F.col("_m").eqNullSafe(F.col("_sm")) & (F.col("_tx") + F.col("_dx") == F.col("_sx"))
+        & (F.col("_ty") + F.col("_dy") == F.col("_sy")))
+    tables = [_judged(pairs, 0, leaf_points)]
+    while not tables[-1].filter("_fate = 'cut'").isEmpty():
+        level = len(tables)
+        cut = tables[-1].filter("_fate = 'cut'").select(
+            F.col("_m").alias("_pm"), F.col("_tx").alias("_ptx"), F.col("_ty").alias("_pty"),
+            F.col("_sx").alias("_psx"), F.col("_sy").alias("_psy"))
+        target, source = _sides(session.stage(cells_of(points, market, level)), market)
+        pairs = cut.join(
+            target, F.col("_pm").eqNullSafe(F.col("_m")) & (F.shiftright("_tx", 1) == F.col("_ptx"))
+            & (F.shiftright("_ty", 1) == F.col("_pty"))
+        ).join(
+            source, F.col("_pm").eqNullSafe(F.col("_sm")) & (F.shiftright("_sx", 1) == F.col("_psx"))
+            & (F.shiftright("_sy", 1) == F.col("_psy")))
+        tables.append(_judged(pairs, level, leaf_points))
+    return tables
 
 
 def density(
@@ -131,17 +182,16 @@ def density(
     lon: str = "longitude",
     radius_km: float = DENSITY_RADIUS_KM,
     name: str | None = None,
-    split: int = 6,
+    leaf_points: int = LEAF_POINTS,
 ) -> DataFrame:
     """How many other rows of the market lie within ``radius_km`` of each row.
 
-    Rows at one point collapse to a count first, so a point holding a third of the table is a
-    single row here. The plane is cut into cells of side ``radius / split``. Cells that lie wholly
-    inside the circle whichever points are compared contribute their *count*; only the ring of
-    cells the circle passes through is compared point by point.
+    Rows at one point collapse to a count first, so a point holding a third of the table is a single
+    row here. The plane is cut by an adaptive quadtree (see :func:`cell_pairs`): pairs of cells that lie
+    wholly within the radius contribute counts, and points meet only in pairs of small cells along it. Rows
+    without a position have no density (null).
     """
     name = name or f"density_{radius_km:g}km"
-    side = radius_km / split
     points = (
         df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
         .groupBy(market, lat, lon)
@@ -151,53 +201,39 @@ def density(
     points = ordering.with_group_stats(points, [market], [weighted.alias("_ref")])
     points = points.withColumns(
         {"_x": east_km(F.col(lon), F.col("_ref")), "_y": north_km(F.col(lat))}
-    ).withColumns(
-        {"_cx": F.floor(F.col("_x") / F.lit(side)), "_cy": F.floor(F.col("_y") / F.lit(side))}
-    )
-    points, rows = ordering.session.measured(points.drop("_ref"))
-    inside, edge = neighbour_offsets(split)
-    points = ordering.session.spread(points, rows * len(edge), market, lat, lon)
+    ).withColumns({"_u": F.col("_x") / F.lit(radius_km), "_v": F.col("_y") / F.lit(radius_km)})
+    points, rows = session.measured(points.drop("_ref").withColumn("_id", F.monotonically_increasing_id()))
 
-    cells = points.groupBy(market, "_cx", "_cy").agg(F.sum("_here").alias("_in_cell"))
-    source = cells.select(
-        F.col(market).alias("_m"), F.col("_cx").alias("_sx"), F.col("_cy").alias("_sy"), "_in_cell"
-    )
-    whole = _shifted(cells.select(market, "_cx", "_cy"), inside).join(
-        source,
-        F.col(market).eqNullSafe(F.col("_m"))
-        & (F.col("_tx") == F.col("_sx"))
-        & (F.col("_ty") == F.col("_sy")),
-    )
-    whole = whole.groupBy(market, "_cx", "_cy").agg(F.sum("_in_cell").alias("_whole"))
-
-    others = points.select(
-        F.col(market).alias("_m"),
-        F.col("_cx").alias("_sx"),
-        F.col("_cy").alias("_sy"),
-        F.col("_x").alias("_ox"),
-        F.col("_y").alias("_oy"),
-        F.col("_here").alias("_there"),
-    )
+    tables = cell_pairs(points, market, leaf_points)
+    pairs = tables[0]
+    for table in tables[1:]:
+        pairs = pairs.unionByName(table)
+    levels = F.sequence(F.lit(0), F.lit(len(tables) - 1))
+    # A point stands in one cell of each level that there are pairs of.
+    placed = session.spread(points, rows * len(tables), "_id").withColumn("_at", F.explode(levels))
+    placed = placed.select("_id", market, "_x", "_y", "_u", "_v", "_here", "_at", *cell_at("_at"))
+
+    def inside(side: str) -> Column:
+        return (F.col(market).eqNullSafe(F.col("_m")) & (F.col("_at") == F.col("_level"))
+                & (F.col("_cx") == F.col(f"_{side}x")) & (F.col("_cy") == F.col(f"_{side}y")))
+
+    whole = pairs.filter("_fate = 'whole'").groupBy("_m", "_level", "_tx", "_ty").agg(F.sum("_s_rows").alias("_n"))
+    counted = placed.join(whole, inside("t")).select("_id", "_n")
+    leaf = pairs.filter("_fate = 'leaf'").select("_m", "_level", "_tx", "_ty", "_sx", "_sy")
+    # A point and a cell that it is too far from do not meet: least distance to the cell, in radii.
+    side = F.pow(F.lit(2.0), -F.col("_level"))
+    off = [F.greatest(F.col(c) * side - F.col(u), F.col(u) - (F.col(c) + 1) * side, F.lit(0.0))
+           for u, c in (("_u", "_sx"), ("_v", "_sy"))]
+    met = placed.join(leaf, inside("t")).filter(off[0] * off[0] + off[1] * off[1] <= 1.0 + 1e-9).select(
+        "_id", "_x", "_y", "_m", "_level", "_sx", "_sy")
+    others = placed.select(
+        market, "_at", "_cx", "_cy", F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), F.col("_here").alias("_n"))
     dx, dy = F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")
-    ring = (
-        _shifted(points, edge)
-        .join(
-            others,
-            F.col(market).eqNullSafe(F.col("_m"))
-            & (F.col("_tx") == F.col("_sx"))
-            & (F.col("_ty") == F.col("_sy")),
-        )
-        .filter(dx * dx + dy * dy <= F.lit(radius_km * radius_km))
-        .groupBy(market, lat, lon)
-        .agg(F.sum("_there").alias("_ring"))
-    )
-    near = ordering.attach(
-        ordering.attach(points, whole, [market, "_cx", "_cy"], at_most=rows), ring,
-        [market, lat, lon], at_most=rows,
-    )
-    total = F.coalesce("_whole", F.lit(0)) + F.coalesce("_ring", F.lit(0)) - 1
-    counted = near.select(market, lat, lon, total.cast("long").alias(name))
-    return ordering.attach(df, counted, [market, lat, lon])
+    compared = met.join(others, inside("s")).filter(dx * dx + dy * dy <= F.lit(radius_km * radius_km))
+    near = counted.unionByName(compared.select("_id", "_n")).groupBy("_id").agg(
+        (F.sum("_n") - 1).cast("long").alias(name))
+    of_points = points.join(near, "_id").select(market, lat, lon, name, F.col("_here").alias("_size"))
+    return ordering.attach(df, of_points, [market, lat, lon], size="_size").drop("_size")
 
 
 def spatial_features(

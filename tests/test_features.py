@@ -178,13 +178,13 @@ def test_rating_shrinks_to_the_other_ratings(spark):
     assert out["a"] == pytest.approx((20 * 5 + 20 * 4) / 40) and out["b"] == pytest.approx(4.5) and out["d"] is None
 
 
-@pytest.mark.parametrize("split", [1, 4, 8])
-def test_density_equals_brute_force(spark, split):
+@pytest.mark.parametrize("leaf_points", [1, 8, 1000])
+def test_density_equals_brute_force(spark, leaf_points):
     source = random.Random(3)
     points = [(i, "x" if i % 4 else "y", 37.9 + source.random() / 20, 23.7 + source.random() / 20) for i in range(400)]
     points += [(1000 + i, "x", 37.92, 23.72) for i in range(50)]
     df = spark.createDataFrame(points, "id int, city string, latitude double, longitude double")
-    out = {r.id: r.density_1km for r in spatial.density(df, split=split).collect()}
+    out = {r.id: r.density_1km for r in spatial.density(df, leaf_points=leaf_points).collect()}
     for city in ("x", "y"):
         mine = [p for p in points if p[1] == city]
         ref = math.radians(sum(p[2] for p in mine) / len(mine))
@@ -194,6 +194,30 @@ def test_density_equals_brute_force(spark, split):
             assert out[i] == near
 
 
+def test_density_of_one_crowded_cell(spark):
+    """Half of all points within 200 m: the crowd is counted by cells, and no place compares many points."""
+    import numpy as np
+
+    source = np.random.default_rng(1)
+    lat = np.concatenate([37.9 + source.random(1500) / 10, 37.95 + source.random(1500) / 500])
+    lon = np.concatenate([23.7 + source.random(1500) / 10, 23.75 + source.random(1500) / 500])
+    df = spark.createDataFrame(
+        [(i, "x", float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))] + [(-1, "x", None, 23.7), (-2, None, 37.9, 23.7)],
+        "id int, city string, latitude double, longitude double")
+    out = {r.id: r.density_1km for r in spatial.density(df, leaf_points=16).collect()}
+    x = np.radians(lon) * 6371.0088 * np.cos(np.radians(lat.mean()))
+    y = np.radians(lat) * 6371.0088
+    near = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 1.0).sum(axis=1) - 1
+    assert [out[i] for i in range(3000)] == near.tolist() and out[-1] is None and out[-2] == 0
+    points = df.filter("id >= 0").select(
+        F.col("city"), F.lit(1).alias("_here"), (F.radians("longitude") * 6371.0 * math.cos(math.radians(lat.mean()))).alias("_u"),
+        (F.radians("latitude") * 6371.0).alias("_v"))
+    tables = spatial.cell_pairs(points, "city", 16)
+    assert len(tables) > 3
+    rows = sum(t.filter("_fate = 'whole'").agg(F.sum("_s_rows")).first()[0] or 0 for t in tables)
+    assert rows > 0 and sum(t.filter("_fate = 'leaf'").count() for t in tables) < 3000 * 40
+
+
 def test_anchor_and_centroid(spark):
     df = spark.createDataFrame([("crete", "n", 35.5138, 24.018), ("athens", "m", 37.9755, 23.7348), ("athens", "m", 37.98, 23.74)],
                                "city string, neighbourhood_cleansed string, latitude double, longitude double")
