@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rankloom import session
 from rankloom.catalog.common import TIES, TIES_SQL, r_sql, rnd, rounded, table
 from rankloom.functions import bins, geo, hashing, parsing
-from rankloom.operators import filters, quality, sentiment, spatial
-from rankloom.sources import raw, sinks
+from rankloom.operators import anonymise, assemble, filters, quality, sentiment, spatial
+from rankloom.sources import raw, schemas, sinks
 
 QUERIES, SQL = {}, {}
 SALT = "pepper"
@@ -61,10 +61,79 @@ def file_manifest(spark, folder):
     )
 
 
-@register()
+_TEXT = "coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+_DIGESTED = ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+@register("""
+WITH h AS (SELECT CAST('0x' || substr(md5(""" + " || ".join(_TEXT.format(c=c) for c in _DIGESTED) + """), 1, 15) AS HUGEINT) AS h FROM orders)
+SELECT count(*) AS rows, sha256(count(*) || ':' || CAST(sum(h) AS HUGEINT)) AS digest FROM h""")
 def table_content_digest(spark, folder):
-    """Order-free digest of lineitem."""
-    return sinks.table_digest(table(spark, folder, "lineitem"))
+    """Order-free digest of orders."""
+    return sinks.table_digest(table(spark, folder, "orders", *_DIGESTED))
+
+
+@register("""
+SELECT sha256('pepper:' || c_custkey) AS id, sha256('pepper:' || c_nationkey) AS host_id, c_acctbal AS price,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'unknown' WHEN c_mktsegment = 'BUILDING' THEN 'local' ELSE 'foreign' END AS host_is_local,
+  c_mktsegment <> 'HOUSEHOLD' AS host_has_about, sha256('pepper:' || c_name) AS license_hash,
+  'registered' AS license_status
+FROM customer""")
+def anonymised_listings(spark, folder):
+    """Personal columns dropped, ids and licence hashed, host facts derived from what is dropped."""
+    kind = F.col("c_mktsegment")
+    named = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("host_id"), F.col("c_acctbal").alias("price"),
+        F.when(kind == "BUILDING", "Crete, Greece").when(kind != "MACHINERY", "Berlin").alias("host_location"),
+        F.when(kind == "HOUSEHOLD", " \n").otherwise(kind).alias("host_about"), F.col("c_name").alias("license"),
+        *[F.col("c_name").alias(c) for c in schemas.PII_DROP])
+    return anonymise.anonymise_listings(named, SALT)
+
+
+@register("SELECT sha256('pepper:' || l_partkey) AS listing_id, l_shipdate AS date, l_quantity AS available FROM lineitem")
+def anonymised_calendar(spark, folder):
+    """Calendar rows with the listing hashed."""
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("listing_id"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("available"))
+    return anonymise.anonymise_calendar(rows, SALT)
+
+
+@register("SELECT sha256('pepper:' || user_id) AS listing_id, event_id AS id, props AS comments FROM events")
+def anonymised_reviews(spark, folder):
+    """Reviews without their reviewer, the listing hashed."""
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").alias("listing_id"), F.col("event_id").alias("id"), F.col("props").alias("comments"),
+        F.col("user_id").alias("reviewer_id"), F.col("event_type").alias("reviewer_name"))
+    return anonymise.anonymise_reviews(rows, SALT)
+
+
+@register("""
+SELECT o_orderkey, o_totalprice, lines, shipped FROM orders JOIN (SELECT l_orderkey, count(*) AS lines, max(l_shipdate) AS shipped
+  FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey""")
+def joined_one_to_one(spark, folder):
+    """Orders beside the totals of their lines, both proven to have one row per order."""
+    totals = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("lines"), F.max("l_shipdate").alias("shipped"))
+    return quality.join_one_to_one(
+        table(spark, folder, "orders", "o_orderkey", "o_totalprice"), totals, ["o_orderkey"])
+
+
+@register("""
+SELECT count(*) AS rows, count(DISTINCT p_brand) AS query_groups, CAST(2 AS BIGINT) AS features FROM part""")
+def checked_feature_table(spark, folder):
+    """A feature table that passes every check, with its headline counts."""
+    rows = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("query_group"), F.col("p_type").alias("cluster_id"),
+        (F.col("p_size") % 5).alias("grade"), F.col("p_retailprice").alias("blocked_fraction_90"), "p_size", "p_name")
+    counts = assemble.check_feature_table(rows)
+    return spark.createDataFrame([tuple(counts.values())], "rows long, query_groups long, features long")
+
+
+@register("SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0")
+def sealed_candidates(spark, folder):
+    """Candidates that the guard lets through: all of them lie in the sealed fold."""
+    rows = table(spark, folder, "customer").withColumn("fold", F.col("c_nationkey") % 5)
+    return quality.require_sealed(rows.filter("fold = 0"), "fold").select("c_custkey")
 
 
 @register("""

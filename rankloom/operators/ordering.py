@@ -81,7 +81,8 @@ def _running_total_in_pieces(df, group, order, weight, before, total):
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
     placed = placed.withColumn("_amount", amount)
 
-    pieces = placed.groupBy(*group, "_piece").agg(F.sum("_amount").alias("_in_piece"))
+    pieces = placed.groupBy(*group, "_piece").agg(
+        F.sum("_amount").alias("_in_piece"), F.count(F.lit(1)).alias("_piece_rows"))
     across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = across.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_shift", F.sum("_in_piece").over(earlier))
@@ -101,8 +102,9 @@ def _running_total_in_pieces(df, group, order, weight, before, total):
         .withColumn(before, F.col("_inside") + F.coalesce("_shift", F.lit(0)))
     )
     if total is not None:
-        sums = pieces.groupBy(*group).agg(F.sum("_in_piece").alias(total))
-        out = attach(out, sums, group)
+        sums = pieces.groupBy(*group).agg(
+            F.sum("_in_piece").alias(total), F.sum("_piece_rows").alias("_group_rows"))
+        out = attach(out, sums, group, size="_group_rows")
     kept = [*df.columns, before] + ([total] if total else [])
     return out.select(*kept)
 
@@ -146,9 +148,9 @@ def attach(
 
     The table is counted first, unless ``at_most`` already bounds its rows. Small enough: broadcast, and the rows never move. Otherwise both
     sides are shuffled on (keys, salt), so that the rows of a hot key spread over ``salts`` tasks.
-    ``size`` names a column of the table with the rows per key: then only keys above ``HOT_ROWS``
-    are salted (there can be at most total / ``HOT_ROWS`` of them, few enough to broadcast);
-    without it the whole table is repeated once per salt.
+    ``size`` names a column of the table with the rows per key: keys above ``HOT_ROWS`` are salted
+    (there can be at most total / ``HOT_ROWS`` of them, few enough to broadcast). Without it nothing is
+    repeated, and a skewed key is left to Spark's adaptive join.
     """
     limit = session.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     keys = list(keys)
@@ -162,26 +164,23 @@ def attach(
     if rows <= limit:
         return df.join(F.broadcast(right), match, how).select(*kept)
     # The hint matters: a repeated table looks as small as its files and would be broadcast.
-    if salts <= 1:
+    if salts <= 1 or size is None:
         return df.join(right.hint("merge"), match, how).select(*kept)
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
     lot = F.pmod(F.xxhash64(*plain), F.lit(salts))
     every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    if size is None:
-        salted, copies = df.withColumn("_salt", lot), every
-    else:
-        is_hot = F.col(size) > session.HOT_ROWS
-        hot, hot_keys = session.measured(
-            stats.filter(is_hot).select(*[F.col(c).alias(f"_h_{c}") for c in keys])
-        )
-        if not hot_keys:
-            return df.join(right.hint("merge"), match, how).select(*kept)
-        hot = hot.withColumn("_hot", F.lit(True))
-        on_hot = same([F.col(c) for c in keys], [F.col(f"_h_{c}") for c in keys])
-        flagged = df.join(F.broadcast(hot), on_hot, "left")
-        none = F.lit(0).cast("long")
-        salted = flagged.withColumn("_salt", F.when(F.col("_hot"), lot).otherwise(none))
-        copies = F.when(is_hot, every).otherwise(F.array(none))
+    is_hot = F.col(size) > session.HOT_ROWS
+    hot, hot_keys = session.measured(
+        stats.filter(is_hot).select(*[F.col(c).alias(f"_h_{c}") for c in keys])
+    )
+    if not hot_keys:
+        return df.join(right.hint("merge"), match, how).select(*kept)
+    hot = hot.withColumn("_hot", F.lit(True))
+    on_hot = same([F.col(c) for c in keys], [F.col(f"_h_{c}") for c in keys])
+    flagged = df.join(F.broadcast(hot), on_hot, "left")
+    none = F.lit(0).cast("long")
+    salted = flagged.withColumn("_salt", F.when(F.col("_hot"), lot).otherwise(none))
+    copies = F.when(is_hot, every).otherwise(F.array(none))
     repeated = right.withColumn("_r_salt", F.explode(copies)).hint("merge")
     return salted.join(repeated, match & (F.col("_salt") == F.col("_r_salt")), how).select(*kept)
 

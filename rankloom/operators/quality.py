@@ -57,6 +57,39 @@ def require(df: DataFrame, rules: Mapping[str, Column], weight: str | None = Non
         raise CheckFailed("; ".join(broken))
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with a proof in its own plan that ``keys`` are unique: a repeated key stops the job that reads it.
+
+    Rows are counted per key in the shuffle that a join on the keys needs anyway. Null is a key like any other.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest) if rest else F.lit(True)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.any_value(row).alias("_row"))
+    message = F.concat(F.lit(f"{name}: more than one row with "), F.to_json(F.struct(*keys)))
+    once = F.when(F.col("_times") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return counted.filter(once).select(*keys, *[F.col("_row").getField(c).alias(c) for c in rest])
+
+
+def join_one_to_one(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join two tables whose keys are both unique; if one's are not, the join fails naming the key.
+
+    ``how`` is ``inner``, ``left`` or ``full``. Null keys match null keys. Other columns of the two must differ
+    in name.
+    """
+    keys = list(keys)
+    clash = sorted((set(left.columns) & set(right.columns)) - set(keys))
+    if clash:
+        raise CheckFailed(f"one-to-one join: both sides have {', '.join(clash)}")
+    a = one_per_key(left, keys, "left side")
+    b = one_per_key(right, keys, "right side").withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = ordering.same([F.col(k) for k in keys], [F.col(f"_r_{k}") for k in keys])
+    found = a.join(b, match, how)
+    shown = [F.coalesce(k, f"_r_{k}").alias(k) for k in keys]
+    return found.select(*shown, *[c for c in (*left.columns, *right.columns) if c not in keys])
+
+
 def drop_duplicates_keep_first(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:

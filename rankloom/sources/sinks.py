@@ -52,14 +52,16 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 def table_digest(df: DataFrame) -> DataFrame:
     """One row identifying a table's content whatever order its rows come in: ``rows, digest``.
 
-    Row hashes are summed as exact decimals, so the result does not depend on partitioning.
+    A row is the MD5 of its values as text in order of their names, each with its length (null: ``-``); the
+    first 60 bits are summed exactly, so neither partitioning nor the engine matters.
     """
-    columns = [F.col(c) for c in sorted(df.columns)]
-    row = F.xxhash64(*columns).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("_sum")).select(
-        "rows",
-        F.sha2(F.concat_ws(":", "rows", "_sum"), 256).alias("digest"),
-    )
+    texts = [F.col(c).cast("string") for c in sorted(df.columns)]
+    row = F.md5(F.concat(*[
+        F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("_sum")).select(
+        "rows", F.sha2(F.concat_ws(":", "rows", "_sum"), 256).alias("digest"))
 
 
 def missing_from_cache(wanted: DataFrame, cached: DataFrame, keys: Sequence[str]) -> DataFrame:

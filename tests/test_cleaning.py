@@ -207,3 +207,23 @@ def test_cache_scores_only_what_is_missing(spark):
 
 def test_clean_rules_name_what_they_count(spark):
     assert len(cleaning.counted_listing_rules()) == 6 and len(cleaning.fatal_listing_rules()) == 5
+
+
+def test_one_to_one_join_proves_its_keys(spark):
+    from rankloom.operators import quality
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, x string")
+    right = spark.createDataFrame([(1, 1.0), (3, 3.0), (None, 0.0)], "k int, y double")
+    pick = lambda how: sorted(map(str, map(tuple, quality.join_one_to_one(left, right, ["k"], how).collect())))
+    assert pick("inner") == ["(1, 'a', 1.0)", "(None, 'n', 0.0)"]
+    assert pick("left") == ["(1, 'a', 1.0)", "(2, 'b', None)", "(None, 'n', 0.0)"]
+    assert len(pick("full")) == 4 and "(3, None, 3.0)" in pick("full")
+    for a, b, side in ((left.union(left.limit(1)), right, "left side"), (left, right.union(right), "right side")):
+        with pytest.raises(Exception, match=f"{side}: more than one row with"):
+            quality.join_one_to_one(a, b, ["k"]).collect()
+    with pytest.raises(Exception, match="more than one row"):  # no column of the right side is read
+        quality.join_one_to_one(left, right.union(right), ["k"], "left").count()
+    with pytest.raises(quality.CheckFailed, match="both sides have y"):
+        quality.join_one_to_one(left.withColumn("y", left.k), right, ["k"])
+    empty = quality.join_one_to_one(left.limit(0), right, ["k"])
+    assert empty.columns == ["k", "x", "y"] and empty.count() == 0
