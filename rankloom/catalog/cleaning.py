@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom import session
 from rankloom.catalog.common import TIES, TIES_SQL, r_sql, rnd, rounded, table
 from rankloom.functions import bins, geo, hashing, parsing
-from rankloom.operators import anonymise, assemble, filters, quality, sentiment, spatial
+from rankloom.operators import anonymise, assemble, cleaning, filters, quality, sentiment, spatial
 from rankloom.sources import raw, schemas, sinks
 
 QUERIES, SQL = {}, {}
@@ -107,6 +107,42 @@ def anonymised_reviews(spark, folder):
     return anonymise.anonymise_reviews(rows, SALT)
 
 
+@register("""
+SELECT o_custkey AS id, CAST(floor(o_totalprice) AS DOUBLE) AS price, CAST(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 2.5 END AS DOUBLE) AS bathrooms,
+  o_orderstatus = 'F' AS bathrooms_shared, 'athens' AS city, CAST(o_orderdate AS DATE) AS scrape_date,
+  CAST(12 * (o_custkey % 10) + o_custkey % 12 AS INT) AS host_tenure_months, o_orderpriority = '1-URGENT' AS host_is_superhost,
+  CAST(o_orderdate AS DATE) - 30 AS first_review
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) WHERE nth = 1""")
+def cleaned_listings(spark, folder):
+    """Raw listings typed, their first occurrence per id kept, tenure and bathrooms derived."""
+    orders = table(spark, folder, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    known = {
+        "id": F.col("o_custkey"), "_row": F.col("o_orderkey"), "last_scraped": day,
+        "price": F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 2)),
+        "amenities": F.lit('["Wifi", "Pool"]'), "bathrooms": F.lit(None).cast("double"),
+        "bathrooms_text": F.when(F.col("o_orderstatus") == "F", "1 shared bath").otherwise("2.5 baths"),
+        "host_is_superhost": F.when(F.col("o_orderpriority") == "1-URGENT", "t").otherwise("f"),
+        "first_review": F.date_format(F.date_sub(F.col("o_orderdate").cast("date"), 30), "yyyy-MM-dd"),
+        "hosts_time_as_host_years": F.col("o_custkey") % 10, "hosts_time_as_host_months": F.col("o_custkey") % 12,
+    }
+    declared = schemas.schema(schemas.LISTINGS)
+    rows = orders.select(*[
+        known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in declared], known["_row"].alias("_row"))
+    return cleaning.clean_listings(rows, "athens").select(
+        "id", "price", "bathrooms", "bathrooms_shared", "city", "scrape_date",
+        F.col("host_tenure_months").cast("int").alias("host_tenure_months"), "host_is_superhost", "first_review")
+
+
+@register("SELECT user_id AS listing_id, event_id AS id, CAST(ts AS DATE) AS date, props AS comments FROM events")
+def cleaned_reviews(spark, folder):
+    """Reviews with a typed date."""
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").alias("listing_id"), F.col("event_id").alias("id"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("props").alias("comments"))
+    return cleaning.clean_reviews(rows)
+
+
 @register("""
 SELECT o_orderkey, o_totalprice, lines, shipped FROM orders JOIN (SELECT l_orderkey, count(*) AS lines, max(l_shipdate) AS shipped
   FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey""")
