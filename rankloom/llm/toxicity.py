@@ -28,7 +28,6 @@ from rankloom.llm import common, ngram_join
 
 #: Labelled rows learned from, at most: those with the smallest hash of their id.
 LABELLED_ROWS = 20_000
-LEXICON = 5_000
 #: Toxic training rows a candidate must occur in; how much more often than in clean ones (log odds) and
 #: how surely (half the likelihood-ratio statistic; many thousand candidates are tried) an entry does.
 LEAST_ROWS, LEAST_ODDS, LEAST_EVIDENCE = 4, 1.5, 14.0
@@ -134,10 +133,15 @@ class Lexicon:
 
     def neighbours(self, text: str, start: int, end: int, entry: str) -> tuple[tuple[str, str], tuple[str, str]]:
         """The entry with the word before it and with the word after it."""
-        before = WORD.findall(text[max(0, start - 40) : start])
+        low, high = max(0, start - 40), min(len(text), end + 40)
+        while low and text[low - 1].isalnum():  # no word is cut by the window
+            low -= 1
+        while high < len(text) and text[high].isalnum():
+            high += 1
+        before = WORD.findall(text[low:start])
         while end < len(text) and text[end].isalnum():
             end += 1
-        after = WORD.findall(text[end : end + 40])
+        after = WORD.findall(text[end:high])
         return (fold(before[-1]) if before else "", entry), (entry, fold(after[0]) if after else "")
 
     def found(self, text: str) -> tuple[float, list[str]]:
@@ -233,9 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, limit: int = LABELLED_
         return Lexicon({})
     # Only what occurs in toxic rows can be an entry, so clean rows count nothing else.
     make = lambda text: (f for w in set(words(text)) for f in features(w))
-    found = _counted(rows.where("toxic = 1"), make).where(f"toxic >= {LEAST_ROWS}")
-    found = found.orderBy(F.desc("toxic"), "feature").limit(20 * LEXICON).select("feature", "toxic").collect()
-    candidates = {f: n for f, n in found}
+    # A feature never met in a clean row has the most evidence that its toxic rows can give: fewer rows than
+    # that needs cannot make an entry. The rows learned from bound how many features there are.
+    least = max(LEAST_ROWS, math.ceil(LEAST_EVIDENCE / math.log((toxic + clean) / toxic)))
+    found = _counted(rows.where("toxic = 1"), make).where(f"toxic >= {least}")
+    candidates = {f: n for f, n in found.select("feature", "toxic").collect()}
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
     picked = lambda text: shared.value.intersection(f for w in set(words(text)) for f in features(w))
     in_clean = {f: c for f, _, c in _counted(rows.where("toxic = 0"), picked).collect()}
@@ -248,7 +254,6 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, limit: int = LABELLED_
         shorter = [entry[:n] + "*" for n in BEGINNINGS if n < len(entry.rstrip("*")) or (n == len(entry.rstrip("*")) and not entry.endswith("*"))]
         if all(weights.get(s, 0.0) < strong[entry] - 0.7 for s in shorter):
             weights[entry] = strong[entry]
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1] * candidates[x[0]], x[0]))[:LEXICON])
     lexicon = Lexicon(weights)
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -259,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, limit: int = LABELLED_
                     yield f"{a} {b}"
 
     usual = _counted(rows, phrases).where(f"clean >= {EXCEPTION_ROWS} AND clean > 4 * toxic")
-    lexicon.exceptions = {tuple(p.split(" ", 1)) for p, _, _ in usual.orderBy(F.desc("clean"), "feature").limit(LEXICON).collect()}
+    lexicon.exceptions = {tuple(p.split(" ", 1)) for p, _, _ in usual.collect()}
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,6 +168,30 @@ def test_exceptions_cancel():
     assert lexicon.judged("take out the trash")[1] == [] and lexicon.judged("you trash")[1] == ["trash"]
 
 
+def test_neighbouring_words_are_whole():
+    lexicon = toxicity.Lexicon({"bad": 2.0})
+    long = "x" * 70
+    text = f"{long} bad {long}y"
+    (start, end, _, entry), = lexicon.matches(text)
+    (before, _), (_, after) = lexicon.neighbours(text, start, end, entry)
+    assert len(before) == 70 and len(after) == 71
+
+
+def test_every_entry_that_passes_is_kept(spark):
+    """More entries than the 5,000 that were once the limit."""
+    source, hard, soft = random.Random(1), "bcdfghkmnprstv", "aeou"
+    names = [a + b + c + d for a in hard for b in soft for c in hard for d in soft][:2700]
+    names += [a + b + c + d for a in hard for b in soft for c in soft for d in hard][:2700]
+    clean = ["x" + n[::-1] for n in names[:900]]
+    texts = [" ".join(source.sample(names, 340)) for _ in range(700)] + [" ".join(source.sample(clean, 60)) for _ in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 700).cast("int").alias("toxic"))
+    lexicon = toxicity.fit(docs, labels, F.lit(False))
+    assert len(lexicon.weights) > 5000
+    found = toxicity.scored(docs, lexicon).collect()
+    assert all((r.score > 0.7) == (r.doc_id < 700) for r in found)
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = documents(spark, ODD_TEXTS).withColumn("score", F.lit(1)), spark.createDataFrame(
         [(0, 1, 1), (1, 1, 0), (1, 1, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
