@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to clash with no column of ``docs``."""
+    used, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shielded(stage):
+    """A function of ``(docs, ...)`` that returns the columns of ``docs`` and works with columns named ``__...`` itself.
+
+    Columns of ``docs`` so named go by other names while it works.
+    """
+    @wraps(stage)
+    def work(docs: DataFrame, *args, **more) -> DataFrame:
+        own = [c for c in docs.columns if c.startswith("__")]
+        if not own:
+            return stage(docs, *args, **more)
+        away = dict(zip(own, fresh(docs, *(f"kept{c}" for c in own))))
+        back = {v: k for k, v in away.items()}
+        found = stage(docs.withColumnsRenamed(away), *args, **more)
+        return found.withColumnsRenamed(back)
+
+    return work
+
+
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """Rows kept away from learning: crc32 of the id as text falls on ``remainder``. Null ids are held out."""
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % modulus == remainder, F.lit(True))

@@ -336,6 +336,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     return found.select(key, *(F.col("__" + n).alias(n) for n in ADDED))
 
 
+@common.shielded
 def removed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with every benchmark passage cut out of the text; other texts are untouched.
 

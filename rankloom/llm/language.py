@@ -2,9 +2,10 @@
 
 Texts are lower-cased, everything that is not a letter becomes a blank, and pairs and triples of
 code points are hashed into ``CELLS`` cells. Training counts (language, cell) inside the tasks and
-adds the counts up with one small shuffle; the log-probabilities form a matrix of CELLS rows and one
-column per language, which is bounded by ``MAX_LANGUAGES`` and broadcast. Scoring gathers the rows
-of the n-grams that occur and sums them per text, many texts at a time.
+adds the counts up with one small shuffle; the log-probabilities form matrices of CELLS rows and one
+column per language, ``BLOCK_LANGUAGES`` at most in each, which are built one after another and
+broadcast. Scoring gathers the rows of the n-grams that occur and sums them per text, many texts at a
+time; with several matrices the texts pass one after another, and carry what the next has to beat.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import session
 from rankloom.llm import common
 
 CELLS = 1 << 15
-MAX_LANGUAGES = 400
+#: Languages of one matrix; at most 52 MB.
+BLOCK_LANGUAGES = 400
 SMOOTHING = 0.5
 #: n-grams after which a text's evidence stops making the score more certain.
 EVIDENCE = 60
@@ -63,30 +67,52 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Model:
+class Block:
+    """Some of the languages."""
+
     languages: list[str]
     prior: np.ndarray
     logs: np.ndarray  # one row for each cell
 
-    def scores(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Best language and its probability for each text."""
+    def judged(self, column: pa.Array) -> dict[str, np.ndarray]:
+        """For each text its best language here and what other blocks need to know (see ``STATE``)."""
         cell, owner, has = grams(column)
         count = len(column)
-        if not self.languages:
-            return [UNDETERMINED] * count, np.zeros(count)
         total = np.zeros((count, len(self.languages)))
-        amount = np.bincount(owner, minlength=count)
+        amount = np.maximum(np.bincount(owner, minlength=count), 1)
         step = max(1, (1 << 21) // len(self.languages))
         for begin in range(0, len(cell), step):
             some = owner[begin : begin + step]
             first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
             total[some[first]] += np.add.reduceat(self.logs[cell[begin : begin + step]], first, axis=0, dtype=np.float64)
-        tempered = self.prior + total * np.minimum(1.0, EVIDENCE / np.maximum(amount, 1))[:, None]
-        best = np.argmax(self.prior + total, axis=1)
-        weight = np.exp(tempered - tempered.max(axis=1, keepdims=True))
-        score = weight[np.arange(count), best] / weight.sum(axis=1)
-        names = [self.languages[b] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist())]
-        return names, np.where(has, score, 0.0)
+        tempered = self.prior + total * np.minimum(1.0, EVIDENCE / amount)[:, None]
+        best, each = np.argmax(self.prior + total, axis=1), np.arange(count)
+        top = tempered.max(axis=1)
+        gain = np.where(amount < EVIDENCE, np.inf, total[each, best] / amount + np.log(CELLS))
+        return {"lang": np.array(self.languages, object)[best], "best": (self.prior + total)[each, best], "own": tempered[each, best],
+                "top": top, "sum": np.exp(tempered - top[:, None]).sum(axis=1), "gain": gain, "has": has}
+
+
+#: Of the blocks so far: best language, its log-probability, the same tempered, the highest tempered one, the
+#: sum of all relative to that, and how much likelier the best makes an n-gram than chance. ``has``: a letter.
+STATE = {"lang": "string", "best": "double", "own": "double", "top": "double", "sum": "double", "gain": "double", "has": "boolean"}
+ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def together(before: dict[str, np.ndarray], now: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """State of two blocks; a tie stays with the first, whose languages sort before."""
+    better = now["best"] > before["best"]
+    out = {k: np.where(better, now[k], before[k]) for k in ("lang", "best", "own", "gain")}
+    out["top"], out["has"] = np.maximum(before["top"], now["top"]), now["has"]
+    out["sum"] = sum(s["sum"] * np.exp(s["top"] - out["top"]) for s in (before, now))
+    return out
+
+
+@dataclass
+class Model:
+    """Learned languages: one broadcast matrix for each block of them, in the order of their names."""
+
+    blocks: list[Broadcast]
 
 
 def counts(labelled: DataFrame) -> DataFrame:
@@ -116,51 +142,81 @@ def counts(labelled: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from every row of ``labelled(text, lang)``; rows without a text, letter or language teach nothing."""
-    rows = counts(labelled.where("lang IS NOT NULL AND text IS NOT NULL"))
-    per_language: dict[str, np.ndarray] = {}
-    for lang, cell, n in rows.toLocalIterator():  # at most MAX_LANGUAGES * (CELLS + 1) rows
-        if lang not in per_language:
-            if len(per_language) == MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
-            per_language[lang] = np.zeros(CELLS + 1)
-        per_language[lang][cell] = n  # the count of texts lands at the end
-    languages = sorted(k for k, v in per_language.items() if v[CELLS] > 0)
-    table = np.array([per_language[k] for k in languages]).reshape(len(languages), CELLS + 1)
-    grams_of = table[:, :CELLS] + SMOOTHING
-    logs = np.log(grams_of / grams_of.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    prior = np.log(table[:, CELLS] / table[:, CELLS].sum()) if languages else np.zeros(0)
-    return Model(languages, prior, np.ascontiguousarray(logs))
+    """Learn from every row of ``labelled(text, lang)``; rows without a text, letter or language teach nothing.
 
-
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``__lang`` and ``__score``: predicted language and its probability.
-
-    A null text, or one without a letter, is ``und`` with score 0, and so is every text when nothing
-    was learned. Ties go to the language that sorts first. All other columns pass unread.
+    The driver holds the names of all languages and the matrix of one block.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = session.stage(counts(labelled.where("lang IS NOT NULL AND text IS NOT NULL")))
+    texts = dict(rows.where("cell = -1").select("lang", "n").collect())  # one row per language
+    languages, every = sorted(k for k, n in texts.items() if n > 0), sum(texts.values())
+    blocks = []
+    for begin in range(0, len(languages), BLOCK_LANGUAGES):
+        some = languages[begin : begin + BLOCK_LANGUAGES]
+        number = {name: nth for nth, name in enumerate(some)}
+        table = np.full((len(some), CELLS), SMOOTHING)
+        for lang, cell, n in rows.where((F.col("cell") >= 0) & F.col("lang").isin(some)).toLocalIterator():
+            table[number[lang], cell] += n
+        logs = np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        prior = np.log(np.array([texts[k] for k in some]) / every)
+        blocks.append(labelled.sparkSession.sparkContext.broadcast(Block(some, prior, np.ascontiguousarray(logs))))
+    return Model(blocks)
+
+
+def _pass(docs: DataFrame, block: Broadcast, names: dict[str, str], first: bool) -> DataFrame:
+    kept = docs.columns if first else [c for c in docs.columns if c not in names.values()]
+    kinds = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in kept]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text"):
-                names, score = shared.value.scores(piece.column("text"))
+                now = block.value.judged(piece.column("text"))
+                if not first:
+                    now = together({k: piece.column(n).to_numpy(zero_copy_only=False) for k, n in names.items()}, now)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    [*piece.schema.names, "__lang", "__score"])
+                    [*(piece.column(c) for c in kept), *(pa.array(now[k], ARROW[t]) for k, t in STATE.items())],
+                    [*kept, *names.values()])
+
+    return docs.mapInArrow(common.released(work), ", ".join([*kinds, *(f"{names[k]} {t}" for k, t in STATE.items())]))
+
 
-    return docs.mapInArrow(common.released(work), f"{kinds}, __lang string, __score double")
+def judged(docs: DataFrame, model: Model) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with a column for each entry of ``STATE``, and the names of these, which no column of ``docs`` has."""
+    names = dict(zip(STATE, common.fresh(docs, *("__" + k for k in STATE))))
+    for nth, block in enumerate(model.blocks):
+        docs = _pass(docs, block, names, nth == 0)
+    return docs, names
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``__lang`` and ``__score``: predicted language and its probability.
+
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text when nothing
+    was learned. Ties go to the language that sorts first. Columns of ``docs`` with the two names are
+    replaced; all others pass unread. Repeated rows are judged once each.
+    """
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("__lang", "__score")]
+    if not model.blocks:
+        return docs.select(*kept, F.lit(UNDETERMINED).alias("__lang"), F.lit(0.0).alias("__score"))
+    found, n = judged(docs.select(*kept), model)
+    return found.select(*kept, F.when(F.col(n["has"]), F.col(n["lang"])).otherwise(UNDETERMINED).alias("__lang"),
+                        F.when(F.col(n["has"]), F.exp(F.col(n["own"]) - F.col(n["top"])) / F.col(n["sum"])).otherwise(0.0).alias("__score"))
 
 
 def training_rows(docs: DataFrame, held: Column) -> DataFrame:
     return docs.where(~held).select("text", "lang")
 
 
-def recognised(docs: DataFrame, held: Column, least: float = 0.25) -> DataFrame:
-    """``docs`` without the texts whose language cannot be told: no letter, or a score below ``least``."""
+def recognised(docs: DataFrame, held: Column, least: float = 0.0) -> DataFrame:
+    """``docs`` without the texts whose language cannot be told.
+
+    Those are texts without a letter (null and empty ones too), and texts whose n-grams their best
+    language makes less than ``least`` (a natural logarithm, on average) likelier than chance over all
+    cells: no language learned explains them. That does not depend on how many were learned. Texts of
+    fewer than ``EVIDENCE`` n-grams have the benefit of the doubt, and so has every text with a letter
+    when nothing was learned. Repeated rows are judged once each; all columns are kept, whatever their names.
+    """
     model = fit(training_rows(docs, held))
-    if not model.languages:
-        return docs
-    found = identified(docs, model).where(f"__lang <> '{UNDETERMINED}' AND __score >= {least}")
-    return found.select(*(f"`{c}`" for c in docs.columns))
+    if not model.blocks:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found, n = judged(docs, model)
+    return found.where(F.col(n["has"]) & (F.col(n["gain"]) >= least)).select(*(f"`{c}`" for c in docs.columns))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rankloom import session
 from rankloom.functions import hashing
+from rankloom.llm import common
 
 WEIGHTS = (5, 2, 1)
 #: Words taken altogether, as a share of all words.
@@ -227,6 +228,7 @@ def shard_pieces(planned: DataFrame, partitions: int) -> DataFrame:
     return every.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
+@common.shielded
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = "0", shards: int = SHARDS,
           **how) -> DataFrame:
     """The mix as documents, in the columns of ``docs``: each document once per pass that takes any of it.

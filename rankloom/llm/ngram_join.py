@@ -434,6 +434,7 @@ def _linked(docs: DataFrame, width: int, numerator: int, denominator: int) -> Da
         "key", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("smallest", "key").alias("component_id"))
 
 
+@common.shielded
 def deduplicated(docs: DataFrame, key: str = "doc_id", width: int = 5, numerator: int = 8, denominator: int = 10) -> DataFrame:
     """One document of each component: the one with the smallest key, all columns kept.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rankloom import session
 from rankloom.functions import hashing
+from rankloom.llm import common
 
 #: Rows numbered by one task.
 NUMBERED_ROWS = 20_000
@@ -137,8 +138,14 @@ def sharded(docs: DataFrame, key: str = "doc_id", shards: int = 16, leaves: list
     return found.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 
+@common.shielded
 def assigned(docs: DataFrame, key: str = "doc_id", shards: int = 16) -> DataFrame:
-    """``docs``, all columns, with ``region``, ``rack``, ``shard`` and ``slot``; columns of those names are replaced."""
+    """``docs``, all columns, with ``region``, ``rack``, ``shard`` and ``slot``; columns of those names are replaced.
+
+    Only ``key`` decides the shard, and a null key is placed as the empty string. Slots follow a hash of the
+    key, ties go by all columns, equal rows take neighbouring slots. Null texts are rows like others; an
+    empty table gives none.
+    """
     kept = [c for c in docs.columns if c not in ("region", "rack", "shard", "slot")]
     path = placed(docs.select(*(f"`{c}`" for c in kept)), F.col(f"`{key}`"), regular(shards), "__old")
     path = path.withColumn("__shard", shard_of(F.col("__old"))).withColumn("__order", order_number(F.col(f"`{key}`")))

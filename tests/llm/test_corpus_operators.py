@@ -179,6 +179,74 @@ def test_language_of_odd_rows(spark):
     assert language.identified(docs.where("false"), model).count() == 0
 
 
+ALPHABETS = {f"l{n:03}": "".join(chr(0x400 + 3 * n + k) for k in range(6)) for n in range(7)}
+
+
+def written(rng, lang, words=12):
+    return " ".join("".join(rng.choice(ALPHABETS[lang]) for _ in range(rng.randint(2, 6))) for _ in range(words))
+
+
+def test_languages_in_blocks_score_as_in_one(spark, monkeypatch):
+    rng = random.Random(2)
+    langs = [rng.choice(sorted(ALPHABETS)) for _ in range(150)]
+    docs = documents(spark, [written(rng, k) for k in langs], langs).withColumnRenamed("source", "lang2").drop("lang")
+    docs = docs.withColumnRenamed("lang2", "lang")
+    at_once = {r.doc_id: (r["__lang"], r["__score"]) for r in language.identified(docs, language.fit(docs)).collect()}
+    # Brute force: counts of every (language, cell) and sums of their logarithms.
+    import numpy as np
+    import pyarrow as pa
+
+    rows = docs.select("doc_id", "text", "lang").collect()
+    names, table, cells = sorted(set(langs)), {}, {}
+    for r in rows:
+        cells[r.doc_id] = language.grams(pa.array([r.text]))[0]
+        np.add.at(table.setdefault(r.lang, np.full(language.CELLS, language.SMOOTHING)), cells[r.doc_id], 1)
+    for r in rows:
+        own = {k: np.log(langs.count(k) / len(langs)) + np.log(table[k] / table[k].sum())[cells[r.doc_id]].sum() for k in names}
+        assert at_once[r.doc_id][0] == max(names, key=lambda k: own[k])
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 2)
+    model = language.fit(docs)
+    assert len(model.blocks) == 4
+    clashing = docs.withColumn("__best", F.lit("x")).withColumn("__SUM", F.lit("y")).withColumn("__lang", F.lit("z"))
+    got = language.identified(clashing, model).collect()
+    assert {r["__best"] for r in got} == {"x"}
+    for r in got:
+        assert r["__lang"] == at_once[r.doc_id][0] and abs(r["__score"] - at_once[r.doc_id][1]) < 1e-9
+    kept = language.recognised(clashing, F.lit(False))
+    assert kept.columns == clashing.columns and sorted(kept.collect()) == sorted(clashing.collect())
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(4)
+    langs = [rng.choice(sorted(ALPHABETS)[:2]) for _ in range(80)]
+    texts = [written(rng, k, 30) for k in langs]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(20)]
+    short = ["qzx vkw"]
+    docs = documents(spark, texts + noise + short + [None, "", "1 2 !"], langs + [None] * 24)
+    docs = docs.drop("lang").withColumn("lang", F.col("source"))
+    kept = {r.doc_id for r in language.recognised(docs, F.lit(False)).collect()}
+    assert kept == set(range(80)) | {100}
+    # Without labels nothing is learned: only the texts without a letter go.
+    assert language.recognised(docs, F.lit(True)).count() == 101
+    assert language.recognised(docs.where("false"), F.lit(False)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 50)}" for _ in range(40)) for _ in range(12)] + [None, ""]
+    docs = documents(spark, [*texts, texts[0]]).withColumn("lang", F.lit("en"))
+    names = "__lang __has __h __hash __pair __nth __one __size __copies __spans __items __old __shard __order __slot __range".split()
+    for nth, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(nth))
+    bench = spark.createDataFrame([("b", texts[1])], "item_id string, text string")
+    for got in (language.recognised(docs, F.lit(False)), ngram_join.deduplicated(docs), decontaminate.removed(docs, bench),
+                mixing.mixed(docs, whole=True), shard_tree.assigned(docs)):
+        assert got.columns[: len(docs.columns)] == docs.columns
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(range(len(names)))}
+
+
 def test_counts_of_grams():
     import numpy as np
     import pyarrow as pa
