@@ -82,6 +82,7 @@ class Page:
         self.controls: list[int] = []  # the element each control lies in
         self.text: list[tuple[int, str, bool]] = []  # element, text, whether inside a link
         self.open, self.skipped, self.links = [0], 0, 0
+        self.depths: dict[str, list[int]] = {}  # where in `open` the elements of a name are
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -125,6 +126,7 @@ class Page:
                 self._end_open(other, {"ul", "ol", "dl", "table"})
         self.parent.append(self.open[-1])
         self.name.append(name)
+        self.depths.setdefault(name, []).append(len(self.open))
         self.open.append(len(self.name) - 1)
         values = [(k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(rest)] if rest.strip() else []
         labels = [v for k, v in values if k in ("class", "id", "role", "aria-label")]
@@ -143,31 +145,30 @@ class Page:
         if name == "a":
             self.links += 1
 
+    def _last(self, name: str) -> int:
+        """Depth of the innermost open ``name``, 0 without one."""
+        depths = self.depths.get(name)
+        return depths[-1] if depths else 0
+
     def _end_open(self, name: str, until: frozenset | set) -> None:
         """Close the nearest open ``name`` that no element of ``until`` separates from here."""
-        for depth in range(len(self.open) - 1, 0, -1):
-            own = self.name[self.open[depth]]
-            if own == name:
-                self._pop(depth)
-                return
-            if own in until:
-                return
+        depth = self._last(name)
+        if depth and depth >= max(map(self._last, until)):
+            self._pop(depth)
 
     def _close(self, name: str) -> None:
         if name == "p":
             self._end_open("p", SCOPE)
-            return
-        for depth in range(len(self.open) - 1, 0, -1):
-            own = self.name[self.open[depth]]
-            if own == name:
-                self._pop(depth)
-                return
-            if own in SCOPE and name not in BLOCK:
-                return  # an inline end tag does not close the block around it
+        elif name in BLOCK:
+            self._end_open(name, {name})
+        else:  # an inline end tag does not close the block around it
+            self._end_open(name, SCOPE)
 
     def _pop(self, depth: int) -> None:
         while len(self.open) > depth:
-            if self.name[self.open.pop()] == "a":
+            name = self.name[self.open.pop()]
+            self.depths[name].pop()
+            if name == "a":
                 self.links -= 1
             if self.skipped:
                 self.skipped -= 1

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,14 @@ def test_em_recovers_reliabilities():
     assert abs(1 / (1 + math.exp(-prior["tel"])) - 0.4) < 0.05
     for (yes, no), found in zip(rates, odds):
         assert abs(found[2] - math.log(yes / no)) < 0.25
+
+
+@pytest.mark.parametrize("piece", ["<h1>x", "<b>x</i>", "<div>a", "<a href=x>y", "<li>x", "<p>x</div>", "<td>x</tr>"])
+def test_long_odd_markup_is_read_in_linear_time(piece):
+    def seconds(size):
+        began = time.perf_counter()
+        html_text.main_text(piece * (size // len(piece)))
+        return time.perf_counter() - began
+
+    seconds(20_000)
+    assert seconds(1_000_000) < 200 * max(seconds(50_000), 0.02)
