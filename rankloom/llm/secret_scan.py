@@ -1,15 +1,18 @@
 """Secret scan: fixed patterns, and novelty measured by a primed compressor.
 
-Beside three patterns (assignments, access keys, long hexadecimal runs) every long token near a word
-of secrecy is measured: how many bytes does zstandard need for it on top of the text before it, when
-primed with a dictionary of identifiers and that surrounding text? Names, paths and version strings
-are made of pieces the compressor has seen and cost little; random keys cost nearly their entropy.
+Beside three patterns (assignments, access keys, long hexadecimal runs) every long token with a word
+of secrecy on either side is measured: how many bytes does zstandard need for it on top of the text
+around it, when primed with a dictionary of identifiers? Random strings of the token's own length and
+alphabet are measured in the same place. Names, paths and words are made of pieces and letters that
+the compressor has seen and cost less than those; keys cost as much.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,13 +29,30 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SENSITIVE = re.compile(
     r"(?ai:pass|pwd|secret|token|api|key|auth|bearer|credential|private|signature|session|cookie|access|login|salt|seed)")
-#: Code points before a token that are its context: for the word of secrecy, and for the compressor.
-NEAR, AROUND = 48, 512
-#: Compressed bytes a token must add, for each of its own. Keys of mixed letters and digits add all of theirs.
-NOVELTY = 0.92
+#: Code points on each side of a token that are its context: for the word of secrecy, and for the compressor.
+NEAR, AROUND = 64, 256
+#: A token is novel from this share of the bytes that random strings of its kind cost.
+NOVELTY = 0.87
+#: What follows token and random string while they are measured: sizes are whole bytes, the mean over these is finer.
+TAILS = ("", "e", "7", "xQ", "t,", "0=k", " no", "Vb2_")
+#: A token longer than this is measured with the first two only; its rounding matters less.
+LONG = 64
+CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "+/_=-")
+#: Alphabets smaller than the classes their letters belong to.
+NARROW = (string.digits, "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567")
+#: Ordinary text before every context, so that a short one has letters to learn from too.
+GROUND = """The service reads its settings once and keeps them while it runs. Every request names the account it belongs to,
+and the handler answers with a status and a short message. def load(path, default=None):
+    with open(path) as handle:
+        for line in handle:
+            name, value = line.strip().split('=', 1)
+            settings[name] = value or default
+    return settings
+# Dates, sizes and versions are written as 2024-05-17, 1048576 and 3.11.2; limits follow below.
+"""
 
 # Identifiers and phrases common in code and settings; they prime the compressor.
 IDENTIFIERS = """
@@ -64,14 +84,31 @@ def prime() -> zstandard.ZstdCompressionDict:
 
 @lru_cache(maxsize=1)
 def compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=prime(), write_content_size=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(level=19, dict_data=prime(), write_content_size=False, write_dict_id=False)
+
+
+def alphabet(token: str) -> str:
+    used = set(token)
+    for narrow in NARROW:
+        if used <= set(narrow):
+            return narrow
+    return "".join(c for c in CLASSES if used & set(c))
 
 
-def novelty(before: str, token: str) -> float:
-    """Compressed bytes that ``token`` adds to ``before``, over its own bytes."""
-    head, own = before.encode(), token.encode()
-    shorter, longer = compressor().compress(head), compressor().compress(head + own)
-    return (len(longer) - len(shorter)) / max(1, len(own))
+def novelty(around: str, token: str) -> float:
+    """Compressed bytes that ``token`` adds to ``around``, over what random strings of its length and alphabet add."""
+    head, draws, letters, size = (GROUND + around).encode(), random.Random(token), alphabet(token), compressor().compress
+    own = rivals = 0
+    for tail in TAILS if len(token) <= LONG else TAILS[:2]:
+        before = len(size(head + tail.encode()))
+        own += len(size(head + (token + tail).encode())) - before
+        rivals += len(size(head + ("".join(draws.choices(letters, k=len(token))) + tail).encode())) - before
+    return own / max(1, rivals)
+
+
+def surrounding(text: str, start: int, end: int) -> str:
+    """Text on both sides of a token, without further copies of it."""
+    return (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).replace(text[start:end], "")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,16 +123,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible tokens in a sensitive context that no known span touches."""
-    found = []
+    """Incompressible tokens in a sensitive context that no known span touches. ``known`` is in order of its starts."""
+    found, nth, reach = [], 0, 0
     for match in TOKEN.finditer(text):
         start, end = match.span()
-        token = match[0]
-        if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+        while nth < len(known) and known[nth][0] < end:
+            reach = max(reach, known[nth][1])
+            nth += 1
+        if reach > start:
             continue
-        if any(s < end and start < e for s, e, _ in known):
+        if not SENSITIVE.search(text, max(0, start - NEAR), start) and not SENSITIVE.search(text, end, end + NEAR):
             continue
-        if SENSITIVE.search(text, max(0, start - NEAR), start) and novelty(text[max(0, start - AROUND) : start], token) >= NOVELTY:
+        if novelty(surrounding(text, start, end), match[0]) >= NOVELTY:
             found.append((start, end, 3))
     return found
 
@@ -107,8 +146,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scanned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, n_assign, n_access, n_hex, base_sha256, spans`` of every document; ends are exclusive code points.
 
-    A null text reads as empty and has no span. Repeated rows are scanned once each, null keys pass.
-    Other columns are not read.
+    ``spans`` lists the base spans and the novel tokens that touch none of them. A null text reads as
+    empty and has no span. Repeated rows are scanned once each, null keys pass. Other columns are not read.
     """
     docs = docs.select(key, "text")
 

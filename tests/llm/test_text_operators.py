@@ -234,6 +234,41 @@ def test_novelty_tells_keys_from_names():
     assert secret_scan.novel_spans("nothing near xK9vQ2mZ7pLw4RtB8sYh3NcD", []) == []
 
 
+CODE = "def connect(host, port):\n    client = Client(host=host, port=port, timeout=30)\n    client.headers[name] = str(value)\n    return client\n" * 4
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+KEY_ALPHABETS = ["0123456789ABCDEF", LETTERS + "0123456789", LETTERS + LETTERS.upper() + "0123456789", LETTERS + LETTERS.upper(),
+                 LETTERS.upper() + "234567"]
+
+
+@pytest.mark.parametrize("letters", KEY_ALPHABETS)
+@pytest.mark.parametrize("size", [14, 20, 32])
+def test_random_keys_are_novel_in_every_alphabet(letters, size):
+    rng, found = random.Random(size), 0
+    for n in range(100):
+        key = "".join(rng.choice(letters) for _ in range(size))
+        text = ["the api key is " + key, CODE + "key: " + key, CODE + key + " is our login", key + " (session)"][n % 4]
+        start = text.index(key)
+        found += (start, start + size, 3) in secret_scan.novel_spans(text, [])
+    assert found >= 90
+
+
+def test_names_and_words_are_not_novel():
+    names = """getElementByIdentifier user_account_settings_page /usr/local/share/applications com/example/project/module
+        BaseRequestHandlerFactory authenticationManager version-1-2-3-release my-service-deployment organizationalUnit
+        responsibilities characteristics implementation documentation administration international understanding
+        nevertheless straightforward telecommunications recommendations configuration authentication misunderstanding
+        Zusammenarbeit Geschwindigkeit Verantwortung responsabilidad desarrolladores environmental""".split()
+    wrong = [n for n in names for text in (f"the password is {n}", f"{CODE}key {n}") if secret_scan.novel_spans(text, [])]
+    assert len(wrong) <= 0.05 * 2 * len(names), wrong
+
+
+def test_tokens_that_touch_known_spans_are_left_out():
+    text = "token=" + "q8Zr" * 5 + " and secret Kx83jQpL02vbTz7W then hex deadbeefdeadbeef00 key"
+    known = secret_scan.base_spans(text)
+    spans = secret_scan.novel_spans(text, known)
+    assert [text[s:e] for s, e, _ in spans] == ["Kx83jQpL02vbTz7W"] and len(known) == 2
+
+
 def test_secrets_of_odd_rows(spark):
     docs = documents(spark, [*ODD_TEXTS, "password=abcdefghijklmnop"]).withColumn("spans", F.lit(1))
     got = {r.doc_id: r for r in secret_scan.scanned(docs).collect()}
