@@ -124,13 +124,15 @@ def comparison_table(
     """One row per (slice, ranker): level with interval, slice floor, range share and the paired
     difference against ``reference`` with its interval.
 
+    Without ``floor`` the slice floor is the exact expectation of a random order.
+
     Degenerate groups are degenerate for every ranker, so all rankers of a slice share the same
     groups and, through :func:`metrics.bootstrap_means`, the same resamples.
     """
     if reference is not None and reference not in scores:
         raise KeyError(f"reference {reference!r} is not one of the rankers: {sorted(scores)}")
     if floor is None:
-        floor = random_floor(df, group, grade, ties, k, seed=seed)
+        floor = expected_floor(df, group, grade, k)
     held, _ = ordering.session.measured(
         per_group_table(df, group, grade, scores, ties, k, breakdown)
     )

@@ -39,7 +39,7 @@ def run(
         scored, [group], price, rating, name="_price_rating"
     )
     scored = session.stage(split.group_size_band(scored, group))
-    floor = session.stage(report.random_floor(scored, [group], settings.grade, ids, settings.k))
+    floor = session.stage(report.expected_floor(scored, [group], settings.grade, settings.k))
 
     oof, cv = ranker.cross_validate(scored, "fold", settings, folds)
     rounds = ranker.median_round(cv)
