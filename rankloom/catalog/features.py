@@ -355,8 +355,7 @@ def nearest_supplier(spark, folder):
         spatial.point_columns(F.col("s_suppkey"))
     )
     out = spatial.nearest_of_table(
-        customers, suppliers, ["c_custkey"], "c_nationkey", "s_nationkey", "latitude",
-        "longitude", "latitude", "longitude", "km",
+        customers, suppliers, "c_nationkey", "s_nationkey", "latitude", "longitude", "latitude", "longitude", "km",
     )
     return out.select("c_custkey", "km")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import session
-from rankloom.functions.geo import east_km, haversine_km, north_km
+from rankloom.functions.geo import EARTH_RADIUS_KM, east_km, haversine_km, north_km
 from rankloom.operators import ordering, quality
 from rankloom.operators.neighbourhood import NEIGHBOURHOOD_KEY
 from rankloom.sources.schemas import ANCHORS
@@ -17,6 +17,8 @@ DISTANCE_PRECISION = 2
 DENSITY_RADIUS_KM = 1.0
 #: Distinct points of a cell that is compared point by point.
 LEAF_POINTS = 32
+#: Distinct anchors of a cube that are offered to the places near it one by one.
+LEAF_ANCHORS = 64
 #: Cells are cut no further: a thousandth of a millionth of the radius.
 DEEPEST = 30
 
@@ -51,10 +53,68 @@ def nearest_anchor(
     return df.withColumn(name, F.bround(nearest, DISTANCE_PRECISION))
 
 
+def in_space(lat: str, lon: str) -> dict[str, Column]:
+    """A position as km from the centre of the earth. Straight lines order pairs of places as great
+    circles do, and space has neither a seam at 180 degrees nor poles."""
+    north, east = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    radius = F.lit(EARTH_RADIUS_KM)
+    return {"_x": radius * F.cos(north) * F.cos(east), "_y": radius * F.cos(north) * F.sin(east),
+            "_z": radius * F.sin(north)}
+
+
+def cube_at(level: int | Column) -> list[Column]:
+    """The cube of a place at a level; cubes nest exactly, because they are halved by powers of two."""
+    scale = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+    return [F.floor(F.col(u) * scale).alias(c) for u, c in (("_u", "_cx"), ("_v", "_cy"), ("_w", "_cz"))]
+
+
+def _cubes(places: DataFrame, level: int, side: str) -> DataFrame:
+    """Cubes that hold anything, named by the side (``t``, ``s``) they have in a pair, with their distinct places."""
+    return places.groupBy("_m", *cube_at(level)).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_m").alias(f"_{side}m"), F.col("_cx").alias(f"_{side}x"), F.col("_cy").alias(f"_{side}y"),
+        F.col("_cz").alias(f"_{side}z"), F.col("_n").alias(f"_{side}n"))
+
+
+def _within_bound(pairs: DataFrame, level: int, leaf_anchors: int) -> DataFrame:
+    """Pairs of cubes that may hold a nearest anchor, staged. ``_bound``: some anchor is at least so near to all
+    places of the target cube (squared, in sides of a cube), the best of its own pairs and its parents'."""
+    apart = [F.abs(F.col(f"_t{c}") - F.col(f"_s{c}")).cast("double") for c in "xyz"]
+    least = sum((F.pow(F.greatest(d - 1, F.lit(0.0)), F.lit(2)) for d in apart), F.lit(0.0))
+    most = sum((F.pow(d + 1, F.lit(2)) for d in apart), F.lit(0.0))
+    target = Window.partitionBy("_tm", "_tx", "_ty", "_tz")
+    bounded = pairs.withColumn("_bound", F.least(F.col("_bound") * 4, F.min(most).over(target)))
+    leaf = (F.col("_sn") <= leaf_anchors) | F.lit(level >= DEEPEST)
+    return session.stage(bounded.filter(least <= F.col("_bound") * (1 + 1e-9)).select(
+        F.col("_tm").alias("_m"), F.lit(level).alias("_level"), "_tx", "_ty", "_tz", "_sx", "_sy", "_sz",
+        "_bound", leaf.alias("_leaf")))
+
+
+def nearest_candidates(targets: DataFrame, spots: DataFrame, leaf_anchors: int = LEAF_ANCHORS) -> list[DataFrame]:
+    """Pairs of cubes, a table per level, whose leaves hold a nearest anchor of every target place.
+
+    Both frames hold distinct places: a market ``_m`` and ``_u, _v, _w`` in [0, 1). A pair is dropped as
+    soon as another anchor is surely nearer to the whole target cube, is a leaf when few anchors are left
+    in it, and is cut in eight on both sides otherwise.
+    """
+    first = _cubes(targets, 0, "t").join(_cubes(spots, 0, "s"), F.col("_tm") == F.col("_sm"))
+    tables = [_within_bound(first.withColumn("_bound", F.lit(float("inf"))), 0, leaf_anchors)]
+    while not tables[-1].filter("NOT _leaf").isEmpty():
+        level = len(tables)
+        cut = tables[-1].filter("NOT _leaf").select("_bound", F.col("_m").alias("_pm"), *[
+            F.col(f"_{side}{c}").alias(f"_p{side}{c}") for side in "ts" for c in "xyz"])
+        pairs = cut
+        for side, places in (("t", targets), ("s", spots)):
+            inside = F.col("_pm") == F.col(f"_{side}m")
+            for c in "xyz":
+                inside &= F.col(f"_p{side}{c}") == F.shiftright(f"_{side}{c}", 1)
+            pairs = pairs.join(_cubes(places, level, side), inside)
+        tables.append(_within_bound(pairs, level, leaf_anchors))
+    return tables
+
+
 def nearest_of_table(
     df: DataFrame,
     anchors: DataFrame,
-    key: Sequence[str],
     market: str,
     anchor_market: str,
     lat: str,
@@ -62,19 +122,56 @@ def nearest_of_table(
     anchor_lat: str,
     anchor_lon: str,
     name: str = "km_to_nearest_anchor",
+    leaf_anchors: int = LEAF_ANCHORS,
 ) -> DataFrame:
-    """The same for anchors held in a table: equi-join on the market, then a minimum per row key."""
-    pairs = df.select(*key, market, lat, lon).join(
-        anchors.select(
-            F.col(anchor_market).alias("_m"),
-            F.col(anchor_lat).alias("_alat"),
-            F.col(anchor_lon).alias("_alon"),
-        ),
-        F.col(market) == F.col("_m"),
-    )
-    distance = haversine_km(F.col(lat), F.col(lon), F.col("_alat"), F.col("_alon"))
-    nearest = pairs.groupBy(*key).agg(F.bround(F.min(distance), DISTANCE_PRECISION).alias(name))
-    return ordering.attach(df, nearest, list(key))
+    """The same for anchors held in a table, of any number.
+
+    Rows at one place collapse first. Each market is a cube in space, cut where it has to be (see
+    :func:`nearest_candidates`), so a place meets the few anchors near its own bound and never all
+    anchors of its market. Rows without a market, a position or an anchor in their market get null.
+    """
+    def placed(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+        of, north, east = columns
+        known = F.col(of).isNotNull()
+        for c in (north, east):
+            known &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        found = rows.filter(known).groupBy(
+            F.col(of).alias("_m"), F.col(north).cast("double").alias("_lat"), F.col(east).cast("double").alias("_lon"))
+        return found.agg(F.count(F.lit(1)).alias("_here")).withColumn("_side", F.lit(side)).withColumns(in_space("_lat", "_lon"))
+
+    places = placed(df, "t", market, lat, lon).unionByName(placed(anchors, "s", anchor_market, anchor_lat, anchor_lon))
+    places = ordering.with_group_stats(
+        places, ["_m"], [f(c).alias(f"{c}{end}") for c in ("_x", "_y", "_z") for f, end in ((F.min, "0"), (F.max, "1"))])
+    span = F.greatest(*[F.col(f"{c}1") - F.col(f"{c}0") for c in ("_x", "_y", "_z")], F.lit(1e-9)) * (1 + 1e-9)
+    places, rows = session.measured(places.select(
+        "_side", "_m", "_lat", "_lon", "_here",
+        *[((F.col(c) - F.col(f"{c}0")) / span).alias(u) for c, u in (("_x", "_u"), ("_y", "_v"), ("_z", "_w"))]))
+    targets, spots = places.filter("_side = 't'"), places.filter("_side = 's'")
+    tables = nearest_candidates(targets, spots, leaf_anchors)
+    leaves = tables[0].filter("_leaf")
+    for table in tables[1:]:
+        leaves = leaves.unionByName(table.filter("_leaf"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1)))
+
+    def at_levels(side: DataFrame) -> DataFrame:
+        standing = session.spread(side, rows * len(tables), "_m", "_lat", "_lon").withColumn("_at", levels)
+        return standing.select(F.col("_m").alias("_pm"), "_lat", "_lon", "_at", *cube_at(F.col("_at")))
+
+    def inside(side: str) -> Column:
+        return ((F.col("_pm") == F.col("_m")) & (F.col("_at") == F.col("_level")) & (F.col("_cx") == F.col(f"_{side}x"))
+                & (F.col("_cy") == F.col(f"_{side}y")) & (F.col("_cz") == F.col(f"_{side}z")))
+
+    offered = at_levels(spots).join(leaves, inside("s")).select(
+        "_m", "_level", "_tx", "_ty", "_tz", F.col("_lat").alias("_alat"), F.col("_lon").alias("_alon"))
+    offered, size = session.measured(offered)
+    offered = F.broadcast(offered) if size <= session.BROADCAST_ROWS else offered.hint("merge")
+    met = at_levels(targets).join(offered, inside("t"))
+    distance = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_alat"), F.col("_alon"))
+    nearest = met.groupBy(F.col("_pm").alias("_m"), "_lat", "_lon").agg(
+        F.bround(F.min(distance), DISTANCE_PRECISION).alias(name))
+    nearest = targets.join(nearest, ["_m", "_lat", "_lon"]).select("_m", "_lat", "_lon", "_here", name)
+    keyed = df.withColumns({"_m": F.col(market), "_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
+    return ordering.attach(keyed, nearest, ["_m", "_lat", "_lon"], size="_here").select(*df.columns, name)
 
 
 def centroid_distance(

@@ -228,6 +228,49 @@ def test_anchor_and_centroid(spark):
         spatial.nearest_anchor(df.withColumn("city", F.lit("paris")))
 
 
+def test_nearest_anchor_of_a_table_equals_brute_force(spark):
+    """Clustered anchors, a seam at 180 degrees, a pole, repeats, nulls and a market without anchors."""
+    import numpy as np
+
+    source = np.random.default_rng(3)
+    rows, anchors = [], []
+    for market, lat, lon in (("town", 37.9, 23.7), ("seam", -17.0, 179.95), ("pole", 89.9, 0.0)):
+        for held, n in ((rows, 700), (anchors, 500)):
+            spread = source.random(n) / 10
+            north = np.minimum(lat + spread, 90.0)
+            east = (lon + source.random(n) * (360 if market == "pole" else 0.1) + 180) % 360 - 180
+            tight = source.random(n) < 0.5
+            held += [(market, float(lat + 0.03 if t else a), float(b)) for a, b, t in zip(north, east, tight)]
+    rows += rows[:50] + [("none", 1.0, 1.0), (None, 37.9, 23.7), ("town", None, 23.7), ("town", float("nan"), 23.7)]
+    anchors += anchors[:50] + [(None, 37.9, 23.7), ("town", None, 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, m string, lat double, lon double")
+    table = spark.createDataFrame(anchors, "am string, alat double, alon double")
+    out = spatial.nearest_of_table(df, table, "m", "am", "lat", "lon", "alat", "alon", "km", leaf_anchors=8)
+    assert out.columns == ["id", "m", "lat", "lon", "km"]
+    found = {r.id: r.km for r in out.collect()}
+    assert len(found) == len(rows) and [found[i] for i in range(len(rows) - 4, len(rows))] == [None] * 4
+    for i, (market, lat, lon) in enumerate(rows[:-4]):
+        near = np.radians([(a, b) for m, a, b in anchors if m == market and a is not None])
+        half = np.sin((near - np.radians((lat, lon))) / 2) ** 2
+        inner = half[:, 0] + math.cos(math.radians(lat)) * np.cos(near[:, 0]) * half[:, 1]
+        assert found[i] == pytest.approx(2 * 6371.0088 * math.asin(math.sqrt(inner.min())), abs=0.00501)
+
+
+def test_nearest_anchor_meets_few_anchors(spark):
+    grid = spark.range(4096).select(
+        F.lit("a").alias("_m"), (F.col("id") % 64 / 64).alias("_u"), (F.floor(F.col("id") / 64) / 64).alias("_v"), F.lit(0.0).alias("_w"))
+    tables = spatial.nearest_candidates(grid, grid.withColumn("_u", F.col("_u") + 0.001), 8)
+    leaves = sum(t.filter("_leaf").count() for t in tables)
+    assert len(tables) > 4 and leaves * 8 < 4096 * 64
+
+
+def test_nearest_anchor_of_empty_tables(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0)], "m string, lat double, lon double")
+    for left, right in ((df, df.limit(0)), (df.limit(0), df)):
+        out = spatial.nearest_of_table(left, right, "m", "m", "lat", "lon", "lat", "lon", "km").collect()
+        assert [r.km for r in out] == [None] * left.count()
+
+
 def test_group_median_of_empty_group(spark):
     df = spark.createDataFrame([("a", None)], "g string, v double")
     assert ordering.group_median(df, ["g"], "v").count() == 0
