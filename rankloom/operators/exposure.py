@@ -198,22 +198,22 @@ def simulate_arms(
 ) -> DataFrame:
     """Control against narrowed retrieval for each ``k_geo``: means over searches per arm.
 
-    A candidate belongs to every arm whose ``k_geo`` reaches its place's rank, so all arms come
-    from one ranked table of places and one pass over the candidates. Rows below the first screen
-    of every arm never leave the map tasks.
+    A screen of places is drawn from the first screens of the places: each (search, place) keeps its
+    ``k`` best once, inside the map tasks, and only those few meet the arms whose ``k_geo`` reaches their
+    place. Candidates are read once for them and once for the counts per place, and are never copied.
     """
-    places = ranked_geographies(candidates, prior, search, city, geo, limit=max(k_geos))
     keep = list(dict.fromkeys([*search, geo, grade, cold, score, *ties]))
-    placed = ordering.attach(candidates.select(*keep), places, [*search, geo])
-    arms = F.concat(
-        F.array(F.lit(0)),
-        F.filter(
-            F.array(*[F.lit(x) for x in k_geos]), lambda x: F.col("geo_rank") <= x
-        ),
-    )
-    widened = placed.withColumn("_arm", F.explode(F.coalesce(arms, F.array(F.lit(0)))))
-    screens = screen_composition(widened, ["_arm", *search], geo, grade, cold, score, ties, k)
-    sizes = widened.groupBy("_arm", *search).agg(F.count(F.lit(1)).alias("_size"))
+    places = ranked_geographies(candidates, prior, search, city, geo, limit=max(k_geos))
+    places, ranked = ordering.session.measured(places)
+    within = F.filter(F.array(*[F.lit(x) for x in k_geos]), lambda x: F.col("geo_rank") <= x)
+    # Arm 0 is the control; a place that no arm reaches stands in it alone.
+    arms = F.explode(F.concat(F.array(F.lit(0)), F.coalesce(within, F.array().cast("array<int>")))).alias("_arm")
+    best = metrics.first_rows(candidates.select(*keep), [*search, geo], score, ties, k).select(*keep)
+    best = ordering.attach(best, places, [*search, geo], at_most=ranked)
+    screens = screen_composition(best.select(*keep, arms), ["_arm", *search], geo, grade, cold, score, ties, k)
+    counted = candidates.groupBy(*search, geo).agg(F.count(F.lit(1)).alias("_here"))
+    counted = ordering.attach(counted, places, [*search, geo], at_most=ranked)
+    sizes = counted.select(*search, "_here", arms).groupBy("_arm", *search).agg(F.sum("_here").alias("_size"))
     medians = ordering.group_median(sizes, ["_arm"], "_size", "_median")
     names = ["mean_grade", "relevant_share", "distinct_geos", "cold_share", "deserving_cold_share"]
     means = screens.groupBy("_arm").agg(
