@@ -81,7 +81,7 @@ _RK = ("rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.
 def pearson_matrix(spark, folder):
     """Pairwise Pearson correlations."""
     out = stats.correlation_matrix(table(spark, folder, "lineitem"), _COLUMNS)
-    return rounded(out.drop("p_value"), "r")
+    return rounded(out, "r")
 
 
 @register("WITH k AS (SELECT " + ", ".join(_RK.format(c=c) for c in _COLUMNS) + " FROM lineitem) " + " UNION ALL ".join(
@@ -89,13 +89,13 @@ def pearson_matrix(spark, folder):
 def spearman_matrix(spark, folder):
     """Pairwise rank correlations with averaged ties."""
     out = stats.correlation_matrix(table(spark, folder, "lineitem"), _COLUMNS, "spearman")
-    return rounded(out.drop("p_value"), "r")
+    return rounded(out, "r")
 
 
 @register()
 def correlation_significance(spark, folder):
     """The same with two-sided p-values."""
-    out = stats.correlation_matrix(table(spark, folder, "lineitem"), _COLUMNS)
+    out = stats.correlation_significance(table(spark, folder, "lineitem"), _COLUMNS)
     return rounded(out, "r", "p_value")
 
 

@@ -1,45 +1,61 @@
-"""Univariate and bivariate statistics. Everything reduces to moments and histograms on Spark; the
-tail probabilities are applied to the finished result rows only."""
+"""Univariate and bivariate statistics. Everything reduces to moments and histograms on Spark; p-values
+come from the tests of Spark ML, which read the rows once more."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
-import pandas as pd
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.functions import tails
 from rankloom.functions.bins import cut_ordinal
 from rankloom.operators import ordering
 
+#: Spark's tests take at most so many levels of a category; above, there is no p-value (null).
+MOST_LEVELS = 10_000
 
-@F.pandas_udf(T.DoubleType())
-def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) else tails.correlation_p(float(a), int(b)) for a, b in zip(r, n)]
-    )
 
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(columns), outputCol="_vector").transform(df)
 
-@F.pandas_udf(T.DoubleType())
-def chi2_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([tails.chi2_upper(float(a), float(b)) for a, b in zip(statistic, dof)])
 
+def _tested(rows: DataFrame, test: str, label: str) -> list[float | None]:
+    """p-values of a test of ``org.apache.spark.ml.stat``, one per entry of ``_vector``; null where undefined.
 
-@F.pandas_udf(T.DoubleType())
-def f_p(statistic: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
-    return pd.Series(
-        [tails.f_upper(float(a), float(b), float(c)) for a, b, c in zip(statistic, between, within)]
-    )
+    Called in the JVM: Python has no wrapper for the tests of variance.
+    """
+    spark = rows.sparkSession
+    test = getattr(spark._jvm.org.apache.spark.ml.stat, test)
+    found = DataFrame(test.test(rows._jdf, "_vector", label, True), spark).orderBy("featureIndex").collect()
+    return [None if math.isnan(r["pValue"]) else r["pValue"] for r in found]
 
 
-@F.pandas_udf(T.DoubleType())
-def t_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(
-        [tails.student_two_sided(float(a), float(b)) for a, b in zip(statistic, dof)]
-    )
+def _numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Levels of a category as the numbers that Spark's tests take."""
+    texts = df.withColumn(f"{name}_text", F.col(column).cast("string"))
+    return StringIndexer(inputCol=f"{name}_text", outputCol=name, stringOrderType="alphabetAsc").fit(texts).transform(texts)
+
+
+def correlation_p(pairs: DataFrame, r: float | None, n: int) -> float | None:
+    """Two-sided p-value of the correlation ``r`` of ``x`` and ``y`` over ``n`` complete pairs.
+
+    The F test of a regression on one feature is the t test of its correlation. Null below three pairs
+    and for a constant column; zero for pairs on a line.
+    """
+    if n < 3 or r is None or math.isnan(r):
+        return None
+    if abs(r) >= 1.0:
+        return 0.0
+    return _tested(_vectors(pairs, ["x"]), "FValueTest", "y")[0]
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over complete pairs; null for a constant column, which ``corr`` divides by zero for."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def skewness_sample(value: str) -> Column:
@@ -107,7 +123,7 @@ def linear_relation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Da
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     return pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(x, y).alias("pearson_r"),
+        correlation(x, y).alias("pearson_r"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r_squared"),
@@ -116,14 +132,23 @@ def linear_relation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Da
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str = "spearman_rho"):
     """Rank correlation per ``by`` over complete pairs, with ``n``."""
+    return complete_pairs(df, x, y, "spearman", by).groupBy(*by).agg(
+        correlation("x", "y").alias(name), F.count(F.lit(1)).alias("n")
+    )
+
+
+def complete_pairs(df: DataFrame, x: str, y: str, method: str, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, x, y`` of the rows that have both: the values, or their ranks with ties averaged."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).alias("_x"), F.col(y).alias("_y")
+        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
+    if method == "pearson":
+        return pairs.select(*by, F.col("_x").alias("x"), F.col("_y").alias("y"))
+    if method != "spearman":
+        raise ValueError(f"unknown method {method!r}")
     ranked = ordering.average_rank(pairs, by, "_x", "_rx")
     ranked = ordering.average_rank(ranked, by, "_y", "_ry")
-    return ranked.groupBy(*by).agg(
-        F.corr("_rx", "_ry").alias(name), F.count(F.lit(1)).alias("n")
-    )
+    return ranked.select(*by, F.col("_rx").cast("double").alias("x"), F.col("_ry").cast("double").alias("y"))
 
 
 def _pairs(columns: Sequence[str]) -> Column:
@@ -143,20 +168,24 @@ def _pairs(columns: Sequence[str]) -> Column:
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str], method: str = "pearson", min_periods: int = 30
 ) -> DataFrame:
-    """One row per column pair: ``a, b, n, r, p_value`` (null below ``min_periods`` pairs)."""
+    """One row per column pair: ``a, b, n, r`` (``r`` is null below ``min_periods`` pairs)."""
     long = df.select(F.explode(_pairs(columns)).alias("_p")).select("_p.*")
-    long = long.filter("x IS NOT NULL AND y IS NOT NULL")
-    if method == "pearson":
-        out = long.groupBy("a", "b").agg(
-            F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")
-        )
-    elif method == "spearman":
-        out = spearman(long, "x", "y", ["a", "b"], "r")
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    enough = F.col("n") >= min_periods
-    out = out.select("a", "b", "n", F.when(enough, F.col("r")).alias("r"))
-    return out.withColumn("p_value", F.when(enough, correlation_p("r", "n")))
+    out = complete_pairs(long, "x", "y", method, ["a", "b"]).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r")
+    )
+    return out.select("a", "b", "n", F.when(F.col("n") >= min_periods, F.col("r")).alias("r"))
+
+
+def correlation_significance(
+    df: DataFrame, columns: Sequence[str], method: str = "pearson", min_periods: int = 30
+) -> DataFrame:
+    """:func:`correlation_matrix` with ``p_value``: a test per pair of columns, over their complete pairs."""
+    held = ordering.session.stage(correlation_matrix(df, columns, method, min_periods))
+    tested = [
+        (r.a, r.b, correlation_p(complete_pairs(df, r.a, r.b, method), r.r, r.n)) for r in held.collect()
+    ]
+    values = df.sparkSession.createDataFrame(tested, "a string, b string, p_value double")
+    return held.join(F.broadcast(values), ["a", "b"])  # one row per pair of columns
 
 
 def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -177,7 +206,8 @@ def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
 def chi_square(df: DataFrame, first: str, second: str, alpha: float = 0.05) -> DataFrame:
     """Independence test with Cramer's V; Yates-corrected for 2x2 tables.
 
-    Empty cells need no rows: sum((o-e)^2/e) equals N (sum(o^2/(r c)) - 1).
+    Empty cells need no rows: sum((o-e)^2/e) equals N (sum(o^2/(r c)) - 1). The p-value is that of Spark's
+    test, and of the normal tail (one degree of freedom) where the statistic is corrected.
     """
     cells, size = ordering.session.measured(contingency(df, first, second))
     rows = cells.groupBy(first).agg(F.min("row_total").alias("m"))
@@ -210,7 +240,8 @@ def chi_square(df: DataFrame, first: str, second: str, alpha: float = 0.05) -> D
         {"chi2": chi2, "dof": (F.col("_r") - 1) * (F.col("_c") - 1)}
     )
     v = F.sqrt(F.col("chi2") / (F.col("n") * (F.least("_r", "_c") - 1)))
-    out = out.withColumn("cramers_v", v).withColumn("p_value", chi2_p("chi2", "dof"))
+    out = ordering.session.stage(out.withColumn("cramers_v", v))
+    out = out.withColumn("p_value", F.lit(_chi_square_p(df, first, second, out.first())).cast("double"))
     effect = (
         F.when(F.col("cramers_v") < 0.1, "negligible").when(F.col("cramers_v") < 0.3, "weak")
         .when(F.col("cramers_v") < 0.5, "moderate").otherwise("strong")
@@ -221,6 +252,17 @@ def chi_square(df: DataFrame, first: str, second: str, alpha: float = 0.05) -> D
     )
 
 
+def _chi_square_p(df: DataFrame, first: str, second: str, found: T.Row) -> float | None:
+    if not found["dof"] or max(found["_r"], found["_c"]) > MOST_LEVELS:
+        return None
+    if found["_r"] == found["_c"] == 2:
+        return math.erfc(math.sqrt(found["chi2"] / 2))
+    held = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
+        F.col(first).alias("_a"), F.col(second).alias("_b"))
+    rows = _vectors(_numbered(_numbered(held, "_a", "_first"), "_b", "_second"), ["_first"])
+    return _tested(rows, "ChiSquareTest", "_second")[0]
+
+
 def group_descriptives(df: DataFrame, category: str, value: str) -> DataFrame:
     """Count, mean, median, std, min and max per category."""
     held = df.filter(F.col(category).isNotNull() & F.col(value).isNotNull())
@@ -249,10 +291,18 @@ def _anova(stats: DataFrame, n: str, mean: str, var: str) -> DataFrame:
     )
 
 
+def _anova_p(df: DataFrame, category: str, values: Sequence[str], levels: int) -> list[float | None]:
+    """p-values of one-way ANOVA, a value column each; null where nothing varies inside the groups."""
+    if levels > MOST_LEVELS:
+        return [None] * len(values)
+    return _tested(_vectors(_numbered(df, category, "_level"), values), "ANOVATest", "_level")
+
+
 def category_effect(df: DataFrame, category: str, value: str, alpha: float = 0.05) -> DataFrame:
     """Welch's t (two groups, Cohen's d) or one-way ANOVA (eta squared), with Levene's test.
 
-    Levene is ANOVA on absolute deviations from the group medians.
+    Levene is ANOVA on absolute deviations from the group medians. Spark has no test for unequal variances:
+    ``p_value`` and ``significant`` are null for Welch's t.
     """
     held = df.filter(F.col(category).isNotNull() & F.col(value).isNotNull()).select(
         category, F.col(value).cast("double").alias(value)
@@ -262,12 +312,12 @@ def category_effect(df: DataFrame, category: str, value: str, alpha: float = 0.0
         raise ValueError(f"need at least 2 groups, found {size}")
     away = ordering.attach(held, stats.select(category, "median"), [category], at_most=size)
     away = away.withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    spread = away.groupBy(category).agg(
+    levels = ordering.session.stage(away.select(category, F.col(value).alias("_value"), "_d"))
+    tests = _anova_p(levels, category, ["_value", "_d"], size)
+    spread = levels.groupBy(category).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_d").alias("_m"), F.var_samp("_d").alias("_v")
     )
-    levene = _anova(spread, "_n", "_m", "_v").select(
-        F.col("f").alias("levene"), F.col("k").alias("_lk"), F.col("n").alias("_ln")
-    )
+    levene = _anova(spread, "_n", "_m", "_v").select(F.col("f").alias("levene"))
     if size == 2:
         sides = stats.agg(*[
             expression.alias(f"{part}{i}")
@@ -278,9 +328,6 @@ def category_effect(df: DataFrame, category: str, value: str, alpha: float = 0.0
             )
         ])
         e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-        dof = (e1 + e2) * (e1 + e2) / (
-            e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1)
-        )
         pooled = F.sqrt(
             ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"))
             / (F.col("n1") + F.col("n2") - 2)
@@ -288,15 +335,14 @@ def category_effect(df: DataFrame, category: str, value: str, alpha: float = 0.0
         gap = F.col("m1") - F.col("m2")
         tested = sides.select(
             F.lit("Welch's t-test").alias("test"), (gap / F.sqrt(e1 + e2)).alias("statistic"),
-            dof.alias("_dof"), (gap / pooled).alias("effect_size"),
-        ).withColumn("p_value", t_p("statistic", "_dof"))
+            (gap / pooled).alias("effect_size"), F.lit(None).cast("double").alias("p_value"),
+        )
         cuts = (0.2, 0.5, 0.8)
     else:
         tested = _anova(stats, "count", "mean", "_var").select(
             F.lit("One-way ANOVA").alias("test"), F.col("f").alias("statistic"),
-            F.col("eta_squared").alias("effect_size"), (F.col("k") - 1).alias("_b"),
-            (F.col("n") - F.col("k")).alias("_w"),
-        ).withColumn("p_value", f_p("statistic", "_b", "_w"))
+            F.col("eta_squared").alias("effect_size"), F.lit(tests[0]).cast("double").alias("p_value"),
+        )
         cuts = (0.01, 0.06, 0.14)
     size_of = F.abs(F.col("effect_size"))
     effect = (
@@ -307,7 +353,7 @@ def category_effect(df: DataFrame, category: str, value: str, alpha: float = 0.0
     return out.select(
         "test", "statistic", "p_value", "effect_size", effect.alias("effect"),
         (F.col("p_value") < alpha).alias("significant"), "levene",
-        f_p("levene", F.col("_lk") - 1, F.col("_ln") - F.col("_lk")).alias("levene_p"),
+        F.lit(tests[1]).cast("double").alias("levene_p"),
     )
 
 
@@ -315,10 +361,11 @@ def numeric_relation(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> Data
     """Pearson and Spearman with p-values, R-squared, slope, intercept."""
     linear = linear_relation(df, x, y)
     ranked = spearman(df, x, y).select("spearman_rho")
-    out = linear.crossJoin(ranked)  # one-row tables
-    out = out.withColumn("pearson_p", correlation_p("pearson_r", "n")).withColumn(
-        "spearman_p", correlation_p("spearman_rho", "n")
-    )
+    out = ordering.session.stage(linear.crossJoin(ranked))  # one-row tables
+    found = out.first()
+    for name, of, method in (("pearson_p", "pearson_r", "pearson"), ("spearman_p", "spearman_rho", "spearman")):
+        tested = correlation_p(complete_pairs(df, x, y, method), found[of], found["n"])
+        out = out.withColumn(name, F.lit(tested).cast("double"))
     return out.withColumn("significant", F.col("pearson_p") < alpha)
 
 

@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.functions import tails
 from rankloom.operators import comparability, exposure, fairness, metrics, ordering, report, split, stats
 from rankloom.operators.quality import CheckFailed
 from tests.conftest import rows
@@ -226,10 +225,29 @@ def test_too_few_components(spark):
         split.assign_folds(df, folds=2)
 
 
-@pytest.mark.parametrize("value, expected", [(tails.student_two_sided(2.0, 10), 0.07338803), (tails.chi2_upper(3.841458820694124, 1), 0.05),
-                                             (tails.f_upper(4.0, 2, 20), 0.03457161), (tails.correlation_p(0.5, 20), 0.02475)])
-def test_tail_probabilities(value, expected):
-    assert value == pytest.approx(expected, abs=2e-5)
+def test_p_values_of_known_samples(spark):
+    """Published values: r = 0.8 over 10 pairs, chi-square of a 2 x 3 table, ANOVA of three groups of five."""
+    x = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    df = spark.createDataFrame(list(zip(x, [2, 1, 4, 3, 7, 5, 10, 6, 9, 8], [5] * 10)), "x int, y int, c int")
+    out = {(r.a, r.b): r for r in stats.correlation_significance(df, ["x", "y", "c"], min_periods=3).collect()}
+    r = out["x", "y"].r
+    dof, t = 8, r * math.sqrt(8 / (1 - r * r))
+    # Student's distribution with eight degrees of freedom has a closed form.
+    u = t / math.sqrt(dof + t * t)
+    inside = u * (1 + (1 - u * u) / 2 * (1 + 3 / 4 * (1 - u * u) * (1 + 5 / 6 * (1 - u * u))))
+    assert out["x", "y"].p_value == pytest.approx(1 - inside, abs=1e-9) and out["x", "c"].p_value is None
+    both = stats.numeric_relation(df, "x", "y").first()
+    assert both.pearson_p == pytest.approx(both.spearman_p) and both.significant
+    cells = [("a", "p")] * 10 + [("a", "q")] * 20 + [("a", "r")] * 30 + [("b", "p")] * 20 + [("b", "q")] * 20 + [("b", "r")] * 20
+    found = stats.chi_square(spark.createDataFrame(cells, "f string, s string"), "f", "s").first()
+    assert found.dof == 2 and found.p_value == pytest.approx(math.exp(-found.chi2 / 2), abs=1e-9)  # two degrees of freedom
+    square = stats.chi_square(spark.createDataFrame([c for c in cells if c[1] != "r"], "f string, s string"), "f", "s").first()
+    assert square.p_value == pytest.approx(math.erfc(math.sqrt(square.chi2 / 2)))
+    rows = [("a", v) for v in (6, 8, 4, 5, 3, 4)] + [("b", v) for v in (8, 12, 9, 11, 6, 8)] + [("c", v) for v in (13, 9, 11, 8, 7, 12)]
+    tested = stats.category_effect(spark.createDataFrame(rows, "g string, v int"), "g", "v").first()
+    assert tested.statistic == pytest.approx(9.2647, abs=1e-3) and tested.p_value == pytest.approx(0.0024, abs=1e-4)
+    two = stats.category_effect(spark.createDataFrame(rows[:12], "g string, v int"), "g", "v").first()
+    assert two.test.startswith("Welch") and two.p_value is None and 0 < two.levene_p <= 1
 
 
 def test_low_expected_cells_counted_with_empty_cells(spark):
