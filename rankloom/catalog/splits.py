@@ -83,8 +83,12 @@ def assigned_folds(spark, folder):
     return rounded(_folds(spark, folder)[1], "row_share", "median_group_size")
 
 
-@register("""
-SELECT 'cluster_id' AS unit, CAST(0 AS BIGINT) AS spanning UNION ALL SELECT 'query_group', 0""")
+@register("WITH " + FOLDS_SQL + """,
+placed AS (SELECT query_group, cluster_id, fold FROM linked JOIN comp USING (query_group) JOIN chosen USING (component))
+SELECT 'cluster_id' AS unit, count(*) FILTER (n > 1) AS spanning FROM (
+  SELECT count(DISTINCT fold) AS n FROM placed GROUP BY cluster_id)
+UNION ALL SELECT 'query_group', count(*) FILTER (n > 1) FROM (
+  SELECT count(DISTINCT fold) AS n FROM placed GROUP BY query_group)""")
 def fold_leakage(spark, folder):
     """No cluster and no group may span two folds."""
     folded, _ = _folds(spark, folder)

@@ -271,6 +271,16 @@ def test_nearest_anchor_of_empty_tables(spark):
         assert [r.km for r in out] == [None] * left.count()
 
 
+def test_canonical_strings_of_every_alphabet(spark):
+    from rankloom.operators import amenities
+
+    texts = ["Wi\u2011Fi \uff37\uff29\uff26\uff29", "HDTV 42 inch", "caf\u00e9", "cafe\u0301", None, "", "host\u2019s  \ufb01re"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    out = {r.id: r.c for r in df.select("id", amenities.canonical(F.col("t")).alias("c")).collect()}
+    assert [out[i] for i in range(1, 7)] == ["hdtv", "caf\u00e9", "caf\u00e9", None, "", "host's fire"]
+    assert out[0] == "wi\u2010fi wifi"
+
+
 def test_group_median_of_empty_group(spark):
     df = spark.createDataFrame([("a", None)], "g string, v double")
     assert ordering.group_median(df, ["g"], "v").count() == 0

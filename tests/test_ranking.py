@@ -225,6 +225,26 @@ def test_too_few_components(spark):
         split.assign_folds(df, folds=2)
 
 
+def test_retrieval_arms_equal_screens_of_filtered_candidates(spark):
+    source = random.Random(4)
+    data = [(i, f"s{i % 5}", None if source.random() < 0.1 else f"p{source.randrange(6)}", source.randrange(5),
+             source.random() < 0.3, float(source.randrange(20))) for i in range(600)]
+    df = spark.createDataFrame(data, "id int, s string, p string, grade int, cold boolean, score double").withColumn("c", F.lit("x"))
+    prior = exposure.demand_prior(df, "c", "p")
+    out = {(r.k_geo, r.arm): r for r in exposure.simulate_arms(
+        df, prior, ["s"], "c", "p", "grade", "cold", "score", ["id"], (1, 3), 10).collect()}
+    assert len(out) == 4 and out[1, "control"].mean_grade == out[3, "control"].mean_grade
+    places = {(r.s, r.p): r.geo_rank for r in exposure.ranked_geographies(df, prior, ["s"], "c", "p").collect()}
+    for width, arm in out:
+        kept = [d for d in data if arm == "control" or places[d[1], d[2]] <= width]
+        screens = [sorted((d for d in kept if d[1] == f"s{i}"), key=lambda d: (-d[5], d[0]))[:10] for i in range(5)]
+        row = out[width, arm]
+        assert row.searches == 5
+        assert row.mean_grade == pytest.approx(sum(sum(d[3] for d in x) / len(x) for x in screens) / 5)
+        assert row.distinct_geos == pytest.approx(sum(len({d[2] for d in x}) for x in screens) / 5)
+        assert row.median_candidates == sorted(sum(d[1] == f"s{i}" for d in kept) for i in range(5))[2]
+
+
 def test_p_values_of_known_samples(spark):
     """Published values: r = 0.8 over 10 pairs, chi-square of a 2 x 3 table, ANOVA of three groups of five."""
     x = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
