@@ -138,16 +138,18 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str =
 
 
 def complete_pairs(df: DataFrame, x: str, y: str, method: str, by: Sequence[str] = ()) -> DataFrame:
-    """``*by, x, y`` of the rows that have both: the values, or their ranks with ties averaged."""
+    """``*by, x, y`` of the rows that have both: the values, or their ranks with ties averaged
+    (``spearman``) or all in the first of their places (``spearman_min``)."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     if method == "pearson":
         return pairs.select(*by, F.col("_x").alias("x"), F.col("_y").alias("y"))
-    if method != "spearman":
+    if method not in ("spearman", "spearman_min"):
         raise ValueError(f"unknown method {method!r}")
-    ranked = ordering.average_rank(pairs, by, "_x", "_rx")
-    ranked = ordering.average_rank(ranked, by, "_y", "_ry")
+    ties = "min" if method == "spearman_min" else "average"
+    ranked = ordering.average_rank(pairs, by, "_x", "_rx", ties=ties)
+    ranked = ordering.average_rank(ranked, by, "_y", "_ry", ties=ties)
     return ranked.select(*by, F.col("_rx").cast("double").alias("x"), F.col("_ry").cast("double").alias("y"))
 
 
