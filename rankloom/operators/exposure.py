@@ -52,12 +52,19 @@ def geographic_concentration(
 ) -> DataFrame:
     """Per group: places available, places in the first ``k``, coverage and normalised entropy."""
     per_geo = df.groupBy(*group, geo).agg(F.count(F.lit(1)).alias("_n"))
-    available = per_geo.groupBy(*group).agg(
-        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("geos_available")
-    )
     top = metrics.first_rows(
         df.select(*dict.fromkeys([*group, geo, score, *ties])), group, score, ties, k
     )
+    return _concentration(per_geo, top, group, geo, k)
+
+
+def _concentration(
+    per_geo: DataFrame, top: DataFrame, group: Sequence[str], geo: str, k: int
+) -> DataFrame:
+    """The same from the rows ``_n`` per (group, place) and the first rows."""
+    available = per_geo.groupBy(*group).agg(
+        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("geos_available")
+    )
     shown = top.groupBy(*group, geo).agg(F.count(F.lit(1)).alias("_c"))
     # p ln p over a screen of t rows: sum(c/t * ln(c/t)) = sum(c ln c)/t - ln t
     found = shown.groupBy(*group).agg(
@@ -86,6 +93,13 @@ def cohort_reach(
         df.select(*dict.fromkeys([*by, *group, score, cohort, *ties])), [*by, *group], score,
         ties, k,
     )
+    return _reach(sizes, top, group, cohort, k, by)
+
+
+def _reach(
+    sizes: DataFrame, top: DataFrame, group: Sequence[str], cohort: str, k: int, by: Sequence[str]
+) -> DataFrame:
+    """The same from rows ``_n`` and ``_members`` per group and the first rows."""
     hits = top.groupBy(*by, *group).agg(F.count(F.when(F.col(cohort), 1)).alias("_reached"))
     joined = sizes.join(hits, [*by, *group])
     members, reached = F.sum("_members"), F.sum("_reached")
@@ -106,16 +120,16 @@ def cold_start_reach(
     worthy = (F.col(reviews) == 0) & (F.col(grade) >= relevant_grade)
     flagged = df.withColumn("_worthy", worthy)
     scores = {"ideal": grade, **rankers}
-    pairs = F.array(
-        *[
-            F.struct(F.lit(n).alias("ranker"), F.col(c).cast("double").alias("_score"))
-            for n, c in scores.items()
-        ]
+    sizes = flagged.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_worthy"), 1)).alias("_members")
     )
-    long = flagged.select(
-        *dict.fromkeys([*group, "_worthy", *ties]), F.explode(pairs).alias("_p")
-    ).select(*dict.fromkeys([*group, "_worthy", *ties]), "_p.ranker", "_p._score")
-    reach = cohort_reach(long, group, "_score", ties, "_worthy", k, by=["ranker"])
+    sizes = sizes.withColumn("ranker", F.explode(F.array(*[F.lit(n) for n in scores])))
+    long = ordering.stacked_contenders(
+        flagged, list(dict.fromkeys([*group, "_worthy", *ties])), group,
+        {n: F.col(c) for n, c in scores.items()}, ties, k, value="_score",
+    )
+    top = metrics.first_rows(long, ["ranker", *group], "_score", ties, k)
+    reach, _ = ordering.session.measured(_reach(sizes, top, group, "_worthy", k, ["ranker"]))
     shuffled = reach.filter(F.col("ranker") == "ideal").select(
         F.lit("random").alias("ranker"), "cohort", F.col("random_rate").alias("reach_rate")
     )
@@ -237,7 +251,9 @@ def widening_table(
 ) -> DataFrame:
     """Per rung: groups, median set, mean spread of the first screen and cohort reach.
 
-    A row takes part once per rung; the rung key is null-padded so all rungs share one plan.
+    Rows are never copied per rung. The first ``k`` of a rung are among the first ``k`` of the cells
+    that all keys make together, so those few and the counts per (cell, place) are what goes through the
+    rungs; the rung key is null-padded so all rungs share one plan.
     """
     columns = list(dict.fromkeys(c for _, keys in cascade for c in keys))
     rungs = F.array(
@@ -254,18 +270,35 @@ def widening_table(
             for name, keys in cascade
         ]
     )
+
+    def per_rung(cells: DataFrame, *kept: str) -> DataFrame:
+        return cells.select(*kept, F.explode(rungs).alias("_r")).select(
+            *kept, F.to_json("_r").alias("_group"), "_r.rung"
+        )
+
     kept = list(dict.fromkeys([geo, score, cohort, *ties]))
-    long = df.select(*kept, F.explode(rungs).alias("_r")).select(
-        *kept, F.to_json("_r").alias("_group"), "_r.rung"
-    )
+    rows = ordering.session.stage(df.select(*dict.fromkeys([*columns, *kept])))
+    counted, _ = ordering.session.measured(rows.groupBy(*columns, geo).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(cohort), 1)).alias("_members")
+    ))
     group = ["rung", "_group"]
-    spread = geographic_concentration(long, group, geo, score, ties, k)
+    counts = per_rung(counted, geo, "_n", "_members").groupBy(*group, geo).agg(
+        F.sum("_n").alias("_n"), F.sum("_members").alias("_members")
+    )
+    best = metrics.first_rows(
+        ordering.contenders(rows, columns, [score], ties, k), columns, score, ties, k
+    ).select(*dict.fromkeys([*columns, *kept]))
+    best, _ = ordering.session.measured(best)
+    top = metrics.first_rows(per_rung(best, *kept), group, score, ties, k)
+    top, _ = ordering.session.measured(top)
+    spread = _concentration(counts, top, group, geo, k)
     sizes = ordering.group_median(spread, ["rung"], "n", "_median")
     means = spread.groupBy("rung").agg(
         F.count(F.lit(1)).alias("groups"), F.avg("geos_in_top_k").alias("geos_in_top_k"),
         F.avg("coverage").alias("coverage"), F.avg("entropy").alias("entropy"),
     )
-    reach = cohort_reach(long, ["_group"], score, ties, cohort, k, by=["rung"])
+    members = counts.groupBy(*group).agg(F.sum("_n").alias("_n"), F.sum("_members").alias("_members"))
+    reach = _reach(members, top, ["_group"], cohort, k, ["rung"])
     return means.join(sizes, "rung").join(reach, "rung").select(
         "rung", "groups", F.floor("_median").alias("median_set"), "geos_in_top_k", "coverage",
         "entropy", F.col("reach_rate").alias("cold_reach"),

@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from rankloom import catalog
-from rankloom.operators import stats
+from rankloom import catalog, session
+from rankloom.operators import exposure, metrics, ordering, report, stats
 from tests.conftest import rows
 
 
@@ -36,3 +37,77 @@ def test_equal_means_tie_in_any_order_of_rows(spark, tmp_path):
     # Three levels of four tied rows each: price and tax rise with the kind, and so do the leaves.
     assert found["rate"]["r"] == 1.0
     assert abs(found["leaves"]["r"]) in (0.5, 1.0)
+
+
+def scored_rows(spark, count=6000, groups=2, seed=5):
+    draw = random.Random(seed)
+    data = [(i, None if i % 7 == 0 else f"g{draw.randrange(groups)}", draw.randrange(3), f"p{draw.randrange(8)}",
+             draw.randrange(5), None if draw.random() < 0.02 else float(draw.randrange(400)), draw.random() < 0.1)
+            for i in range(count)]
+    return session.stage(spark.createDataFrame(
+        data, "id int, g string, h int, place string, grade int, score double, cold boolean"))
+
+
+def first_ids(df, group, k=10):
+    return {(*(r[c] for c in group), r["id"], r["rank"])
+            for r in metrics.first_rows(df, group, "score", ["id"], k).collect()}
+
+
+def test_contenders_hold_the_first_rows_and_few_others(spark):
+    df = scored_rows(spark)
+    kept = ordering.contenders(df, ["g"], ["score"], ["id"], 10)
+    assert first_ids(kept, ["g"]) == first_ids(df, ["g"])
+    assert kept.count() < 300
+    small = df.withColumn("g", F.col("id") % 1000)
+    assert ordering.score_bounds(small, ["g"], ["score"], ["id"], 10) is None
+    blank = df.withColumn("score", F.when(F.col("id") < 5, F.col("score")))
+    assert first_ids(ordering.contenders(blank, ["h"], ["score"], ["id"], 10), ["h"]) == first_ids(blank, ["h"])
+
+
+def test_scores_are_stacked_for_few_rows(spark):
+    df = scored_rows(spark)
+    scores = {"up": F.col("score"), "down": -F.col("score")}
+    long = session.stage(ordering.stacked_contenders(df, ["g", "id"], ["g"], scores, ["id"], 10))
+    assert long.count() < 600
+    for name, score in scores.items():
+        own = first_ids(long.filter(F.col("ranker") == name), ["g"])
+        assert own == first_ids(df.withColumn("score", score), ["g"])
+
+
+def test_widening_equals_every_rung_by_itself(spark):
+    df = scored_rows(spark)
+    cascade = (("both", ("g", "h")), ("one", ("g",)), ("other", ("h",)))
+    found = rows(exposure.widening_table(df, cascade, "place", "score", "cold", ["id"], 10), "rung")
+    for rung, keys in cascade:
+        one = df.withColumn("key", F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in keys]))
+        spread = exposure.geographic_concentration(one, ["key"], "place", "score", ["id"], 10)
+        reach = exposure.cohort_reach(one, ["key"], "score", ["id"], "cold", 10).first()
+        mean = spread.agg(F.count("*").alias("n"), F.avg("entropy").alias("e"), F.avg("coverage").alias("c")).first()
+        assert found[rung]["groups"] == mean["n"]
+        assert found[rung]["entropy"] == pytest.approx(mean["e"])
+        assert found[rung]["coverage"] == pytest.approx(mean["c"])
+        assert found[rung]["cold_reach"] == pytest.approx(reach["reach_rate"])
+        assert found[rung]["cold_random"] == pytest.approx(reach["random_rate"])
+
+
+def test_floor_does_not_depend_on_the_line(spark, monkeypatch):
+    df = scored_rows(spark, 1500).filter("g IS NOT NULL")
+    floors = []
+    for margin in (4.0, 1e9, 0.5):  # lined, every row ordered, nearly every group done again
+        monkeypatch.setattr(report, "FLOOR_MARGIN", margin)
+        found = report.random_floor(df, ["g", "h"], "grade", ["id"], draws=5)
+        floors.append({(r.g, r.h): r.floor for r in found.collect()})
+    assert len(floors[0]) == 6
+    for other in floors[1:]:
+        assert other == pytest.approx(floors[0])
+
+
+def test_labels_of_one_size_share_their_draws(spark, monkeypatch):
+    data = [(label, i, float(i * i % (31 + len(label)))) for label, n in (("a", 40), ("bb", 40), ("c", 25)) for i in range(n)]
+    df = session.stage(spark.createDataFrame(data, "label string, id int, value double"))
+    args = (df, ["label"], ["value"], ["id"], 30)
+    shared = rows(metrics.bootstrap_means(*args), "label", "draw")
+    monkeypatch.setattr(metrics, "SHARED_DRAWS", 0)
+    own = rows(metrics.bootstrap_means(*args), "label", "draw")
+    assert len(shared) == 90 and shared.keys() == own.keys()
+    assert all(shared[k]["value"] == pytest.approx(own[k]["value"]) for k in own)
