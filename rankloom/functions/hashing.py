@@ -30,10 +30,20 @@ def salted_hash(column: Column, salt: str, data_type: T.DataType | None = None)
     return F.when(column.isNotNull(), digest)
 
 
+def draw_digits(*parts: Column) -> Column:
+    """The 15 hexadecimal digits of :func:`draw_number`; they order like the number."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.substring(F.md5(text), 1, 15)
+
+
+def digits_number(digits: Column) -> Column:
+    """The number that hexadecimal digits stand for."""
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def draw_number(*parts: Column) -> Column:
     """A 60-bit integer from the MD5 of the joined parts: uniform, and equal on every engine."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return digits_number(draw_digits(*parts))
 
 
 def draw_index(size: Column, *parts: Column) -> Column:

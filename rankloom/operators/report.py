@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.hashing import draw_number
+from rankloom.functions.hashing import digits_number, draw_digits
 from rankloom.functions.parsing import label_gain
 from rankloom.operators import metrics, ordering
 
 FLOOR_DRAWS = 20
+#: Rows of a large group that a shuffle orders, as a multiple of ``k``.
+FLOOR_MARGIN = 4.0
 
 
 def random_floor(
@@ -26,22 +28,50 @@ def random_floor(
 ) -> DataFrame:
     """Per-group NDCG@k of a random order, averaged over ``draws`` reproducible shuffles.
 
-    Each shuffle orders rows by a digest of (seed, draw, id); only ``k`` rows per group and draw
-    leave a map task.
+    Each shuffle orders rows by a digest of (seed, draw, id). Digests are uniform, so of a large group only those
+    above a line that about ``FLOOR_MARGIN`` times ``k`` rows pass are ordered. A group that has fewer than its
+    first ``k`` rows above the line in some draw is done again with all rows.
     """
-    facts = metrics.group_facts(df, group, grade, k)
-    shuffled = df.select(
-        *group, grade, *ids, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw")
-    ).withColumn("_lot", draw_number(F.lit(seed), F.col("_draw"), *[F.col(c) for c in ids]))
-    top = metrics.first_rows(shuffled, [*group, "_draw"], "_lot", ids, k)
-    gains = top.groupBy(*group).agg(
-        (
-            F.sum(label_gain(F.col(grade)) * metrics.discount(F.col("rank"))) / F.lit(draws)
-        ).alias("_dcg")
-    )
-    return facts.join(gains, list(group), "left").select(
-        *group, metrics.ndcg_expression(F.col("_dcg")).alias(name)
-    )
+    facts, groups = ordering.session.measured(metrics.group_facts(df, group, grade, k))
+    known = F.lit(False)
+    for c in ids:
+        known = known | F.col(c).isNotNull()
+    needed = list(dict.fromkeys([*group, grade, *ids]))
+    rows = df.select(*needed, F.when(known, F.concat_ws(":", *ids)).alias("_id"))
+    passing = F.least(F.lit(1.0), F.lit(FLOOR_MARGIN * k) / F.col("size"))
+    line = F.lower(F.lpad(F.hex(F.floor((1 - passing) * F.lit(float(2**60))).cast("long")), 15, "0"))
+    lines = facts.select(*group, line.alias("_line"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw")
+
+    def drawn(lined: DataFrame) -> DataFrame:
+        """Gain of each (group, draw) from the rows whose digest is not below the line, and their number."""
+        shuffled = lined.select(*needed, "_id", "_line", every)
+        digest = draw_digits(F.lit(seed), F.col("_draw"), F.col("_id"))
+        shuffled = shuffled.withColumn("_digest", digest).filter("_digest >= _line")
+        shuffled = shuffled.select(*needed, "_draw", digits_number(F.col("_digest")).alias("_lot"))
+        top = metrics.first_rows(shuffled, [*group, "_draw"], "_lot", ids, k)
+        return top.groupBy(*group, "_draw").agg(
+            F.sum(label_gain(F.col(grade)) * metrics.discount(F.col("rank"))).alias("_dcg"),
+            F.count(F.lit(1)).alias("_ranked"),
+        )
+
+    found, _ = ordering.session.measured(drawn(ordering.attach(rows, lines, group, at_most=groups)))
+
+    def whole(gains: DataFrame) -> DataFrame:
+        return gains.groupBy(*group).agg(
+            (F.sum("_dcg") / F.lit(draws)).alias("_dcg"), F.min("_ranked").alias("_least"),
+            F.count(F.lit(1)).alias("_draws"),
+        )
+
+    gains, _ = ordering.session.measured(ordering.attach(facts, whole(found), group, at_most=groups))
+    complete = (F.col("_draws") == draws) & (F.col("_least") >= F.least(F.lit(k), F.col("size")))
+    short = ~F.coalesce(complete, F.lit(False))
+    again, missed = ordering.session.measured(gains.filter(short).drop("_dcg", "_least", "_draws"))
+    if missed:
+        left = ordering.attach(rows, again.select(*group), group, "left_semi", at_most=missed)
+        redone = whole(drawn(left.withColumn("_line", F.lit("0" * 15))))
+        gains = gains.filter(~short).unionByName(ordering.attach(again, redone, group, at_most=missed))
+    return gains.select(*group, metrics.ndcg_expression(F.col("_dcg")).alias(name))
 
 
 def expected_floor(
@@ -56,21 +86,6 @@ def expected_floor(
     return facts.select(*group, metrics.ndcg_expression(expected).alias(name))
 
 
-def stack_scores(
-    df: DataFrame, keep: Sequence[str], scores: Mapping[str, str]
-) -> DataFrame:
-    """One row per (row, ranker): ``ranker``, ``score``. ``scores`` maps ranker name to column."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(n).alias("ranker"), F.col(c).cast("double").alias("score"))
-            for n, c in scores.items()
-        ]
-    )
-    return df.select(*keep, F.explode(pairs).alias("_pair")).select(
-        *keep, "_pair.ranker", "_pair.score"
-    )
-
-
 def per_group_table(
     df: DataFrame,
     group: Sequence[str],
@@ -86,7 +101,9 @@ def per_group_table(
     """
     facts = metrics.group_facts(df, group, grade, k)
     keep = list(dict.fromkeys([*group, grade, *ties]))
-    long = stack_scores(df, keep, scores)
+    long = ordering.stacked_contenders(
+        df, keep, group, {n: F.col(c) for n, c in scores.items()}, ties, k
+    )
     top = metrics.first_rows(long, ["ranker", *group], "score", ties, k)
     gains = top.groupBy("ranker", *group).agg(
         F.sum(label_gain(F.col(grade)) * metrics.discount(F.col("rank"))).alias("_dcg")
