@@ -23,6 +23,8 @@ DEFAULT_K = 10
 RELEVANT_GRADE = 3
 ITERATIONS = 2_000
 CONFIDENCE = 0.95
+#: Labels (``by``) up to which those of one size share their draws; a drawn row meets at most so many values.
+SHARED_DRAWS = 64
 
 
 def discount(position: Column) -> Column:
@@ -190,18 +192,20 @@ def bootstrap_means(
         kept, by, [F.col(c).asc() for c in order], before="_slot", total="_size", hot_rows=hot_rows
     ).select(*by, "_slot", "_size", *values)
     numbered, rows = ordering.session.measured(numbered)
-    draws = ordering.session.spread(numbered, rows * iterations, *by, "_slot").select(
-        *by,
+    # Draws depend on the size alone: where few ``by`` are there, those of equal size share them.
+    shared = not by or numbered.select(*by).distinct().count() <= SHARED_DRAWS
+    keys = ["_size", "_slot"] if shared else [*by, "_size", "_slot"]
+    proposers, proposing = numbered.select(*keys), rows
+    if shared and by:
+        proposers, proposing = ordering.session.measured(proposers.distinct())
+    draws = ordering.session.spread(proposers, proposing * iterations, *keys).select(
+        *keys[:-1],
         F.col("_slot").alias("_proposer"),
-        "_size",
         F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("draw"),
     ).withColumn(
         "_slot", draw_index(F.col("_size"), F.lit(seed), F.col("draw"), F.col("_proposer"))
     )
-    drawn = ordering.attach(
-        draws.select(*by, "draw", "_slot"), numbered.drop("_size"), [*by, "_slot"], salts=1,
-        at_most=rows,
-    )
+    drawn = ordering.attach(draws.select(*keys, "draw"), numbered, keys, salts=1, at_most=rows)
     return drawn.groupBy(*by, "draw").agg(*[F.avg(v).alias(v) for v in values])
 
 
