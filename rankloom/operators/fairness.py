@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.bins import cut, cut_ordinal
+from rankloom.functions.parsing import label_gain
 from rankloom.operators import metrics, ordering
 
 MIN_COHORT_MEMBERS = 3
@@ -189,19 +190,28 @@ def offset_correction(
     NDCG is worked out once per (offset, group); each fold's choice is then arithmetic on
     (offset, fold) sums. The first offset wins a tie.
     """
-    z = standardised(df, group, score)
     keep = list(dict.fromkeys([*group, grade, cohort, fold, "z", *ties]))
+    z = ordering.session.stage(standardised(df, group, score).select(*keep))
+    member = F.coalesce(F.col(cohort), F.lit(False)).cast("double")
+    # Rounded, so that rows equal up to float noise tie the same way everywhere.
+    shifted = {i: F.round(F.col("z") + F.lit(float(d)) * member, places) for i, d in enumerate(grid)}
+    # Folds hold whole groups, so the fold can ride along in the group key.
+    cells = list(dict.fromkeys([fold, *group]))
+    kept = list(dict.fromkeys([*cells, grade, *ties]))
+    long = ordering.stacked_contenders(z, kept, cells, shifted, ties, k, "step", "_shifted")
+    gains = metrics.first_rows(long, ["step", *cells], "_shifted", ties, k).groupBy("step", *cells).agg(
+        F.sum(label_gain(F.col(grade)) * metrics.discount(F.col("rank"))).alias("_dcg")
+    )
+    # Grades do not move with the offset: one ideal order for all steps.
     steps = F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(float(d)).alias("offset"))
         for i, d in enumerate(grid)
     ])
-    long = z.select(*keep, F.explode(steps).alias("_d")).select(*keep, "_d.*")
-    member = F.coalesce(F.col(cohort), F.lit(False)).cast("double")
-    # Rounded, so that rows equal up to float noise tie the same way everywhere.
-    long = long.withColumn("_shifted", F.round(F.col("z") + F.col("offset") * member, places))
-    # Folds hold whole groups, so the fold can ride along in the group key.
-    scored = metrics.ndcg_at_k(
-        long, ["step", "offset", fold, *group], grade, "_shifted", ties, k
+    facts = metrics.group_facts(z, cells, grade, k).select(
+        *cells, "ideal", "degenerate", F.explode(steps).alias("_d")
+    ).select(*cells, "ideal", "degenerate", "_d.*")
+    scored = facts.join(gains, ["step", *cells], "left").select(
+        "step", "offset", *cells, metrics.ndcg_expression(F.col("_dcg")).alias("ndcg")
     )
     sums = scored.groupBy("step", "offset", fold).agg(
         F.sum("ndcg").alias("_sum"), F.count("ndcg").alias("_n")
