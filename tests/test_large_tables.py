@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom import catalog, session
-from rankloom.operators import exposure, metrics, ordering, report, stats
+from rankloom.operators import exposure, metrics, ordering, ranker, report, stats
 from tests.conftest import rows
 
 
@@ -111,3 +111,30 @@ def test_labels_of_one_size_share_their_draws(spark, monkeypatch):
     own = rows(metrics.bootstrap_means(*args), "label", "draw")
     assert len(shared) == 90 and shared.keys() == own.keys()
     assert all(shared[k]["value"] == pytest.approx(own[k]["value"]) for k in own)
+
+
+def test_pair_gradients_equal_every_pair_and_keep_groups_without_gain(spark):
+    draw = random.Random(8)
+    data = [(i, f"g{i % 4}", 0 if i % 4 == 3 else draw.randrange(5), None if i == 20 else draw.random()) for i in range(200)]
+    df = session.stage(spark.createDataFrame(data, "id int, g string, grade int, s double"))
+    settings = ranker.Settings(group="g", grade="grade", ids=("id",), truncation=6)
+    found = rows(ranker.pair_gradients(df, settings, "s"), "id")
+    expected = {d[0]: [0.0, 0.0] for d in data}
+    for g in range(3):
+        own = sorted((d for d in data if d[1] == f"g{g}"), key=lambda d: (-math.inf if d[3] is None else d[3], -d[0]), reverse=True)
+        best = sorted((d[2] for d in own), reverse=True)[:6]
+        ideal = sum((2 ** v - 1) / math.log2(i + 2) for i, v in enumerate(best))
+        for i, a in enumerate(own[:6]):
+            for j, b in enumerate(own[i + 1:], i + 1):
+                if a[2] == b[2] or a[3] is None or b[3] is None:
+                    continue
+                sign = 1 if a[2] > b[2] else -1
+                p = 1 / (1 + math.exp(sign * (a[3] - b[3])))
+                d = abs(2 ** a[2] - 2 ** b[2]) * abs(1 / math.log2(i + 2) - 1 / math.log2(j + 2)) / ideal
+                for row, way in ((a, 1), (b, -1)):
+                    expected[row[0]][0] += way * sign * p * d
+                    expected[row[0]][1] += p * (1 - p) * d
+    assert found.keys() == expected.keys()
+    for i, (gradient, hessian) in expected.items():
+        assert found[i]["gradient"] == pytest.approx(gradient, abs=1e-12)
+        assert found[i]["hessian"] == pytest.approx(hessian, abs=1e-12)
