@@ -522,10 +522,8 @@ FROM b GROUP BY ALL""")
 def bucket_counts(spark, folder):
     """Mentions per concept bucket, first matching rule wins, repeated mentions counted."""
     docs = document_items(spark, folder)
-    mapping = amenities.vocabulary(docs, "items").withColumn(
-        "bucket", amenities.bucket(F.col("item"), WORD_BUCKETS)
-    )
-    return amenities.bucket_counts(docs, ["doc_id"], "items", mapping, list(WORD_BUCKETS))
+    rule = amenities.bucket(F.col("item"), WORD_BUCKETS)
+    return amenities.bucket_counts(docs, ["doc_id"], "items", rule, list(WORD_BUCKETS))
 
 
 @register("WITH " + WORDS_SQL + f""", v AS (SELECT item, count(*) AS mentions, {BUCKET_CASE} AS bucket
