@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import metrics, ordering
@@ -34,17 +34,49 @@ def pair_counts(
     No pair is formed. Rows collapse to counts per (``by``, score); for each grade the rows of lower
     grades with a lower score are a running total over those counts. Rows without a score or a truth
     take part in no pair; a truth outside ``grades`` stops the run.
+
+    Where no ``by`` has more rows than a task may hold, rows are shuffled once and one window carries
+    the totals of all grades; else each (``by``, grade) is totalled in pieces.
     """
     known = F.when(F.col(truth).isin(*grades), F.col(truth)).otherwise(
         F.raise_error(F.concat(F.lit("grade outside the scale: "), F.col(truth).cast("string")))
     )
     present = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    limit = ordering.session.HOT_ROWS if hot_rows is None else hot_rows
+    sizes = present.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    fits = bool(by) and (sizes[0] or 0) <= limit
+    judged = present.select(*by, F.col(score).alias("_score"), known.alias("_truth"))
     counted = (
-        present.select(*by, F.col(score).alias("_score"), known.alias("_truth"))
+        (ordering.session.spread(judged, sizes[1] or 0, *by) if fits else judged)
         .groupBy(*by, "_score")
         .agg(*[F.count(F.when(F.col("_truth") == g, 1)).alias(f"_n{i}") for i, g in enumerate(grades)])
     )
     rising = [f"_n{i}" for i, _ in sorted(enumerate(grades), key=lambda pair: pair[1])]
+
+    def product(one, other):
+        return one.cast("decimal(19,0)") * other.cast("decimal(19,0)")
+
+    if fits:
+        earlier = Window.partitionBy(*by).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+        doubled = [F.lit(0).cast("decimal(38,0)")]
+        lower, below = F.lit(0).cast("long"), F.lit(0).cast("long")
+        for n, higher in zip(rising, rising[1:]):
+            lower = lower + F.col(n)
+            below = below + F.coalesce(F.col(f"_b{n}"), F.lit(0))
+            doubled.append(product(F.col(higher), 2 * below + lower))
+        placed = counted.withColumns({f"_b{n}": F.sum(n).over(earlier) for n in rising[:-1]})
+        totals = placed.groupBy(*by).agg(
+            *[F.sum(n).alias(n) for n in rising],
+            *[F.sum(d).cast("decimal(38,0)").alias(f"_d{i}") for i, d in enumerate(doubled)],
+        )
+        pairs, under = F.lit(0).cast("decimal(38,0)"), F.lit(0).cast("long")
+        for n, higher in zip(rising, rising[1:]):
+            under = under + F.col(n)
+            pairs = (pairs + product(F.col(higher), under)).cast("decimal(38,0)")
+        hits = F.lit(0).cast("decimal(38,0)")
+        for i in range(len(doubled)):
+            hits = (hits + F.col(f"_d{i}")).cast("decimal(38,0)")
+        return totals.select(*by, pairs.alias("pairs"), hits.alias("doubled"))
     sides = [
         F.struct(
             F.lit(i).alias("_grade"), F.col(rising[i]).alias("_higher"),
@@ -61,12 +93,9 @@ def pair_counts(
         hot_rows=hot_rows, at_most=rows,
     )
 
-    def product(count):
-        return F.col("_higher").cast("decimal(19,0)") * count.cast("decimal(19,0)")
-
     return placed.groupBy(*by).agg(
-        F.sum(product(F.col("_all"))).cast("decimal(38,0)").alias("pairs"),
-        F.sum(product(2 * F.col("_below") + F.col("_lower"))).cast("decimal(38,0)").alias("doubled"),
+        F.sum(product(F.col("_higher"), F.col("_all"))).cast("decimal(38,0)").alias("pairs"),
+        F.sum(product(F.col("_higher"), 2 * F.col("_below") + F.col("_lower"))).cast("decimal(38,0)").alias("doubled"),
     )
 
 
