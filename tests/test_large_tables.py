@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom import catalog, session
-from rankloom.operators import exposure, metrics, ordering, ranker, report, stats
+from rankloom.operators import amenities, comparability, exposure, metrics, ordering, ranker, report, stats
 from tests.conftest import rows
 
 
@@ -138,3 +138,38 @@ def test_pair_gradients_equal_every_pair_and_keep_groups_without_gain(spark):
     for i, (gradient, hessian) in expected.items():
         assert found[i]["gradient"] == pytest.approx(gradient, abs=1e-12)
         assert found[i]["hessian"] == pytest.approx(hessian, abs=1e-12)
+
+
+def test_rule_and_table_give_the_same_buckets(spark):
+    df = spark.createDataFrame([(1, ["a.b", "axb", "wifi", "wifi"]), (2, []), (3, None), (4, ["tv (hd)", "none"])],
+                               "id int, items array<string>")
+    names = {"dot": ("a.b", "(hd)"), "net": ("wifi",)}
+    rule = amenities.bucket(F.col("item"), names)
+    table = amenities.vocabulary(df, "items").withColumn("bucket", rule)
+    found = [rows(amenities.bucket_counts(df, ["id"], "items", m, list(names)), "id") for m in (rule, table)]
+    assert found[0] == found[1]
+    assert found[0][1] == {"id": 1, "dot": 1, "net": 2} and found[0][3] == {"id": 3, "dot": 0, "net": 0}
+
+
+def test_coverage_sums_strings_that_fold_alike(spark):
+    vocab = spark.createDataFrame([("WiFi  fast", 3), ("wifi fast", 2), ("qqq", 1)], "item string, mentions long")
+    found = amenities.map_coverage(vocab).first()
+    assert (found["distinct_strings"], found["mentions"]) == (2, 6)
+    assert (found["mapped_strings"], found["mapped_mentions"]) == (1, 5)
+
+
+def test_large_counted_tables_are_dealt_by_rows(spark, monkeypatch):
+    df = scored_rows(spark, 2000).filter("score IS NOT NULL")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    placed = ordering.group_rank(df, ["place"], [F.desc("score"), F.asc("id")], at_most=2000)
+    plain = ordering.group_rank(df, ["place"], [F.desc("score"), F.asc("id")])
+    assert placed.rdd.getNumPartitions() == 20
+    assert {r.id: r.rank for r in placed.collect()} == {r.id: r.rank for r in plain.collect()}
+
+
+def test_pair_counts_copy_no_row_per_grade(spark, monkeypatch):
+    df = scored_rows(spark, 1500)
+    pieces = rows(comparability.pair_counts(df, ["g", "place"], "score", "grade", hot_rows=10), "g", "place")
+    monkeypatch.setattr(ordering, "running_total", None)  # the window of all grades does without
+    whole = rows(comparability.pair_counts(df, ["g", "place"], "score", "grade"), "g", "place")
+    assert whole == pieces and len(whole) == 24
