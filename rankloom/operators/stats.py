@@ -132,24 +132,44 @@ def linear_relation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Da
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str = "spearman_rho"):
     """Rank correlation per ``by`` over complete pairs, with ``n``."""
-    return complete_pairs(df, x, y, "spearman", by).groupBy(*by).agg(
-        correlation("x", "y").alias(name), F.count(F.lit(1)).alias("n")
+    return _rank_correlation(complete_pairs(df, x, y, "pearson", by), by, name, "average")
+
+
+def _rank_correlation(pairs: DataFrame, by: Sequence[str], name: str, ties: str) -> DataFrame:
+    """Correlation of the ranks of ``x`` and ``y`` per ``by``, with ``n``; null where a side has one rank.
+
+    Equal pairs collapse before any row is ranked; ranks go to the distinct pairs.
+    """
+    joint = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
+    joint, _ = ordering.session.measured(joint)
+    ranked = ordering.average_rank(joint, by, "x", "_rx", ties=ties, weight="_w")
+    ranked = ordering.average_rank(ranked, by, "y", "_ry", ties=ties, weight="_w")
+    a, b, w = F.col("_rx").cast("double"), F.col("_ry").cast("double"), F.col("_w")
+    sums = ranked.groupBy(*by).agg(
+        F.sum(w).alias("n"), F.sum(w * a).alias("_a"), F.sum(w * b).alias("_b"), F.sum(w * a * b).alias("_ab"),
+        F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"),
+        ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("_varies"),
     )
+    n = F.col("n")
+
+    def moment(product, one, other):
+        return F.col(product) / n - (F.col(one) / n) * (F.col(other) / n)
+
+    r = moment("_ab", "_a", "_b") / F.sqrt(moment("_aa", "_a", "_a") * moment("_bb", "_b", "_b"))
+    return sums.select(*by, F.when(F.col("_varies"), r).alias(name), "n")
 
 
 def complete_pairs(df: DataFrame, x: str, y: str, method: str, by: Sequence[str] = ()) -> DataFrame:
-    """``*by, x, y`` of the rows that have both: the values, or their ranks with ties averaged
-    (``spearman``) or all in the first of their places (``spearman_min``)."""
+    """``*by, x, y`` of the rows that have both: the values, or their ranks with ties averaged."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     if method == "pearson":
         return pairs.select(*by, F.col("_x").alias("x"), F.col("_y").alias("y"))
-    if method not in ("spearman", "spearman_min"):
+    if method != "spearman":
         raise ValueError(f"unknown method {method!r}")
-    ties = "min" if method == "spearman_min" else "average"
-    ranked = ordering.average_rank(pairs, by, "_x", "_rx", ties=ties)
-    ranked = ordering.average_rank(ranked, by, "_y", "_ry", ties=ties)
+    ranked = ordering.average_rank(pairs, by, "_x", "_rx")
+    ranked = ordering.average_rank(ranked, by, "_y", "_ry")
     return ranked.select(*by, F.col("_rx").cast("double").alias("x"), F.col("_ry").cast("double").alias("y"))
 
 
@@ -172,9 +192,15 @@ def correlation_matrix(
 ) -> DataFrame:
     """One row per column pair: ``a, b, n, r`` (``r`` is null below ``min_periods`` pairs)."""
     long = df.select(F.explode(_pairs(columns)).alias("_p")).select("_p.*")
-    out = complete_pairs(long, "x", "y", method, ["a", "b"]).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r")
-    )
+    if method == "pearson":
+        out = complete_pairs(long, "x", "y", method, ["a", "b"]).groupBy("a", "b").agg(
+            F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r")
+        )
+    elif method in ("spearman", "spearman_min"):
+        pairs = complete_pairs(long, "x", "y", "pearson", ["a", "b"])
+        out = _rank_correlation(pairs, ["a", "b"], "r", "min" if method == "spearman_min" else "average")
+    else:
+        raise ValueError(f"unknown method {method!r}")
     return out.select("a", "b", "n", F.when(F.col("n") >= min_periods, F.col("r")).alias("r"))
 
 

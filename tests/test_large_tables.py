@@ -173,3 +173,25 @@ def test_pair_counts_copy_no_row_per_grade(spark, monkeypatch):
     monkeypatch.setattr(ordering, "running_total", None)  # the window of all grades does without
     whole = rows(comparability.pair_counts(df, ["g", "place"], "score", "grade"), "g", "place")
     assert whole == pieces and len(whole) == 24
+
+
+def test_rank_correlation_of_repeated_pairs(spark):
+    draw = random.Random(2)
+    data = [(draw.randrange(6), draw.randrange(4), 1.0) for _ in range(400)] + [(None, 2, 1.0), (3, None, 1.0)]
+    df = spark.createDataFrame(data, "a int, b int, flat double")
+    both = [d for d in data if d[0] is not None and d[1] is not None]
+
+    def ranks(values):
+        return [sum(v < w for v in values) + (sum(v == w for v in values) + 1) / 2 for w in values]
+
+    a, b = ranks([d[0] for d in both]), ranks([d[1] for d in both])
+    mean = (len(both) + 1) / 2
+    top = sum((x - mean) * (y - mean) for x, y in zip(a, b))
+    r = top / math.sqrt(sum((x - mean) ** 2 for x in a) * sum((y - mean) ** 2 for y in b))
+    found = rows(stats.correlation_matrix(df, ["a", "b", "flat"], "spearman"), "a", "b")
+    assert found["a", "b"]["n"] == 400 and found["a", "b"]["r"] == pytest.approx(r)
+    assert found["a", "flat"]["r"] is None
+    # Ranked are distinct pairs, of which there are 24, and not the rows.
+    joint = df.filter("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("w"))
+    ranked = ordering.average_rank(joint, [], "a", "rank", weight="w")
+    assert {x.a: x.rank for x in ranked.collect()} == {d[0]: x for d, x in zip(both, a)}
