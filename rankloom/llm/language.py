@@ -4,8 +4,8 @@ Texts are lower-cased, everything that is not a letter becomes a blank, and pair
 code points are hashed into ``CELLS`` cells. Training counts (language, cell) inside the tasks and
 adds the counts up with one small shuffle; the log-probabilities form matrices of CELLS rows and one
 column per language, ``BLOCK_LANGUAGES`` at most in each, which are built one after another and
-broadcast. Scoring gathers the rows of the n-grams that occur and sums them per text, many texts at a
-time; with several matrices the texts pass one after another, and carry what the next has to beat.
+broadcast. Scoring gathers the rows of the n-grams that occur and sums them per text, a window of text at
+a time; with several matrices the texts pass one after another, and carry what the next has to beat.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from rankloom import session
 from rankloom.llm import common
 
 CELLS = 1 << 15
+#: Bytes of text whose n-grams are held at once; each takes about 60 times that while it is worked on.
+WINDOW_BYTES = 1 << 17
 #: Languages of one matrix; at most 52 MB.
 BLOCK_LANGUAGES = 400
 SMOOTHING = 0.5
@@ -38,32 +40,54 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def windows(column: pa.Array, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(cell, text number)`` of every n-gram with a letter in it and the numbers of texts with a letter, window by window.
+
+    A window is ``size`` bytes (``WINDOW_BYTES``) of the texts put together; a longer text goes on in the next
+    one, which sees the code points on either side of its edges.
+    """
+    data, offsets = common.text_bytes(pc.utf8_lower(pc.fill_null(column, "")))
+    begin, size = 0, size or WINDOW_BYTES
+
+    def cut(at: int, step: int) -> int:
+        """Where a code point begins, at ``at`` or behind it (``step`` 1) or before it (-1)."""
+        while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+            at += step
+        return max(0, min(at, len(data)))
+
+    while begin < len(data):
+        end = cut(begin + size, 1)
+        low, high = cut(begin - 1, -1), cut(end + 1, 1)
+        seen = data[low:high]
+        codes = np.frombuffer(seen.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        place = low + np.flatnonzero(seen & 0xC0 != 0x80)
+        owner = np.searchsorted(offsets, place, side="right") - 1
+        letter = letters()[codes]
+        # A blank on each side of every text keeps n-grams from running into the next one.
+        line = np.full(len(codes) + 2, 32, np.uint32)
+        line[1:-1] = np.where(letter, codes, 32)
+        same = owner[1:] == owner[:-1]
+        at = np.flatnonzero(letter & (place >= begin) & (place < end))
+        before = np.where(np.append(False, same)[at], line[at], np.uint32(32))
+        after = np.where(np.append(same, False)[at], line[at + 2], np.uint32(32))
+        owner, here = owner[at], line[at + 1]
+        pair = (here * np.uint32(0x9E3779B1)) ^ (after * np.uint32(0x85EBCA77))
+        triple = pair ^ (before * np.uint32(0xC2B2AE3D)) ^ np.uint32(0x27D4EB2F)
+        cells = np.empty((len(at), 2), np.int64)
+        for nth, value in enumerate((pair, triple)):
+            value = (value ^ (value >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            cells[:, nth] = (value ^ (value >> np.uint32(13))) & np.uint32(CELLS - 1)
+        yield cells.reshape(-1), np.repeat(owner, 2), owner[np.append(True, owner[1:] != owner[:-1])[: len(owner)]]
+        begin = end
+
+
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(cell, text number)`` of every n-gram with a letter in it, and whether a text has a letter."""
-    column = pc.fill_null(column, "")
-    has = np.zeros(len(column), bool)
-    column = pc.utf8_lower(column)
-    data, _ = common.text_bytes(column)
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), has
-    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    # A blank on each side of every text keeps n-grams from running into the next one.
-    place = np.arange(len(codes)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes)
-    letter = letters()[codes]
-    line = np.full(len(codes) + 2 * len(sizes), 32, np.uint32)
-    line[place] = np.where(letter, codes, 32)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    has[owner[letter]] = True
-    at, owner = place[letter], owner[letter]
-    before, here, after = line[at - 1], line[at], line[at + 1]
-    pair = (here * np.uint32(0x9E3779B1)) ^ (after * np.uint32(0x85EBCA77))
-    triple = pair ^ (before * np.uint32(0xC2B2AE3D)) ^ np.uint32(0x27D4EB2F)
-    cells = []
-    for value in (pair, triple):
-        value = (value ^ (value >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        cells.append(((value ^ (value >> np.uint32(13))) & np.uint32(CELLS - 1)).astype(np.int64))
-    return np.stack(cells, axis=1).reshape(-1), np.repeat(owner, 2), has
+    """All of ``windows`` at once, and whether a text has a letter."""
+    has, found = np.zeros(len(column), bool), list(windows(column))
+    for _, _, lettered in found:
+        has[lettered] = True
+    cell, owner = (np.concatenate([np.zeros(0, np.int64), *(f[n] for f in found)]) for n in (0, 1))
+    return cell, owner, has
 
 
 @dataclass
@@ -76,15 +100,18 @@ class Block:
 
     def judged(self, column: pa.Array) -> dict[str, np.ndarray]:
         """For each text its best language here and what other blocks need to know (see ``STATE``)."""
-        cell, owner, has = grams(column)
         count = len(column)
-        total = np.zeros((count, len(self.languages)))
-        amount = np.maximum(np.bincount(owner, minlength=count), 1)
+        total, has = np.zeros((count, len(self.languages))), np.zeros(count, bool)
+        amount = np.zeros(count, np.int64)
         step = max(1, (1 << 21) // len(self.languages))
-        for begin in range(0, len(cell), step):
-            some = owner[begin : begin + step]
-            first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
-            total[some[first]] += np.add.reduceat(self.logs[cell[begin : begin + step]], first, axis=0, dtype=np.float64)
+        for cell, owner, lettered in windows(column):
+            has[lettered] = True
+            for begin in range(0, len(cell), step):
+                some = owner[begin : begin + step]
+                first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+                amount[some[first]] += np.diff(np.append(first, len(some)))
+                total[some[first]] += np.add.reduceat(self.logs[cell[begin : begin + step]], first, axis=0, dtype=np.float64)
+        amount = np.maximum(amount, 1)
         tempered = self.prior + total * np.minimum(1.0, EVIDENCE / amount)[:, None]
         best, each = np.argmax(self.prior + total, axis=1), np.arange(count)
         top = tempered.max(axis=1)
@@ -124,13 +151,17 @@ def counts(labelled: DataFrame) -> DataFrame:
                 names = piece.column("lang").to_pylist()
                 known = sorted(set(names))
                 number = np.array([known.index(n) for n in names])
-                cell, owner, has = grams(piece.column("text"))
-                found = np.bincount(number[owner] * CELLS + cell, minlength=len(known) * CELLS).reshape(len(known), CELLS)
-                texts = np.bincount(number[has], minlength=len(known))
-                for nth, name in enumerate(known):
-                    held = sums.setdefault(name, np.zeros(CELLS + 1, np.int64))
-                    held[:CELLS] += found[nth]
-                    held[CELLS] += texts[nth]
+                has = np.zeros(piece.num_rows, bool)
+                for name in known:
+                    sums.setdefault(name, np.zeros(CELLS + 1, np.int64))
+                for cell, owner, lettered in windows(piece.column("text")):
+                    has[lettered] = True
+                    used, n = np.unique(number[owner] * CELLS + cell, return_counts=True)
+                    edges = np.searchsorted(used, np.arange(len(known) + 1) * CELLS)
+                    for name, low, high in zip(known, edges, edges[1:]):
+                        sums[name][used[low:high] % CELLS] += n[low:high]
+                for name, texts in zip(known, np.bincount(number[has], minlength=len(known))):
+                    sums[name][CELLS] += texts
         for name, held in sums.items():
             used = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays(

@@ -257,6 +257,30 @@ def test_counts_of_grams():
     assert np.array_equal(together[0][together[1] == 0], alone[0])
 
 
+def test_grams_are_held_a_window_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = pa.array([None if rng.random() < 0.1 else "".join(rng.choice("aé日😀 .Ж\u0130") for _ in range(rng.randint(0, 40))) for _ in range(200)])
+    whole = language.grams(texts)
+    assert whole[2].tolist() == [any(c.isalpha() for c in t or "") for t in texts.to_pylist()]
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(language, "WINDOW_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(language.grams(texts), whole))
+    monkeypatch.undo()
+    rows = pa.record_batch({"text": ["Öl und Wasser " * 150_000, "word " * 100_000]})
+    logs = np.zeros((language.CELLS, 3), np.float32)
+    language.letters()
+    tracemalloc.start()
+    try:
+        language.Block(["a", "b", "c"], np.zeros(3), logs).judged(rows.column(0))
+        assert tracemalloc.get_traced_memory()[1] < 50e6  # about 300 MB when all n-grams are held
+    finally:
+        tracemalloc.stop()
+
+
 # -- n-gram join -----------------------------------------------------------------------------------
 
 
