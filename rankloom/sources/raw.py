@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from rankloom.functions.parsing import NULL_TOKENS
 from rankloom.operators.quality import CheckFailed
-from rankloom.sources import schemas
+from rankloom.sources import chained, schemas
+
+#: Bytes of a file that one task may read as one value.
+WHOLE_BYTES = 1 << 27
 
 
 def raw_path(root: str, city: str, entity: str, as_of: str | None = None) -> str:
@@ -76,13 +79,26 @@ def require_ids(df: DataFrame, entity: str) -> DataFrame:
     return df
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
+def manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """``(path, size_bytes, sha256)`` per file under ``path``, hashed where the file is read.
 
-    One file is one row here, which suits the snapshot's own files of a few hundred MB; for a
-    table of many parts use :func:`rankloom.sources.sinks.table_digest`.
+    A file of up to ``whole_bytes`` is read by one task; the hash of a larger one goes from task to task
+    (:mod:`rankloom.sources.chained`), but for compressed ones, which Spark's line reader would unpack.
     """
+    def hashed(files: DataFrame) -> DataFrame:
+        return files.select("path", F.col("length").alias("size_bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        "path", F.col("length").alias("size_bytes"), F.sha2(F.col("content"), 256).alias("sha256")
-    )
+    large = files.where(F.col("length") > whole_bytes).select("path", "length")
+    names = large.withColumn("packed", F.col("path").rlike(chained.COMPRESSED)).collect()  # of large files, no content
+    if not names:
+        return hashed(files)
+    out = hashed(files.where(F.col("length") <= whole_bytes))  # by this condition alone the reader skips content
+    packed = [chained.literal(r.path) for r in names if r.packed]
+    if packed:
+        out = out.union(hashed(spark.read.format("binaryFile").load(packed)))
+    apart = [(r.path, r.length) for r in names if not r.packed]
+    if apart:
+        rows = [(*file, digest) for file, digest in zip(apart, chained.digests(spark, apart))]
+        out = out.union(spark.createDataFrame(rows, out.schema))
+    return out

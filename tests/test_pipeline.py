@@ -311,6 +311,33 @@ def test_manifest_reads_each_file(spark, snapshot):
         assert (r.size_bytes, r.sha256) == (len(data), hashlib.sha256(data).hexdigest())
 
 
+def test_manifest_of_files_larger_than_a_task_reads(spark, tmp_path, monkeypatch):
+    import hashlib
+    import random
+
+    from rankloom.sources import chained
+
+    rng = random.Random(4)
+    noise = rng.randbytes(300_000)
+    contents = {"noise.parquet": noise, "ended.csv": noise + b"\n", "mark [1] é.txt": b"\xef\xbb\xbf" + noise, "marked": b"\xef\xbb\xbfab\n" * 9_000,
+                "ends": b"\n" * 70_000, "returns": b"\r\n\r" * 30_000, "one_line": b"x" * 80_000, "packed.gz": noise, "small": b"ab"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    rounds = []
+    monkeypatch.setattr(chained, "ROUND_BYTES", 1 << 16)
+    monkeypatch.setattr(chained, "PIECE_BYTES", 1000)
+    sets = chained.Chain.__init__
+    monkeypatch.setattr(chained.Chain, "__init__", lambda self, state=None: (rounds.append(1), sets(self, state))[1])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+    try:
+        got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256) for r in raw.manifest(spark, str(tmp_path), 50_000).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in contents.items()}
+    assert len(rounds) == 2 * 7  # seven files went from task to task: begun and ended on the driver
+
+
 def test_pruned_scan(spark, snapshot):
     narrow = sinks.read_columns(spark, str(snapshot[0] / "strict/listings"), ["id"])
     assert "ReadSchema: struct<id:string>" in narrow._jdf.queryExecution().executedPlan().toString()
