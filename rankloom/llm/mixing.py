@@ -81,38 +81,46 @@ def unit(*parts: str) -> str:
             " / 4503599627370496D)")
 
 
+def bound(name: str, body: str, **fields: str) -> str:
+    """SQL text: ``body``, in which ``name.field`` stands for the value of each of ``fields``, worked out once."""
+    values = ", ".join(f"'{field}', {value}" for field, value in fields.items())
+    return f"element_at(transform(array(named_struct({values})), {name} -> {body}), 1)"
+
+
 def hypergeometric(rest: str, marked: str, drawn: str, uniform: str) -> str:
     """SQL text: how many of ``drawn`` items are marked, when ``marked`` of ``rest`` items are.
 
     Inversion of the distribution, outwards from its mode: weights follow by ratio, twelve standard
     deviations to each side, so the work grows with the root of the numbers and nothing overflows.
+    Every step is bound to a name: put in as text where it is used, steps within steps make an
+    expression of thousands of nodes, and the driver's memory goes into analysing it.
     """
-    low = f"greatest(0L, {drawn} - ({rest} - {marked}))"
-    high = f"least({marked}, {drawn})"
-    mode = (f"least({high}, greatest({low}, CAST(floor(CAST({drawn} + 1 AS DOUBLE) * ({marked} + 1) / ({rest} + 2)) AS BIGINT)))")
-    spread = (f"CAST(ceil(12 * sqrt(CAST({drawn} AS DOUBLE) * {marked} / greatest(1, {rest})"
-              f" * (1 - CAST({marked} AS DOUBLE) / greatest(1, {rest})))) AS BIGINT) + 2")
-    up = f"CAST({marked} - k AS DOUBLE) * ({drawn} - k) / (CAST(k + 1 AS DOUBLE) * ({rest} - {marked} - {drawn} + k + 1))"
-    down = f"CAST(k AS DOUBLE) * ({rest} - {marked} - {drawn} + k) / (CAST({marked} - k + 1 AS DOUBLE) * ({drawn} - k + 1))"
+    mode = ("least(e.high, greatest(e.low, CAST(floor(CAST(i.drawn + 1 AS DOUBLE) * (i.marked + 1) / (i.rest + 2)) AS BIGINT)))")
+    spread = ("CAST(ceil(12 * sqrt(CAST(i.drawn AS DOUBLE) * i.marked / greatest(1, i.rest)"
+              " * (1 - CAST(i.marked AS DOUBLE) / greatest(1, i.rest)))) AS BIGINT) + 2")
+    up = "CAST(i.marked - k AS DOUBLE) * (i.drawn - k) / (CAST(k + 1 AS DOUBLE) * (i.rest - i.marked - i.drawn + k + 1))"
+    down = "CAST(k AS DOUBLE) * (i.rest - i.marked - i.drawn + k) / (CAST(i.marked - k + 1 AS DOUBLE) * (i.drawn - k + 1))"
     zero = "named_struct('w', 1.0D, 'sum', {start}, 'at', {at})"
     # Numbers from the mode up, then from below the mode down; `at` is where the running sum first
     # passes the goal. Each half is summed once to find the total and once to find the place.
-    ups = f"IF({mode} < least({high}, {mode} + {spread}), sequence({mode}, least({high}, {mode} + {spread}) - 1), cast(array() as array<bigint>))"
-    downs = f"IF({mode} > greatest({low}, {mode} - {spread}), sequence({mode}, greatest({low}, {mode} - {spread}) + 1, -1L), cast(array() as array<bigint>))"
+    ups = "IF(m.mode < n.top, sequence(m.mode, n.top - 1), cast(array() as array<bigint>))"
+    downs = "IF(m.mode > n.bottom, sequence(m.mode, n.bottom + 1, -1L), cast(array() as array<bigint>))"
 
     def walk(numbers: str, ratio: str, start: str, goal: str, step: int) -> str:
         return (f"aggregate({numbers}, {zero.format(start=start, at='-1L')}, (s, k) -> named_struct("
                 f"'w', s.w * {ratio}, 'sum', s.sum + s.w * {ratio}, "
                 f"'at', IF(s.at < 0 AND s.sum + s.w * {ratio} >= {goal}, k + {step}L, s.at)))")
 
-    total_up = f"{walk(ups, up, '1.0D', '1e300', 1)}.sum"
-    total_down = f"{walk(downs, down, '0.0D', '1e300', -1)}.sum"
-    goal = f"({uniform}) * ({total_up} + {total_down})"
-    found_up = f"{walk(ups, up, '1.0D', 'g.goal', 1)}.at"
-    found_down = f"{walk(downs, down, 'g.up', 'g.goal', -1)}.at"
-    pick = (f"CASE WHEN g.goal <= 1 THEN {mode} WHEN g.goal <= g.up THEN greatest({low}, {found_up})"
-            f" ELSE IF({found_down} < 0, {mode}, {found_down}) END")
-    return (f"element_at(transform(array(named_struct('goal', {goal}, 'up', {total_up})), g -> {pick}), 1)")
+    found_up = f"{walk('w.ups', up, '1.0D', 'g.goal', 1)}.at"
+    found_down = bound("f", "IF(f.at < 0, m.mode, f.at)", at=f"{walk('w.downs', down, 't.up', 'g.goal', -1)}.at")
+    out = f"CASE WHEN g.goal <= 1 THEN m.mode WHEN g.goal <= t.up THEN greatest(e.low, {found_up}) ELSE {found_down} END"
+    out = bound("g", out, goal="i.uniform * (t.up + t.down)")
+    out = bound("t", out, up=f"{walk('w.ups', up, '1.0D', '1e300', 1)}.sum", down=f"{walk('w.downs', down, '0.0D', '1e300', -1)}.sum")
+    out = bound("w", out, ups=ups, downs=downs)
+    out = bound("n", out, top="least(e.high, m.mode + m.spread)", bottom="greatest(e.low, m.mode - m.spread)")
+    out = bound("m", out, mode=mode, spread=spread)
+    out = bound("e", out, low="greatest(0L, i.drawn - (i.rest - i.marked))", high="least(i.marked, i.drawn)")
+    return bound("i", out, rest=rest, marked=marked, drawn=drawn, uniform=uniform)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom import session
@@ -235,11 +235,13 @@ def long_enough(a: str, b: str, numerator: int, denominator: int) -> str:
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``links(a, b)``, by alternating star contraction.
 
-    Every round is written to the shared folder. Nodes meet only a minimum, never a list of their
-    neighbours, so a hub may have any number of links.
+    Every round is written to the shared folder, and what tells whether it changed anything is observed
+    while it is written: each query more costs the driver memory. Nodes meet only a minimum, never a list
+    of their neighbours, so a hub may have any number of links.
     """
-    edges = session.stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                          .where("a <> b").distinct())
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -247,9 +249,12 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
+        seen = Observation()
         edges = session.stage(small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                              .union(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+                              .union(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+                              .observe(seen, F.count(F.lit(1)).alias("edges"),
+                                       F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest")))
+        now = seen.get
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
@@ -424,7 +429,8 @@ def _linked(docs: DataFrame, width: int, numerator: int, denominator: int) -> Da
     posts = join.postings()
     for nth in range(HUB_ROUNDS + 1):
         more = join.verified(join.hub_pairs(posts, roots, nth) if nth < HUB_ROUNDS else join.candidates(posts, roots))
-        roots = components(join.spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        if not more.isEmpty():
+            roots = components(join.spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     classes = join.classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("root", "id").alias("root"))
     rows = join.signed.where("cell IS NULL").select("key", "text_hash", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom import session
 from rankloom.llm import common, decontaminate, language, mixing, ngram_join, shard_tree
 
 LOWER = {n: n + 32 for n in range(65, 91)}
@@ -469,6 +470,27 @@ def test_hypergeometric_draws_follow_the_distribution(spark):
         assert abs(got.get(k, 0) / 4000 - share) < 0.002
 
 
+def test_the_draw_has_each_of_its_parts_once():
+    text = mixing.hypergeometric("REST", "MARKED", "DRAWN", "UNIFORM")
+    assert [text.count(part) for part in ("REST", "MARKED", "DRAWN", "UNIFORM")] == [1, 1, 1, 1]
+
+
+def test_a_round_of_contraction_is_one_query(spark):
+    def begun() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+    star = session.stage(spark.createDataFrame([(n, 1) for n in range(1, 6)], "a long, b long"))
+    before = begun()
+    roots = ngram_join.components(spark, star)
+    assert begun() - before <= 3  # a look whether there are any, and two rounds
+    assert sorted((r.node, r.root) for r in roots.collect()) == [(n, 1) for n in range(2, 6)]
+    before = begun()
+    roots = ngram_join.components(spark, star.where("a = b"))
+    assert begun() - before <= 1
+    assert roots.columns == ["node", "root"] and not roots.collect()
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     rng = random.Random(11)
     sources = [rng.choice("abc") for _ in range(120)]
